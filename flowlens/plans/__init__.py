@@ -7,4 +7,5 @@ from flowlens.plans.registry import ORACLE, QUERIES, register  # noqa: F401
 from flowlens.plans import (  # noqa: F401  (registration side effects)
     q_stats,
     q_deadletter,
+    q_state,
 )

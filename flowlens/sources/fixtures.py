@@ -181,3 +181,78 @@ def failed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("resolved_at"),
         (eid % 6).cast("int").alias("retry_count"),
     )
+
+
+def _iso_us(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+# ---------------------------------------------------------------- F-STATE
+STATE_TOPICS = ["user-state", "product-state", "inventory-state", "config-state"]
+
+
+def state_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compacted-topic changelog: JSON state per key, NULL value = tombstone."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    key = F.concat(F.lit("K-"), _s(uid))
+    upd = F.concat(F.lit(',"updatedAt":"'), _iso_us(F.col("ts")), F.lit('"}'))
+    kind = (eid % 4).cast("int")
+    user = F.concat(F.lit('{"userId":"'), key, F.lit('","email":"'), key, F.lit('@example.com","name":"User '),
+                    _s(uid), F.lit('","status":"ACTIVE","tier":"BASIC"'), upd)
+    product = F.concat(F.lit('{"productId":"'), key, F.lit('","name":"Product '), _s(uid), F.lit('","price":'),
+                       _s(F.col("value").cast("decimal(19,2)")), F.lit(',"category":"general","status":"AVAILABLE"'), upd)
+    inv = F.concat(F.lit('{"productId":"'), key, F.lit('","totalQuantity":100,"availableQuantity":'),
+                   _s(eid % 30 - 2), F.lit(',"reservedQuantity":0,"reorderPoint":10,"reorderQuantity":100'), upd)
+    conf = F.concat(F.lit('{"configKey":"'), key, F.lit('","configValue":"'), _s(eid),
+                    F.lit('","valueType":"NUMBER","category":"general","isEncrypted":false'), upd)
+    val = (F.when(F.col("event_type") == "error", F.lit(None).cast("string"))
+           .when(kind == 0, user).when(kind == 1, product).when(kind == 2, inv).otherwise(conf))
+    return e.select(
+        F.element_at(F.array(*[F.lit(t) for t in STATE_TOPICS]), kind + 1).alias("topic"),
+        (uid % 6).cast("int").alias("partition"), eid.alias("offset"), key.alias("key"), val.alias("value"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+    )
+
+
+def ttl_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session and cache states with an expiry (cache entries without TTL never expire)."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id")
+    eid = F.col("event_id")
+    is_session = eid % 2 == 0
+    exp = F.col("ts") + F.make_dt_interval(F.lit(0), (eid % 72).cast("int"))
+    return e.select(
+        F.when(is_session, F.lit("session-state")).otherwise(F.lit("cache-state")).alias("topic"),
+        F.concat(F.lit("K-"), _s("user_id")).alias("key"), eid.alias("offset"),
+        F.col("ts").alias("created_at"),
+        F.when(~is_session & (eid % 5 == 0), F.lit(None).cast("timestamp_ntz")).otherwise(exp).alias("expires_at"),
+    )
+
+
+# ---------------------------------------------------------------- F-DELIV
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redelivered messages: every event once, every 4th again at the same
+    offset, every 5th again with the same message-id at offset + 1,000,000."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
+    eid = F.col("event_id")
+    fan = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)),
+                   lambda d: (d == 0) | ((d == 1) & (eid % 4 == 0)) | ((d == 2) & (eid % 5 == 0)))
+    val = (F.when(eid % 23 == 0, F.lit("  "))
+           .when(eid % 19 == 0, F.concat(F.lit("not json "), _s(eid)))
+           .when(eid % 17 == 0, F.concat(F.lit('{"note":"n/a","amount":'), _s(F.col("value").cast("decimal(19,2)")), F.lit("}")))
+           .when(eid % 3 == 0, F.concat(F.lit('{"orderId":"ORD-'), _s(eid), F.lit('","amount":'),
+                                        _s(F.col("value").cast("decimal(19,2)")), F.lit("}")))
+           .when(eid % 3 == 1, F.concat(F.lit('{"paymentId":"PAY-'), _s(eid), F.lit('","amount":'),
+                                        _s(F.col("value").cast("decimal(19,2)")), F.lit("}")))
+           .otherwise(F.concat(F.lit('{"eventId":"EVT-'), _s(eid), F.lit('","amount":'),
+                               _s(F.col("value").cast("decimal(19,2)")), F.lit("}"))))
+    d = e.select("*", F.explode(fan).alias("delivery"))
+    return d.select(
+        F.lit("order-events").alias("topic"), (F.col("user_id") % 3).cast("int").alias("partition"),
+        (eid + F.when(F.col("delivery") == 2, F.lit(1_000_000)).otherwise(F.lit(0))).alias("offset"),
+        F.col("delivery").cast("int").alias("delivery"),
+        F.concat(F.lit("key-"), _s("user_id")).alias("key"), val.alias("value"),
+        F.when(eid % 6 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("msg-"), _s(eid))).alias("message_id_hdr"),
+        F.col("ts").alias("processed_at"),
+        (F.col("ts") + F.expr("INTERVAL 7 DAYS")).alias("expired_at"),
+    )

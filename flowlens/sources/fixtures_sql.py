@@ -122,3 +122,42 @@ def with_fixtures(body: str, *names: str, extra: dict[str, str] | None = None) -
     ctes = [f"{n} AS ({SQL[n]})" for n in _order(names)]
     ctes += [f"{n} AS ({q})" for n, q in (extra or {}).items()]
     return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+
+
+def _iso_us(expr: str) -> str:
+    return f"strftime({expr}, '%Y-%m-%dT%H:%M:%S.%fZ')"
+
+
+_UPD = "',\"updatedAt\":\"' || " + _iso_us("ts") + " || '\"}'"
+SQL["state_changelog"] = f"""
+SELECT CASE event_id % 4 WHEN 0 THEN 'user-state' WHEN 1 THEN 'product-state' WHEN 2 THEN 'inventory-state'
+         ELSE 'config-state' END AS topic,
+  CAST(user_id % 6 AS INTEGER) AS "partition", event_id AS "offset", 'K-' || user_id AS key,
+  CASE WHEN event_type = 'error' THEN NULL
+       WHEN event_id % 4 = 0 THEN '{{"userId":"K-' || user_id || '","email":"K-' || user_id || '@example.com","name":"User ' || user_id || '","status":"ACTIVE","tier":"BASIC"' || {_UPD}
+       WHEN event_id % 4 = 1 THEN '{{"productId":"K-' || user_id || '","name":"Product ' || user_id || '","price":' || CAST(CAST(value AS DECIMAL(19,2)) AS VARCHAR) || ',"category":"general","status":"AVAILABLE"' || {_UPD}
+       WHEN event_id % 4 = 2 THEN '{{"productId":"K-' || user_id || '","totalQuantity":100,"availableQuantity":' || CAST(event_id % 30 - 2 AS VARCHAR) || ',"reservedQuantity":0,"reorderPoint":10,"reorderQuantity":100' || {_UPD}
+       ELSE '{{"configKey":"K-' || user_id || '","configValue":"' || event_id || '","valueType":"NUMBER","category":"general","isEncrypted":false' || {_UPD} END AS value,
+  ts AS "timestamp"
+FROM events"""
+
+SQL["ttl_states"] = """
+SELECT CASE WHEN event_id % 2 = 0 THEN 'session-state' ELSE 'cache-state' END AS topic, 'K-' || user_id AS key,
+  event_id AS "offset", ts AS created_at,
+  CASE WHEN event_id % 2 = 1 AND event_id % 5 = 0 THEN NULL ELSE ts + to_hours(CAST(event_id % 72 AS BIGINT)) END AS expires_at
+FROM events"""
+
+_AMT = "CAST(CAST(value AS DECIMAL(19,2)) AS VARCHAR)"
+SQL["deliveries"] = f"""
+SELECT 'order-events' AS topic, CAST(user_id % 3 AS INTEGER) AS "partition",
+  event_id + CASE WHEN delivery = 2 THEN 1000000 ELSE 0 END AS "offset", CAST(delivery AS INTEGER) AS delivery,
+  'key-' || user_id AS key,
+  CASE WHEN event_id % 23 = 0 THEN '  ' WHEN event_id % 19 = 0 THEN 'not json ' || event_id
+       WHEN event_id % 17 = 0 THEN '{{"note":"n/a","amount":' || {_AMT} || '}}'
+       WHEN event_id % 3 = 0 THEN '{{"orderId":"ORD-' || event_id || '","amount":' || {_AMT} || '}}'
+       WHEN event_id % 3 = 1 THEN '{{"paymentId":"PAY-' || event_id || '","amount":' || {_AMT} || '}}'
+       ELSE '{{"eventId":"EVT-' || event_id || '","amount":' || {_AMT} || '}}' END AS value,
+  CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'msg-' || event_id END AS message_id_hdr,
+  ts AS processed_at, ts + INTERVAL 7 DAY AS expired_at
+FROM events, (VALUES (0), (1), (2)) d(delivery)
+WHERE delivery = 0 OR (delivery = 1 AND event_id % 4 = 0) OR (delivery = 2 AND event_id % 5 = 0)"""
