@@ -8,4 +8,5 @@ from flowlens.plans import (  # noqa: F401  (registration side effects)
     q_stats,
     q_deadletter,
     q_state,
+    q_projections,
 )

@@ -161,3 +161,25 @@ SELECT 'order-events' AS topic, CAST(user_id % 3 AS INTEGER) AS "partition",
   ts AS processed_at, ts + INTERVAL 7 DAY AS expired_at
 FROM events, (VALUES (0), (1), (2)) d(delivery)
 WHERE delivery = 0 OR (delivery = 1 AND event_id % 4 = 0) OR (delivery = 2 AND event_id % 5 = 0)"""
+
+_SAGA_TYPES = ", ".join(f"'{t}'" for t in
+                        ["ORDER_CREATED", "ORDER_CANCELLED", "PAYMENT_COMPLETED", "PAYMENT_FAILED",
+                         "PAYMENT_CANCELLED", "INVENTORY_RESERVED", "INVENTORY_FAILED", "INVENTORY_RELEASED"])
+SQL["saga_decoded"] = f"""
+SELECT "offset", event_type,
+  json_extract_string(payload, '$.sagaId') AS saga_id, json_extract_string(payload, '$.orderId') AS order_id,
+  json_extract_string(payload, '$.customerId') AS customer_id, json_extract_string(payload, '$.productId') AS product_id,
+  CAST(json_extract_string(payload, '$.quantity') AS INTEGER) AS quantity,
+  CAST(json_extract_string(payload, '$.totalAmount') AS DECIMAL(19,2)) AS total_amount,
+  json_extract_string(payload, '$.paymentId') AS payment_id,
+  CAST(json_extract_string(payload, '$.amount') AS DECIMAL(19,2)) AS amount,
+  json_extract_string(payload, '$.reason') AS reason,
+  CAST(json_extract_string(payload, '$.requestedQuantity') AS INTEGER) AS requested_quantity,
+  CAST(json_extract_string(payload, '$.availableQuantity') AS INTEGER) AS available_quantity,
+  CAST(json_extract_string(payload, '$.timestamp') AS TIMESTAMP) AS event_ts, payload
+FROM (SELECT "offset",
+        CASE WHEN json_type(value, '$.eventType') = 'VARCHAR' THEN json_extract_string(value, '$.eventType') END AS event_type,
+        CASE WHEN json_type(value, '$.payload') = 'VARCHAR' THEN json_extract_string(value, '$.payload') END AS payload
+      FROM saga_events WHERE json_valid(value))
+WHERE payload IS NOT NULL AND event_type IN ({_SAGA_TYPES})"""
+DEPS["saga_decoded"] = ["saga_events"]
