@@ -9,4 +9,5 @@ from flowlens.plans import (  # noqa: F401  (registration side effects)
     q_deadletter,
     q_state,
     q_projections,
+    q_ops,
 )

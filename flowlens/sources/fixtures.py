@@ -256,3 +256,121 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("processed_at"),
         (F.col("ts") + F.expr("INTERVAL 7 DAYS")).alias("expired_at"),
     )
+
+
+# ---------------------------------------------------------------- F-LAG
+def offset_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Committed and end offsets per (group, topic, partition), one row per poll."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    cur = eid * 10
+    return e.select(
+        eid.alias("snapshot_id"), F.concat(F.lit("group-"), _s(uid % 20)).alias("group_id"),
+        F.lit("order-events").alias("topic"), (uid % 3).cast("int").alias("partition"), F.col("ts"),
+        cur.alias("current_offset"), (cur + (eid * 7919) % 15000 - 100).alias("end_offset"))
+
+
+# ---------------------------------------------------------------- F-ACT
+def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-record producer/consumer activity (interceptor view)."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    eid = F.col("event_id")
+    outcome = (F.when(F.col("event_type") == "error", "FAILED").when(eid % 40 == 7, "PENDING").otherwise("PROCESSED"))
+    return e.select(
+        F.concat(F.col("event_type"), F.lit("-topic")).alias("topic"),
+        (F.col("user_id") % 6).cast("int").alias("partition"), eid.alias("offset"),
+        F.concat(F.lit("K-"), _s("user_id")).alias("key"), F.col("ts").alias("record_ts"),
+        (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((eid * 37) % 9000) / 1000)).alias("consumed_ts"),
+        (eid % 50).cast("long").alias("processing_ms"), outcome.alias("outcome"),
+        F.when(outcome == "FAILED", F.concat(F.lit("processing failed at offset "), _s(eid))).alias("error"),
+        (eid % 2 == 0).alias("sent"), ((eid % 2 == 0) & (eid % 3 == 0)).alias("acked"),
+        (eid % 5 == 0).alias("committed"))
+
+
+# Rebalance event types.
+REBALANCE_TYPES = ["ASSIGNED", "REVOKED", "LOST", "REBALANCE_START"]
+
+
+def rebalance_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events", "event_id", "ts")
+    eid = F.col("event_id")
+    kind = ((eid / 100).cast("long") % 4 + 1).cast("int")
+    return e.filter(eid % 100 == 0).select(
+        eid.alias("rebalance_id"), F.element_at(F.array(*[F.lit(t) for t in REBALANCE_TYPES]), kind).alias("event_type"),
+        (eid % 7).cast("int").alias("partition_count"), F.col("ts"))
+
+
+# ---------------------------------------------------------------- F-SPAN
+SPAN_KINDS = ["INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUMER"]
+
+
+def _hexid(c: Column, width: int) -> Column:
+    return F.lpad(F.lower(F.hex(c)), width, "0")
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of conversation turns: one trace per conversation."""
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    cid, turn = F.col("conv_id"), F.col("turn")
+    start = (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+             + F.make_dt_interval(F.lit(0), F.lit(0), cid.cast("int"), turn.cast("decimal(18,6)")))
+    parent = (F.when(turn > 0, _hexid(cid * 100 + turn, 16))
+              .when(cid % 10 == 0, _hexid(F.lit(9_000_000_000) + cid, 16)))
+    return c.select(
+        _hexid(cid + 1, 32).alias("trace_id"), _hexid(cid * 100 + turn + 1, 16).alias("span_id"),
+        parent.alias("parent_span_id"), F.concat(F.col("role"), F.lit("-"), _s(turn)).alias("name"),
+        F.element_at(F.array(*[F.lit(k) for k in SPAN_KINDS]), (turn % 5 + 1).cast("int")).alias("kind"),
+        start.alias("started_at"),
+        (start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.length("text") % 900) / 1000)).alias("ended_at"),
+        F.when((cid + turn) % 17 == 0, "ERROR").otherwise("OK").alias("status"))
+
+
+def traceparents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traceparent header of each span's message, with malformed cases."""
+    s = spans(spark, sf_dir)
+    n = F.conv(F.col("span_id"), 16, 10).cast("long") % 9
+    good = F.concat_ws("-", F.lit("00"), "trace_id", "span_id", F.lit("01"))
+    tp = (F.when(n == 0, F.lit(None).cast("string")).when(n == 1, F.lit(" "))
+          .when(n == 2, F.concat_ws("-", F.lit("00"), "trace_id", "span_id"))
+          .when(n == 3, F.concat_ws("-", F.lit("01"), "trace_id", "span_id", F.lit("01")))
+          .when(n == 4, F.concat_ws("-", F.lit("00"), F.substring("trace_id", 1, 16), "span_id", F.lit("01")))
+          .when(n == 5, F.concat_ws("-", F.lit("00"), F.lit("0" * 32), "span_id", F.lit("01")))
+          .when(n == 6, F.concat_ws("-", F.lit("00"), "trace_id", "span_id", F.lit("00"))).otherwise(good))
+    return s.select("trace_id", "span_id", tp.alias("traceparent"))
+
+
+# ---------------------------------------------------------------- F-CONN
+CONNECTOR_STATES = ["FAILED", "PAUSED", "RUNNING", "RUNNING", "RUNNING", "RUNNING", "RUNNING"]
+
+
+def _conn_state(c: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(s) for s in CONNECTOR_STATES]), (c % 7 + 1).cast("int"))
+
+
+def connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
+    return s.select(F.concat(F.lit("conn-"), _s("s_suppkey")).alias("connector"), "s_suppkey",
+                    F.when(F.col("s_suppkey") % 2 == 0, "source").otherwise("sink").alias("type"))
+
+
+def connector_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier", "s_suppkey").filter(F.col("s_suppkey") % 13 != 0)
+    return s.select(F.concat(F.lit("conn-"), _s("s_suppkey")).alias("connector"),
+                    _conn_state(F.col("s_suppkey")).alias("state"),
+                    F.concat(F.lit("worker-"), _s(F.col("s_suppkey") % 3)).alias("worker_id"))
+
+
+def connector_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier", "s_suppkey")
+    t = s.select("s_suppkey", F.explode(F.sequence(F.lit(0), (F.col("s_suppkey") % 4).cast("int"))).alias("task_id"))
+    return t.select(F.concat(F.lit("conn-"), _s("s_suppkey")).alias("connector"), "task_id",
+                    _conn_state(F.col("s_suppkey") + F.col("task_id")).alias("state"))
+
+
+def connector_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier", "s_suppkey")
+    h = s.select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    return h.select(F.concat(F.lit("conn-"), _s("s_suppkey")).alias("connector"),
+                    (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("hour")))
+                    .alias("checked_at"),
+                    _conn_state(F.col("s_suppkey") + F.col("hour")).alias("state"))

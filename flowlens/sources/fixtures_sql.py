@@ -183,3 +183,57 @@ FROM (SELECT "offset",
       FROM saga_events WHERE json_valid(value))
 WHERE payload IS NOT NULL AND event_type IN ({_SAGA_TYPES})"""
 DEPS["saga_decoded"] = ["saga_events"]
+
+SQL["offset_snapshots"] = """
+SELECT event_id AS snapshot_id, 'group-' || (user_id % 20) AS group_id, 'order-events' AS topic,
+  CAST(user_id % 3 AS INTEGER) AS "partition", ts, event_id * 10 AS current_offset,
+  event_id * 10 + (event_id * 7919) % 15000 - 100 AS end_offset FROM events"""
+
+SQL["activity_log"] = """
+SELECT event_type || '-topic' AS topic, CAST(user_id % 6 AS INTEGER) AS "partition", event_id AS "offset",
+  'K-' || user_id AS key, ts AS record_ts, ts + to_milliseconds((event_id * 37) % 9000) AS consumed_ts,
+  event_id % 50 AS processing_ms,
+  CASE WHEN event_type = 'error' THEN 'FAILED' WHEN event_id % 40 = 7 THEN 'PENDING' ELSE 'PROCESSED' END AS outcome,
+  CASE WHEN event_type = 'error' THEN 'processing failed at offset ' || event_id END AS error,
+  event_id % 2 = 0 AS sent, event_id % 2 = 0 AND event_id % 3 = 0 AS acked, event_id % 5 = 0 AS committed
+FROM events"""
+
+SQL["rebalance_log"] = """
+SELECT event_id AS rebalance_id,
+  CASE (event_id // 100) % 4 WHEN 0 THEN 'ASSIGNED' WHEN 1 THEN 'REVOKED' WHEN 2 THEN 'LOST' ELSE 'REBALANCE_START' END AS event_type,
+  CAST(event_id % 7 AS INTEGER) AS partition_count, ts FROM events WHERE event_id % 100 = 0"""
+
+
+def _hexid(expr: str, width: int) -> str:
+    return f"lpad(lower(hex({expr})), {width}, '0')"
+
+
+SQL["spans"] = f"""
+SELECT {_hexid('conv_id + 1', 32)} AS trace_id, {_hexid('conv_id * 100 + turn + 1', 16)} AS span_id,
+  CASE WHEN turn > 0 THEN {_hexid('conv_id * 100 + turn', 16)}
+       WHEN conv_id % 10 = 0 THEN {_hexid('9000000000 + conv_id', 16)} END AS parent_span_id,
+  role || '-' || turn AS name,
+  CASE turn % 5 WHEN 0 THEN 'INTERNAL' WHEN 1 THEN 'SERVER' WHEN 2 THEN 'CLIENT' WHEN 3 THEN 'PRODUCER' ELSE 'CONSUMER' END AS kind,
+  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id) + to_seconds(turn) AS started_at,
+  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id) + to_seconds(turn) + to_milliseconds(length(text) % 900) AS ended_at,
+  CASE WHEN (conv_id + turn) % 17 = 0 THEN 'ERROR' ELSE 'OK' END AS status
+FROM conversations"""
+
+SQL["traceparents"] = """
+SELECT trace_id, span_id, CASE n WHEN 0 THEN NULL WHEN 1 THEN ' '
+  WHEN 2 THEN '00-' || trace_id || '-' || span_id WHEN 3 THEN '01-' || trace_id || '-' || span_id || '-01'
+  WHEN 4 THEN '00-' || substr(trace_id, 1, 16) || '-' || span_id || '-01'
+  WHEN 5 THEN '00-' || repeat('0', 32) || '-' || span_id || '-01'
+  WHEN 6 THEN '00-' || trace_id || '-' || span_id || '-00' ELSE '00-' || trace_id || '-' || span_id || '-01' END AS traceparent
+FROM (SELECT *, CAST(('0x' || span_id) AS BIGINT) % 9 AS n FROM spans)"""
+DEPS["traceparents"] = ["spans"]
+
+_CSTATE = "CASE ({x}) % 7 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'PAUSED' ELSE 'RUNNING' END"
+SQL["connectors"] = """SELECT 'conn-' || s_suppkey AS connector, s_suppkey,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'source' ELSE 'sink' END AS type FROM supplier"""
+SQL["connector_status"] = f"""SELECT 'conn-' || s_suppkey AS connector, {_CSTATE.format(x='s_suppkey')} AS state,
+  'worker-' || (s_suppkey % 3) AS worker_id FROM supplier WHERE s_suppkey % 13 <> 0"""
+SQL["connector_tasks"] = f"""SELECT 'conn-' || s_suppkey AS connector, CAST(t AS INTEGER) AS task_id,
+  {_CSTATE.format(x='s_suppkey + t')} AS state FROM supplier, range(0, 4) r(t) WHERE t <= s_suppkey % 4"""
+SQL["connector_history"] = f"""SELECT 'conn-' || s_suppkey AS connector, TIMESTAMP '2024-01-01 00:00:00' + to_hours(h) AS checked_at,
+  {_CSTATE.format(x='s_suppkey + h')} AS state FROM supplier, range(0, 24) r(h)"""
