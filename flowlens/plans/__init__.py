@@ -10,4 +10,5 @@ from flowlens.plans import (  # noqa: F401  (registration side effects)
     q_state,
     q_projections,
     q_ops,
+    q_routing,
 )

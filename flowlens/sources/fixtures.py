@@ -374,3 +374,56 @@ def connector_history(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("hour")))
                     .alias("checked_at"),
                     _conn_state(F.col("s_suppkey") + F.col("hour")).alias("state"))
+
+
+# ---------------------------------------------------------------- F-KEY
+# Key shapes of the routing fixture (event_id % 12) and topic sizes.
+ROUTING_KEY_PREFIXES = ["ORDER-", "payment-", "INVENTORY-", "PRODUCT-", None, "CUST-", None, "HIGH:", "p2:",
+                        "BATCH:", "plain-", None]
+TOPIC_SIZES = [1, 3, 6, 9, 12]
+VIP_CUSTOMERS = ["VIP-001", "GOLD-001"]
+
+
+def routing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "props")
+    eid = F.col("event_id")
+    r = eid % 12
+    key = (F.when(r == 4, F.lit("CUSTOMER-VIP-001")).when(r == 6, F.lit("GOLD-001"))
+           .when(r == 11, F.lit(None).cast("string"))
+           .when(r.isin(3, 5), F.concat(F.element_at(F.array(*[F.lit(p or "") for p in ROUTING_KEY_PREFIXES]),
+                                                     (r + 1).cast("int")), _s("user_id")))
+           .otherwise(F.concat(F.element_at(F.array(*[F.lit(p or "") for p in ROUTING_KEY_PREFIXES]),
+                                            (r + 1).cast("int")), _s(eid))))
+    n = F.element_at(F.array(*[F.lit(x) for x in TOPIC_SIZES]), ((eid / 12).cast("long") % 5 + 1).cast("int"))
+    return e.select(eid.alias("event_id"), key.alias("key"), F.col("props").alias("value"), n.alias("num_partitions"))
+
+
+# ---------------------------------------------------------------- F-TEN
+TENANT_TIERS = ["BASIC", "STANDARD", "PREMIUM", "ENTERPRISE"]
+TIER_MAX_MPS = [100, 500, 2000, 10000]
+
+
+def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    k = F.col("n_nationkey")
+    t = (k % 4 + 1).cast("int")
+    return n.select(F.concat(F.lit("tenant-"), _s(k)).alias("tenant_id"), F.col("n_name").alias("tenant_name"),
+                    F.element_at(F.array(*[F.lit(x) for x in TENANT_TIERS]), t).alias("tier"),
+                    (k % 6 != 5).alias("is_active"),
+                    F.element_at(F.array(*[F.lit(x) for x in TIER_MAX_MPS]), t).alias("max_messages_per_second"))
+
+
+def tenant_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props")
+    eid = F.col("event_id")
+    tid = F.concat(F.lit("tenant-"), _s(F.col("user_id") % 28))
+    other = F.concat(F.lit("tenant-"), _s((F.col("user_id") + 1) % 28))
+    way = eid % 4
+    base_key = F.concat(F.lit("K-"), _s(eid))
+    key = (F.when(way == 1, F.concat(tid, F.lit(":"), base_key))
+           .when((way == 0) & (eid % 50 == 0), F.concat(other, F.lit(":"), base_key)).otherwise(base_key))
+    topic = F.when(way == 2, F.concat(F.lit("tenant-"), tid, F.lit("-order-events"))).otherwise(F.lit("order-events"))
+    return e.select(eid.alias("event_id"), topic.alias("topic"), key.alias("key"), F.col("props").alias("value"),
+                    F.when(way == 0, tid).alias("tenant_header"),
+                    F.when(F.col("event_type") == "signup", F.lit("ALL"))
+                     .when(F.col("event_type") == "purchase", F.lit("PREMIUM")).alias("target_tier"))

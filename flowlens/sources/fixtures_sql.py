@@ -237,3 +237,17 @@ SQL["connector_tasks"] = f"""SELECT 'conn-' || s_suppkey AS connector, CAST(t AS
   {_CSTATE.format(x='s_suppkey + t')} AS state FROM supplier, range(0, 4) r(t) WHERE t <= s_suppkey % 4"""
 SQL["connector_history"] = f"""SELECT 'conn-' || s_suppkey AS connector, TIMESTAMP '2024-01-01 00:00:00' + to_hours(h) AS checked_at,
   {_CSTATE.format(x='s_suppkey + h')} AS state FROM supplier, range(0, 24) r(h)"""
+
+SQL["tenants"] = """SELECT 'tenant-' || n_nationkey AS tenant_id, n_name AS tenant_name,
+  CASE n_nationkey % 4 WHEN 0 THEN 'BASIC' WHEN 1 THEN 'STANDARD' WHEN 2 THEN 'PREMIUM' ELSE 'ENTERPRISE' END AS tier,
+  n_nationkey % 6 <> 5 AS is_active,
+  CASE n_nationkey % 4 WHEN 0 THEN 100 WHEN 1 THEN 500 WHEN 2 THEN 2000 ELSE 10000 END AS max_messages_per_second
+FROM nation"""
+SQL["tenant_messages"] = """SELECT event_id,
+  CASE WHEN event_id % 4 = 2 THEN 'tenant-tenant-' || (user_id % 28) || '-order-events' ELSE 'order-events' END AS topic,
+  CASE WHEN event_id % 4 = 1 THEN 'tenant-' || (user_id % 28) || ':K-' || event_id
+       WHEN event_id % 4 = 0 AND event_id % 50 = 0 THEN 'tenant-' || ((user_id + 1) % 28) || ':K-' || event_id
+       ELSE 'K-' || event_id END AS key,
+  props AS value, CASE WHEN event_id % 4 = 0 THEN 'tenant-' || (user_id % 28) END AS tenant_header,
+  CASE WHEN event_type = 'signup' THEN 'ALL' WHEN event_type = 'purchase' THEN 'PREMIUM' END AS target_tier
+FROM events"""
