@@ -11,4 +11,5 @@ from flowlens.plans import (  # noqa: F401  (registration side effects)
     q_projections,
     q_ops,
     q_routing,
+    q_inventory,
 )

@@ -427,3 +427,19 @@ def tenant_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(way == 0, tid).alias("tenant_header"),
                     F.when(F.col("event_type") == "signup", F.lit("ALL"))
                      .when(F.col("event_type") == "purchase", F.lit("PREMIUM")).alias("target_tier"))
+
+
+# ---------------------------------------------------------------- F-INV
+def inventory_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+    eid = F.col("event_id")
+    return e.select(eid.alias("seq"), F.concat(F.lit("PROD-"), _s(F.col("user_id") % 25)).alias("product_id"),
+                    F.concat(F.lit("ORD-"), _s(eid)).alias("order_id"), (eid % 5 + 1).cast("int").alias("quantity"),
+                    F.when(F.col("event_type") == "error", "RELEASE").otherwise("RESERVE").alias("command"))
+
+
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock rows for products 0..23 (product 24 has none), derived from part keys."""
+    p = table(spark, sf_dir, "part", "p_partkey").filter(F.col("p_partkey") < 24)
+    return p.select(F.concat(F.lit("PROD-"), _s("p_partkey")).alias("product_id"), F.lit(300).alias("quantity"),
+                    F.lit(0).alias("reserved_quantity"))

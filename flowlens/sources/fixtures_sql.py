@@ -251,3 +251,8 @@ SQL["tenant_messages"] = """SELECT event_id,
   props AS value, CASE WHEN event_id % 4 = 0 THEN 'tenant-' || (user_id % 28) END AS tenant_header,
   CASE WHEN event_type = 'signup' THEN 'ALL' WHEN event_type = 'purchase' THEN 'PREMIUM' END AS target_tier
 FROM events"""
+
+SQL["inventory_commands"] = """SELECT event_id AS seq, 'PROD-' || (user_id % 25) AS product_id, 'ORD-' || event_id AS order_id,
+  CAST(event_id % 5 + 1 AS INTEGER) AS quantity, CASE WHEN event_type = 'error' THEN 'RELEASE' ELSE 'RESERVE' END AS command
+FROM events"""
+SQL["inventory"] = """SELECT 'PROD-' || p_partkey AS product_id, 300 AS quantity, 0 AS reserved_quantity FROM part WHERE p_partkey < 24"""
