@@ -12,4 +12,5 @@ from flowlens.plans import (  # noqa: F401  (registration side effects)
     q_ops,
     q_routing,
     q_inventory,
+    q_sources,
 )

@@ -443,3 +443,134 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part", "p_partkey").filter(F.col("p_partkey") < 24)
     return p.select(F.concat(F.lit("PROD-"), _s("p_partkey")).alias("product_id"), F.lit(300).alias("quantity"),
                     F.lit(0).alias("reserved_quantity"))
+
+
+# ---------------------------------------------------------------- F-DLTRAW
+DLT_HEADER_PREFIX = "kafka_dlt-"
+
+
+def _hdr(name: str, value: Column) -> Column:
+    return F.struct(F.lit(DLT_HEADER_PREFIX + name).alias("key"), F.encode(value, "UTF-8").alias("value"))
+
+
+def dead_letter_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records on the ``.DLT`` topics with Spring's dead-letter headers."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "props")
+    eid = F.col("event_id")
+    saga = eid % 4 == 0
+    orig = F.when(saga, F.lit("saga-event-topic")).otherwise(F.lit("order-events"))
+    heads = F.array(
+        F.when(eid % 5 != 0, _hdr("original-topic", orig)),
+        _hdr("original-partition", F.when(eid % 7 == 0, F.lit("x")).otherwise(_s(eid % 3))),
+        _hdr("original-offset", _s(eid)),
+        F.when(eid % 6 != 0, _hdr("exception-message", F.concat(F.lit("java.lang.IllegalStateException: failed "), _s(eid)))),
+        F.when(eid % 4 != 0, _hdr("exception-stacktrace", F.concat(F.lit("at com.example.Handler.handle(Handler.java:"),
+                                                                  _s(eid % 100), F.lit(")")))),
+        F.when(eid % 9 == 0, _hdr("exception-message", F.concat(F.lit("retry failed "), _s(eid)))),
+    )
+    return e.select(
+        F.concat(orig, F.lit(".DLT")).alias("topic"), (F.col("user_id") % 3).cast("int").alias("partition"),
+        eid.alias("offset"), F.col("ts").cast("timestamp").alias("timestamp"),
+        F.when(eid % 11 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("key-"), _s("user_id"))).alias("key"),
+        F.when(eid % 13 == 0, F.lit(None).cast("string")).otherwise(F.col("props")).alias("value"),
+        F.filter(heads, lambda h: h.isNotNull()).alias("headers"))
+
+
+# ---------------------------------------------------------------- F-AVRO
+AVRO_RECORD_TYPES = ["OrderEvent", "PaymentEvent", "InventoryEvent", "Unknown"]
+
+
+def typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    r = (eid % 4).cast("int")
+    ms = _s(F.unix_millis(F.col("ts").cast("timestamp")))
+    minor = _s((F.col("value").cast("decimal(19,2)") * 100).cast("long"))
+    ev = F.concat(F.lit('{"eventId":"E-'), _s(eid), F.lit('"'))
+    order = F.concat(ev, F.lit(',"orderId":"ORD-'), _s(eid), F.lit('"'),
+                     F.when(eid % 24 != 0, F.concat(F.lit(',"customerId":"CUST-'), _s(uid), F.lit('"'))).otherwise(F.lit("")),
+                     F.lit(',"productId":"PROD-'), _s(uid % 25), F.lit('","quantity":'), _s(eid % 5 + 1),
+                     F.lit(',"totalAmount":'), minor, F.lit(',"eventType":"ORDER_CREATED","timestamp":'), ms, F.lit("}"))
+    pay = F.concat(ev, F.lit(',"paymentId":"PAY-'), _s(eid), F.lit('","orderId":"ORD-'), _s(eid), F.lit('","amount":'), minor,
+                   F.lit(',"currency":"KRW","paymentMethod":"CARD","eventType":"PAYMENT_COMPLETED","timestamp":'), ms, F.lit("}"))
+    inv = F.concat(ev, F.lit(',"productId":"PROD-'), _s(uid % 25), F.lit('","orderId":"ORD-'), _s(eid),
+                   F.lit('","quantity":'), _s(eid % 5 + 1), F.lit(',"availableStock":'), _s(eid % 30),
+                   F.lit(',"eventType":"STOCK_RESERVED","timestamp":'), ms, F.lit("}"))
+    val = (F.when(eid % 40 == 5, F.lit("not-json")).when(r == 0, order).when(r == 1, pay).when(r == 2, inv)
+           .otherwise(F.concat(ev, F.lit(',"foo":"bar"}'))))
+    return e.select(eid.alias("offset"), F.element_at(F.array(*[F.lit(t) for t in AVRO_RECORD_TYPES]), r + 1)
+                    .alias("schema_name"), val.alias("value"))
+
+
+# ---------------------------------------------------------------- F-EOS
+def eos_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "props")
+    eid = F.col("event_id")
+    return e.select(F.lit("eos-input").alias("topic"), (F.col("user_id") % 3).cast("int").alias("partition"),
+                    eid.alias("offset"),
+                    F.when(eid % 10 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("K-"), _s(eid))).alias("key"),
+                    F.when(eid % 8 == 0, F.concat(F.lit('say "hi" '), _s(eid))).otherwise(F.col("props")).alias("value"))
+
+
+# ---------------------------------------------------------------- F-OUT
+OUTBOX_EVENT_CYCLE = ["ORDER_CREATED", "ORDER_CANCELLED", "PAYMENT_COMPLETED"]
+
+
+def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderdate")
+    k = F.col("o_orderkey")
+    st = F.when(k % 5 <= 2, "PENDING").when(k % 5 == 3, "SENT").otherwise("FAILED")
+    return o.select(
+        F.concat(F.lit("OB-"), _s(k)).alias("id"), F.lit("Order").alias("aggregate_type"),
+        F.concat(F.lit("ORD-"), _s(k)).alias("aggregate_id"),
+        F.element_at(F.array(*[F.lit(t) for t in OUTBOX_EVENT_CYCLE]), (k % 3 + 1).cast("int")).alias("event_type"),
+        F.concat(F.lit('{"orderId":"ORD-'), _s(k), F.lit('","amount":'), _s(F.col("o_totalprice").cast("decimal(19,2)")),
+                 F.lit("}")).alias("payload"),
+        F.lit("saga-event-topic").alias("topic"), st.alias("status"), F.col("o_orderdate").alias("created_at"),
+        F.when(st == "SENT", F.col("o_orderdate") + F.expr("INTERVAL 5 SECONDS")).alias("processed_at"),
+        F.when(st == "FAILED", (k % 3).cast("int")).otherwise(F.lit(0)).alias("retry_count"))
+
+
+# ---------------------------------------------------------------- F-JDBC
+def incremental_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_totalprice")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"),
+                    F.col("o_totalprice").cast("decimal(19,2)").alias("payload"))
+
+
+# ---------------------------------------------------------------- F-PROD
+def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_retailprice")
+    k = F.col("p_partkey")
+    v = p.select("*", F.explode(F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)),
+                                         lambda x: (x == 1) | ((x == 2) & (k % 2 == 0)) | ((x == 3) & (k % 5 == 0))))
+                 .alias("version"))
+    t = F.element_at(F.array(F.lit("PRODUCT_REGISTERED"), F.lit("PRODUCT_UPDATED"), F.lit("PRODUCT_DELETED")),
+                     F.col("version"))
+    price = F.when(F.col("version") == 2, (F.col("p_retailprice") * 1.1).cast("long")).otherwise(
+        F.col("p_retailprice").cast("long"))
+    return v.select((k * 10 + F.col("version")).alias("offset"), F.concat(F.lit("P-"), _s(k)).alias("product_id"),
+                    t.alias("event_type"), F.col("p_name").alias("name"), price.alias("price"),
+                    F.col("p_brand").alias("category"))
+
+
+# ---------------------------------------------------------------- F-PAY
+PAYMENT_METHODS = ["CARD", "BANK_TRANSFER", "VIRTUAL_ACCOUNT", "MOBILE", "KAKAO_PAY", "NAVER_PAY", "TOSS_PAY"]
+
+
+def payment_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Process (every order) and cancel (every 4th) commands with the gateway's answers."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    k = F.col("o_orderkey")
+    base = o.select(
+        F.concat(F.lit("PAY-"), _s(k)).alias("payment_id"), F.concat(F.lit("saga-"), _s(k)).alias("saga_id"),
+        F.concat(F.lit("ORD-"), _s(k)).alias("order_id"), F.concat(F.lit("CUST-"), _s("o_custkey")).alias("customer_id"),
+        F.col("o_totalprice").cast("decimal(19,2)").alias("amount"),
+        F.element_at(F.array(*[F.lit(m) for m in PAYMENT_METHODS]), (k % 7 + 1).cast("int")).alias("method"),
+        (k % 6 != 0).alias("gateway_success"), F.concat(F.lit("TX-"), _s(k)).alias("transaction_id"),
+        F.concat(F.lit("PK-"), _s(k)).alias("payment_key"),
+        F.when(k % 6 == 0, F.lit("Card declined")).alias("gateway_error"),
+        (k % 4 == 3).alias("cancel_requested"), (k % 8 != 7).alias("refund_success"),
+        F.concat(F.lit("RF-"), _s(k)).alias("refund_id"),
+        F.when(k % 8 == 7, F.lit("Refund window closed")).alias("refund_error"))
+    return base

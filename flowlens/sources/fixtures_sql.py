@@ -256,3 +256,70 @@ SQL["inventory_commands"] = """SELECT event_id AS seq, 'PROD-' || (user_id % 25)
   CAST(event_id % 5 + 1 AS INTEGER) AS quantity, CASE WHEN event_type = 'error' THEN 'RELEASE' ELSE 'RESERVE' END AS command
 FROM events"""
 SQL["inventory"] = """SELECT 'PROD-' || p_partkey AS product_id, 300 AS quantity, 0 AS reserved_quantity FROM part WHERE p_partkey < 24"""
+
+_H = "struct_pack(key := 'kafka_dlt-{n}', value := {v})"
+SQL["dead_letter_records"] = f"""
+SELECT CASE WHEN event_id % 4 = 0 THEN 'saga-event-topic' ELSE 'order-events' END || '.DLT' AS topic,
+  CAST(user_id % 3 AS INTEGER) AS "partition", event_id AS "offset", ts AS "timestamp",
+  CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'key-' || user_id END AS key,
+  CASE WHEN event_id % 13 = 0 THEN NULL ELSE props END AS value,
+  list_filter([
+    CASE WHEN event_id % 5 <> 0 THEN {_H.format(n='original-topic', v="CASE WHEN event_id % 4 = 0 THEN 'saga-event-topic' ELSE 'order-events' END")} END,
+    {_H.format(n='original-partition', v="CASE WHEN event_id % 7 = 0 THEN 'x' ELSE CAST(event_id % 3 AS VARCHAR) END")},
+    {_H.format(n='original-offset', v="CAST(event_id AS VARCHAR)")},
+    CASE WHEN event_id % 6 <> 0 THEN {_H.format(n='exception-message', v="'java.lang.IllegalStateException: failed ' || event_id")} END,
+    CASE WHEN event_id % 4 <> 0 THEN {_H.format(n='exception-stacktrace', v="'at com.example.Handler.handle(Handler.java:' || (event_id % 100) || ')'")} END,
+    CASE WHEN event_id % 9 = 0 THEN {_H.format(n='exception-message', v="'retry failed ' || event_id")} END
+  ], lambda h: h IS NOT NULL) AS headers
+FROM events"""
+
+_MINOR = "CAST(CAST(value AS DECIMAL(19,2)) * 100 AS BIGINT)"
+_EV = "'{\"eventId\":\"E-' || event_id || '\"'"
+SQL["typed_events"] = f"""
+SELECT event_id AS "offset",
+  CASE event_id % 4 WHEN 0 THEN 'OrderEvent' WHEN 1 THEN 'PaymentEvent' WHEN 2 THEN 'InventoryEvent' ELSE 'Unknown' END AS schema_name,
+  CASE WHEN event_id % 40 = 5 THEN 'not-json'
+    WHEN event_id % 4 = 0 THEN {_EV} || ',"orderId":"ORD-' || event_id || '"' ||
+      CASE WHEN event_id % 24 <> 0 THEN ',"customerId":"CUST-' || user_id || '"' ELSE '' END ||
+      ',"productId":"PROD-' || (user_id % 25) || '","quantity":' || (event_id % 5 + 1) || ',"totalAmount":' || {_MINOR} ||
+      ',"eventType":"ORDER_CREATED","timestamp":' || (epoch_us(ts) // 1000) || '}}'
+    WHEN event_id % 4 = 1 THEN {_EV} || ',"paymentId":"PAY-' || event_id || '","orderId":"ORD-' || event_id || '","amount":' || {_MINOR} ||
+      ',"currency":"KRW","paymentMethod":"CARD","eventType":"PAYMENT_COMPLETED","timestamp":' || (epoch_us(ts) // 1000) || '}}'
+    WHEN event_id % 4 = 2 THEN {_EV} || ',"productId":"PROD-' || (user_id % 25) || '","orderId":"ORD-' || event_id ||
+      '","quantity":' || (event_id % 5 + 1) || ',"availableStock":' || (event_id % 30) ||
+      ',"eventType":"STOCK_RESERVED","timestamp":' || (epoch_us(ts) // 1000) || '}}'
+    ELSE {_EV} || ',"foo":"bar"}}' END AS value
+FROM events"""
+
+SQL["eos_input"] = """SELECT 'eos-input' AS topic, CAST(user_id % 3 AS INTEGER) AS "partition", event_id AS "offset",
+  CASE WHEN event_id % 10 = 0 THEN NULL ELSE 'K-' || event_id END AS key,
+  CASE WHEN event_id % 8 = 0 THEN 'say "hi" ' || event_id ELSE props END AS value FROM events"""
+
+SQL["outbox"] = """SELECT 'OB-' || o_orderkey AS id, 'Order' AS aggregate_type, 'ORD-' || o_orderkey AS aggregate_id,
+  CASE o_orderkey % 3 WHEN 0 THEN 'ORDER_CREATED' WHEN 1 THEN 'ORDER_CANCELLED' ELSE 'PAYMENT_COMPLETED' END AS event_type,
+  '{"orderId":"ORD-' || o_orderkey || '","amount":' || CAST(CAST(o_totalprice AS DECIMAL(19,2)) AS VARCHAR) || '}' AS payload,
+  'saga-event-topic' AS topic,
+  CASE WHEN o_orderkey % 5 <= 2 THEN 'PENDING' WHEN o_orderkey % 5 = 3 THEN 'SENT' ELSE 'FAILED' END AS status,
+  o_orderdate AS created_at, CASE WHEN o_orderkey % 5 = 3 THEN o_orderdate + INTERVAL 5 SECOND END AS processed_at,
+  CAST(CASE WHEN o_orderkey % 5 = 4 THEN o_orderkey % 3 ELSE 0 END AS INTEGER) AS retry_count
+FROM orders"""
+
+SQL["incremental_source"] = """SELECT o_orderkey AS id, o_orderdate AS updated_at, CAST(o_totalprice AS DECIMAL(19,2)) AS payload
+FROM orders"""
+
+SQL["product_events"] = """SELECT p_partkey * 10 + version AS "offset", 'P-' || p_partkey AS product_id,
+  CASE version WHEN 1 THEN 'PRODUCT_REGISTERED' WHEN 2 THEN 'PRODUCT_UPDATED' ELSE 'PRODUCT_DELETED' END AS event_type,
+  p_name AS name, CASE WHEN version = 2 THEN CAST(trunc(p_retailprice * 1.1) AS BIGINT) ELSE CAST(trunc(p_retailprice) AS BIGINT) END AS price,
+  p_brand AS category
+FROM part, (VALUES (1), (2), (3)) v(version)
+WHERE version = 1 OR (version = 2 AND p_partkey % 2 = 0) OR (version = 3 AND p_partkey % 5 = 0)"""
+
+SQL["payment_commands"] = """SELECT 'PAY-' || o_orderkey AS payment_id, 'saga-' || o_orderkey AS saga_id, 'ORD-' || o_orderkey AS order_id,
+  'CUST-' || o_custkey AS customer_id, CAST(o_totalprice AS DECIMAL(19,2)) AS amount,
+  CASE o_orderkey % 7 WHEN 0 THEN 'CARD' WHEN 1 THEN 'BANK_TRANSFER' WHEN 2 THEN 'VIRTUAL_ACCOUNT' WHEN 3 THEN 'MOBILE'
+    WHEN 4 THEN 'KAKAO_PAY' WHEN 5 THEN 'NAVER_PAY' ELSE 'TOSS_PAY' END AS method,
+  o_orderkey % 6 <> 0 AS gateway_success, 'TX-' || o_orderkey AS transaction_id, 'PK-' || o_orderkey AS payment_key,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'Card declined' END AS gateway_error, o_orderkey % 4 = 3 AS cancel_requested,
+  o_orderkey % 8 <> 7 AS refund_success, 'RF-' || o_orderkey AS refund_id,
+  CASE WHEN o_orderkey % 8 = 7 THEN 'Refund window closed' END AS refund_error
+FROM orders"""
