@@ -13,4 +13,5 @@ from flowlens.plans import (  # noqa: F401  (registration side effects)
     q_routing,
     q_inventory,
     q_sources,
+    q_streaming,
 )

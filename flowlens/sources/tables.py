@@ -7,7 +7,9 @@ pushed into the scan by Catalyst.
 
 from __future__ import annotations
 
+import contextvars
 import os
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,28 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+_STREAMING = contextvars.ContextVar("flowlens_streaming_tables", default=None)
+
+
+@contextmanager
+def streaming_tables(max_files_per_trigger: int = 1):
+    """Inside this block :func:`table` returns streaming frames (a file
+    stream over the same parquet), so every adapter frame and operator built
+    on it becomes a Structured Streaming plan unchanged."""
+    token = _STREAMING.set(max_files_per_trigger)
+    try:
+        yield
+    finally:
+        _STREAMING.reset(token)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    per_trigger = _STREAMING.get()
+    if per_trigger is None:
+        df = spark.read.parquet(path)
+    else:
+        schema = spark.read.parquet(path).schema  # footer only; a stream never infers
+        df = (spark.readStream.schema(schema).option("pathGlobFilter", os.path.basename(path))
+              .option("maxFilesPerTrigger", per_trigger).parquet(os.path.dirname(path)))
     return df.select(*cols) if cols else df
