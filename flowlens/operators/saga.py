@@ -82,7 +82,8 @@ def saga_state(starts: DataFrame, events: DataFrame) -> DataFrame:
     return s.select(
         "saga_id", "order_id", "customer_id", "product_id", "quantity", "total_amount",
         F.coalesce("_status", "status").alias("status"),
-        F.coalesce(_step_name(F.least(F.col("_end._adv_after") + 1, F.lit(4))), F.col("current_step")).alias("current_step"),
+        F.when(F.col("_end").isNotNull(), _step_name(F.least(F.col("_end._adv_after") + 1, F.lit(4))))
+         .otherwise(F.col("current_step")).alias("current_step"),
         F.col("_end._pay_after").alias("payment_id"),
         F.col("_end._reason_after").alias("failure_reason"),
         "created_at",

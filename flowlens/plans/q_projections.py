@@ -374,7 +374,7 @@ FROM (SELECT *,
   WINDOW wb AS (PARTITION BY saga_id ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          wu AS (PARTITION BY saga_id ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 _SAGA = """SELECT s.saga_id, order_id, customer_id, product_id, quantity, total_amount, coalesce(l.st, s.status) AS status,
-  coalesce(CASE least(l.adv + 1, 4) WHEN 1 THEN 'CREATE_ORDER' WHEN 2 THEN 'PROCESS_PAYMENT' WHEN 3 THEN 'RESERVE_INVENTORY'
+  coalesce(CASE (CASE WHEN l.adv IS NULL THEN NULL ELSE least(l.adv + 1, 4) END) WHEN 1 THEN 'CREATE_ORDER' WHEN 2 THEN 'PROCESS_PAYMENT' WHEN 3 THEN 'RESERVE_INVENTORY'
            WHEN 4 THEN 'COMPLETE_SAGA' END, s.current_step) AS current_step,
   l.pay AS payment_id, l.reason AS failure_reason, created_at, coalesce(l.upd, created_at) AS updated_at, l.done AS completed_at
 FROM saga_starts s LEFT JOIN (

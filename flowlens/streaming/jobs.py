@@ -163,7 +163,8 @@ def stream_saga(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = run_available_now(spark, s, "saga", "update", ["saga_id"])
     latest = latest.select("saga_id", *[F.col(c).alias("_" + c) for c in latest.columns if c != "saga_id"])
     j = starts.join(latest, "saga_id", "left")
-    step = F.element_at(F.array(*[F.lit(x) for x in G.STEP_NAMES]), F.least(F.col("_adv") + 1, F.lit(4)).cast("int"))
+    step = F.when(F.col("_adv").isNotNull(), F.element_at(F.array(*[F.lit(x) for x in G.STEP_NAMES]),
+                                                          F.least(F.col("_adv") + 1, F.lit(4)).cast("int")))
     return j.select(
         "saga_id", "order_id", "customer_id", "product_id", "quantity", "total_amount",
         F.coalesce("_status", "status").alias("status"), F.coalesce(step, F.col("current_step")).alias("current_step"),
