@@ -49,10 +49,26 @@ def decode_order_events(records: DataFrame, mode: str = "PERMISSIVE") -> DataFra
     )
 
 
-def _text_field(v, path: str):
-    """Value at ``path`` only when it is a JSON string (a textual node)."""
-    node = F.variant_get(v, path, "variant")
-    return F.when(F.schema_of_variant(node) == "STRING", F.variant_get(v, path, "string"))
+ENVELOPE_JSON = "eventType STRING, payload STRING"
+
+
+def _is_text_token(key: str):
+    """True when ``key``'s value in the JSON text is a string token.
+
+    ``from_json`` hands back an object's raw text for a STRING field, so the
+    token type is read from the text: an escaped key inside a nested string
+    (``\\"key\\"``) cannot match, a top-level one followed by ``"`` can."""
+    return F.col("value").rlike(r'"' + key + r'"\s*:\s*"')
+
+
+def parse_once(df, expr, alias: str):
+    """Evaluate ``expr`` once per row as column ``alias``.
+
+    A ``Generate`` (inline over a one-element array) is a barrier: filters on
+    its output are not pushed below it, so an expensive parse is never
+    copied into pushed-down predicates or join conditions."""
+    keep = [c for c in df.columns]
+    return df.select(*keep, F.inline(F.array(F.struct(expr.alias(alias)))))
 
 
 def decode_saga_envelope(records: DataFrame, event_types=SAGA_EVENT_TYPES) -> DataFrame:
@@ -60,13 +76,15 @@ def decode_saga_envelope(records: DataFrame, event_types=SAGA_EVENT_TYPES) -> Da
 
     Dropped, as the consumers do: unparsable JSON, a missing or non-text
     payload, a missing or non-text type, and types outside ``event_types``.
+    Each JSON document is parsed exactly once (envelope, then payload).
     """
-    v = F.try_parse_json(F.col("value"))
-    r = records.select("offset", _text_field(v, "$.eventType").alias("event_type"),
-                       _text_field(v, "$.payload").alias("payload"))
+    r = records.select("offset", "value", _is_text_token("eventType").alias("_t1"),
+                       _is_text_token("payload").alias("_t2"))
+    r = parse_once(r, F.from_json(F.col("value"), ENVELOPE_JSON), "env")
+    r = r.select("offset", F.when(F.col("_t1"), F.col("env.eventType")).alias("event_type"),
+                 F.when(F.col("_t2"), F.col("env.payload")).alias("payload"))
     r = r.filter(F.col("payload").isNotNull() & F.col("event_type").isin(*event_types))
-    p = F.from_json(F.col("payload"), S.SAGA_PAYLOAD_JSON)
-    r = r.select("offset", "event_type", "payload", p.alias("p"))
+    r = parse_once(r, F.from_json(F.col("payload"), S.SAGA_PAYLOAD_JSON), "p")
     return r.select(
         "offset", "event_type",
         F.col("p.sagaId").alias("saga_id"), F.col("p.orderId").alias("order_id"),
