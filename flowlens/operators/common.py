@@ -68,3 +68,12 @@ def size_checked_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFram
         pass
     return df
 
+
+
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of ``one_row`` — a global aggregate, hence exactly
+    one row — to every row of ``df``. A broadcast equi-join on a constant key
+    against a side whose size is fixed at one row: no pairs are formed and
+    ``df`` is never shuffled."""
+    k = "__one"
+    return df.withColumn(k, F.lit(1)).join(F.broadcast(one_row.withColumn(k, F.lit(1))), k).drop(k)

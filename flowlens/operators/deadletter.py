@@ -128,23 +128,29 @@ def recent_hour_count(fm: DataFrame, as_of) -> DataFrame:
 
 def dlt_dashboard(fm: DataFrame, as_of, top: int = 5) -> DataFrame:
     """Status totals, top topics, retry success %, recent-hour count and
-    alert level — one row, from one scan plus one small top-k."""
+    alert level — one row.
+
+    One pass: a per-topic aggregate (partial+final), then one global
+    aggregate over that small table; totals are sums of the per-topic counts
+    and the top topics are the first ``top`` of the topics ordered by total."""
     now = _ts(as_of)
-    retried = F.col("status") == "RETRIED"
-    pend_retry = (F.col("status") == "PENDING") & (F.col("retry_count") > 0)
-    recent = ((F.col("status") == "PENDING") & F.col("created_at").between(_minus(as_of, hours=1), now)
+    st = F.col("status")
+    recent = ((st == "PENDING") & F.col("created_at").between(_minus(as_of, hours=1), now)
               & (F.date_trunc("hour", "created_at") == F.date_trunc("hour", now)))
-    s = fm.agg(*[F.count_if(F.col("status") == x).alias(x.lower()) for x in STATUSES],
-               F.count_if(retried).alias("_r"), F.count_if(pend_retry).alias("_p"),
-               F.count_if(recent).alias("recent_hour_count"))
-    d = F.col("_r") + F.col("_p")
-    s = s.select(*[x.lower() for x in STATUSES], "recent_hour_count",
-                 F.when(d > 0, F.col("_r") / d * 100).otherwise(F.lit(0.0)).alias("retry_success_rate"),
-                 alert_level("pending", "recent_hour_count").alias("alert_level"))
-    topics = topic_failure_analysis(fm).limit(top).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("total"), F.col("topic")))),
-                                 lambda x: x["topic"]), ",").alias("top_topics"))
-    return s.crossJoin(topics)
+    t = fm.groupBy(F.col("original_topic").alias("topic")).agg(
+        *[F.count_if(st == x).alias(x.lower()) for x in STATUSES],
+        F.count_if((st == "PENDING") & (F.col("retry_count") > 0)).alias("_p"),
+        F.count_if(recent).alias("_recent"))
+    total = sum((F.col(x.lower()) for x in STATUSES), F.lit(0))
+    ranked = F.array_sort(F.collect_list(F.struct((-total).alias("k"), F.col("topic"))))
+    s = t.agg(*[F.coalesce(F.sum(x.lower()), F.lit(0)).cast("long").alias(x.lower()) for x in STATUSES],
+              F.coalesce(F.sum("_p"), F.lit(0)).cast("long").alias("_p"),
+              F.coalesce(F.sum("_recent"), F.lit(0)).cast("long").alias("recent_hour_count"),
+              F.array_join(F.transform(F.slice(ranked, 1, top), lambda x: x["topic"]), ",").alias("top_topics"))
+    d = F.col("retried") + F.col("_p")
+    return s.select(*[x.lower() for x in STATUSES], "recent_hour_count",
+                    F.when(d > 0, F.col("retried") / d * 100).otherwise(F.lit(0.0)).alias("retry_success_rate"),
+                    alert_level("pending", "recent_hour_count").alias("alert_level"), "top_topics")
 
 
 def dlt_topic_detail(fm: DataFrame) -> DataFrame:

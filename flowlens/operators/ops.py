@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.classify import lag_level, rate_health
-from flowlens.operators.common import top_k_per_group
+from flowlens.operators.common import attach_one_row, top_k_per_group
 
 LEVEL_RANK = {"NORMAL": 0, "WARNING": 1, "CRITICAL": 2}
 
@@ -140,7 +140,7 @@ def metrics_summary(activity: DataFrame, lags: DataFrame) -> DataFrame:
                      F.count_if(F.col("sent") & ~F.col("acked")).alias("send_errors"))
     a = a.withColumn("errors", F.col("failed") + F.col("send_errors"))
     latest = lags.groupBy("group_id", "topic", "partition").agg(F.max_by("lag", "ts").alias("lag"))
-    return a.crossJoin(latest.agg(F.coalesce(F.sum("lag"), F.lit(0)).alias("total_lag")))
+    return attach_one_row(a, latest.agg(F.coalesce(F.sum("lag"), F.lit(0)).alias("total_lag")))
 
 
 def lag_by_partition(lags: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def pipeline_dashboard(activity: DataFrame, lags: DataFrame) -> DataFrame:
     l = cur.agg(F.coalesce(F.sum("c.lag"), F.lit(0)).alias("total_lag"),
                 F.count_if(F.col("c.level") == "CRITICAL").alias("critical_alerts"),
                 F.count_if(F.col("c.level") == "WARNING").alias("warning_alerts"))
-    d = r.crossJoin(l)
+    d = attach_one_row(r, l)
     worst = F.least("producer_success_rate", "consumer_success_rate")
     health = F.when(F.col("critical_alerts") > 0, "DEGRADED").otherwise(rate_health(worst, "DOWN", "DEGRADED", "UP"))
     return d.withColumn("overall_health", F.when(worst < 90, "DOWN").otherwise(health))
@@ -227,7 +227,7 @@ def consumer_processing_metrics(activity: DataFrame) -> DataFrame:
     per_key = activity.groupBy("key").agg(F.max_by("processing_ms", "offset").alias("latest_ms"))
     a = activity.agg(F.count_if(F.col("outcome") == "PROCESSED").alias("processed"),
                      F.count_if(F.col("outcome") == "FAILED").alias("errors"))
-    return a.crossJoin(per_key.agg(F.coalesce(F.avg("latest_ms"), F.lit(0.0)).alias("avg_processing_ms")))
+    return attach_one_row(a, per_key.agg(F.coalesce(F.avg("latest_ms"), F.lit(0.0)).alias("avg_processing_ms")))
 
 
 def rolling_failure_rate(activity: DataFrame, window: int = 10, min_calls: int = 5, threshold: float = 50.0) -> DataFrame:
@@ -330,7 +330,7 @@ def connector_health(status: DataFrame, tasks: DataFrame) -> DataFrame:
     c = status.agg(F.count(F.lit(1)).alias("connectors"),
                    *[F.count_if(F.col("state") == s).alias(s.lower()) for s in ("RUNNING", "PAUSED", "FAILED")])
     t = tasks.agg(F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("state") == "FAILED").alias("failed_tasks"))
-    h = c.crossJoin(t)
+    h = attach_one_row(c, t)
     return h.withColumn("health", F.when((F.col("failed") > 0) | (F.col("failed_tasks") > 0), "DOWN")
                         .when(F.col("paused") > 0, "DEGRADED").otherwise("UP"))
 

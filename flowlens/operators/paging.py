@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.operators.common import attach_one_row
+
 
 def paged(df: DataFrame, page: int, size: int, sort_col: str, descending: bool = False,
           key: str | None = None) -> DataFrame:
@@ -20,7 +22,7 @@ def paged(df: DataFrame, page: int, size: int, sort_col: str, descending: bool =
     content = df.orderBy(*order).offset(page * size).limit(size)
     totals = df.agg(F.count(F.lit(1)).alias("total_elements")).withColumn(
         "total_pages", F.ceil(F.col("total_elements") / F.lit(size)).cast("long"))
-    return content.crossJoin(totals)
+    return attach_one_row(content, totals)
 
 
 def page_flags(page: int, total_pages_col: str = "total_pages"):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.classify import (alert_level_sql, classify_error, classify_error_sql,
                                          classify_error_short_sql)
 from flowlens.operators import deadletter as D
+from flowlens.operators.common import attach_one_row
 from flowlens.plans.registry import register
 from flowlens.sources import fixtures as fx
 from flowlens.sources.fixtures_sql import with_fixtures
@@ -186,7 +187,7 @@ def q_dlt_detailed_dashboard(spark, sf):
     e = parts["error_patterns"].agg(F.count(F.lit(1)).alias("unique_error_types"),
                                     F.sum("message_count").alias("total_pending"))
     tr = parts["hourly_trend"].agg(F.sum("message_count").alias("trend_24h_total"))
-    return parts["summary"].crossJoin(e).crossJoin(tr)
+    return attach_one_row(attach_one_row(parts["summary"], e), tr)
 
 
 @register("distinct_topics", _sql("SELECT DISTINCT original_topic AS topic FROM failed_messages"))
