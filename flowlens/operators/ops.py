@@ -230,13 +230,30 @@ def consumer_processing_metrics(activity: DataFrame) -> DataFrame:
     return attach_one_row(a, per_key.agg(F.coalesce(F.avg("latest_ms"), F.lit(0.0)).alias("avg_processing_ms")))
 
 
-def rolling_failure_rate(activity: DataFrame, window: int = 10, min_calls: int = 5, threshold: float = 50.0) -> DataFrame:
+def rolling_failure_rate(activity: DataFrame, window: int = 10, min_calls: int = 5, threshold: float = 50.0,
+                         block: int = 1 << 20) -> DataFrame:
     """Count-based sliding failure rate per topic (last ``window`` calls);
-    reported once ``min_calls`` are seen; OPEN when at/over ``threshold``."""
-    w = Window.partitionBy("topic").orderBy("offset").rowsBetween(-(window - 1), 0)
-    failed = (F.col("outcome") == "FAILED").cast("int")
-    r = activity.select("topic", "offset", (F.avg(failed).over(w) * 100).alias("failure_rate"),
-                        F.count(F.lit(1)).over(w).alias("calls"))
+    reported once ``min_calls`` are seen; OPEN when at/over ``threshold``.
+
+    Exact without a per-topic sort: calls are cut into offset blocks; each
+    block receives, as context, the last ``window − 1`` calls before it —
+    taken from the tails of the preceding ``window − 1`` non-empty blocks
+    (a small per-block table) — and the sliding window runs per
+    (topic, block). No task holds more than one block of a hot topic."""
+    k = window - 1
+    rows = activity.select("topic", "offset", (F.col("outcome") == "FAILED").cast("int").alias("failed"),
+                           (F.col("offset") / block).cast("long").alias("_blk"))
+    tails = top_k_per_group(rows, ["topic", "_blk"], [F.col("offset").desc()], k)
+    tails = tails.groupBy("topic", "_blk").agg(F.collect_list(F.struct("offset", "failed")).alias("_tail"))
+    prev = Window.partitionBy("topic").orderBy("_blk").rowsBetween(-k, -1)
+    ctx = tails.select("topic", "_blk", F.flatten(F.collect_list("_tail").over(prev)).alias("_ctx"))
+    ctx = ctx.select("topic", "_blk", F.slice(F.reverse(F.array_sort("_ctx")), 1, k).alias("_ctx"))
+    ctx_rows = ctx.select("topic", "_blk", F.explode("_ctx").alias("c")).select(
+        "topic", F.col("c.offset").alias("offset"), F.col("c.failed").alias("failed"), "_blk", F.lit(True).alias("_is_ctx"))
+    both = rows.withColumn("_is_ctx", F.lit(False)).unionByName(ctx_rows)
+    w = Window.partitionBy("topic", "_blk").orderBy("offset").rowsBetween(-k, 0)
+    r = both.select("topic", "offset", "_is_ctx", (F.avg("failed").over(w) * 100).alias("failure_rate"),
+                    F.count(F.lit(1)).over(w).alias("calls")).filter(~F.col("_is_ctx")).drop("_is_ctx")
     r = r.withColumn("failure_rate", F.when(F.col("calls") >= min_calls, F.col("failure_rate")))
     return r.withColumn("state", F.when(F.col("failure_rate") >= threshold, "OPEN").otherwise("CLOSED"))
 

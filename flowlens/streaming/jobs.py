@@ -210,15 +210,24 @@ def _list_versions(spark: SparkSession, root: str) -> list[str]:
 
 # ------------------------------------------------------------------ ST7 micro-batches
 def micro_batches(records: DataFrame, ts_col: str, interval_minutes: int, max_size: int,
-                  order_cols: list[str]) -> DataFrame:
+                  order_cols: list[str], sub_interval: str = "1 minute") -> DataFrame:
     """ST7 (offline form): groups of at most ``max_size`` records or every
     ``interval`` — bucket by time, then chunk by arrival rank in the bucket.
-    The rank window is partitioned by the time bucket, so no task holds more
-    than one interval of records."""
-    bucket = F.window(ts_col, f"{interval_minutes} minutes")["start"]
-    r = records.withColumn("bucket_start", bucket.cast("timestamp_ntz"))
-    w = Window.partitionBy("bucket_start").orderBy(*order_cols)
-    return r.withColumn("chunk", ((F.row_number().over(w) - 1) / max_size).cast("long"))
+
+    The rank is exact without sorting a bucket in one task: records are
+    counted per ``sub_interval`` slice, a prefix sum over the (small) slice
+    table gives each slice's starting rank, and rows are ranked inside their
+    slice only. ``order_cols`` must start with the time column."""
+    bucket = F.window(ts_col, f"{interval_minutes} minutes")["start"].cast("timestamp_ntz")
+    sub = F.window(ts_col, sub_interval)["start"].cast("timestamp_ntz")
+    r = records.withColumn("bucket_start", bucket).withColumn("_sub", sub)
+    counts = r.groupBy("bucket_start", "_sub").agg(F.count(F.lit(1)).alias("_n"))
+    pw = Window.partitionBy("bucket_start").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("bucket_start", "_sub", F.coalesce(F.sum("_n").over(pw), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("bucket_start", "_sub").orderBy(*order_cols)
+    ranked = r.withColumn("_rk", F.row_number().over(w)).join(starts, ["bucket_start", "_sub"])
+    return ranked.withColumn("chunk", ((F.col("_before") + F.col("_rk") - 1) / max_size).cast("long")) \
+        .drop("_sub", "_rk", "_before")
 
 
 def stream_micro_batches(sdf: DataFrame, handler: Callable[[DataFrame, int], None], max_files: int,
