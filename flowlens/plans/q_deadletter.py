@@ -377,3 +377,26 @@ SELECT id, original_topic, retry_count,
 FROM failed_messages"""))
 def q_retry_schedule(spark, sf):
     return D.retry_schedule(_fm(spark, sf))
+
+
+@register("classify_error_short", _sql(f"SELECT id, {_CLS4} AS error_type FROM failed_messages"))
+def q_classify_error_short(spark, sf):
+    from flowlens.functions.classify import classify_error_short
+    return _fm(spark, sf).select("id", classify_error_short("error_message").alias("error_type"))
+
+
+@register("alert_level", _sql(f"""
+SELECT original_topic AS topic, pending, recent, {alert_level_sql('pending', 'recent')} AS alert_level FROM (
+  SELECT original_topic, count_if(status = 'PENDING') AS pending, count_if({_RECENT}) AS recent
+  FROM failed_messages GROUP BY original_topic)"""))
+def q_alert_level(spark, sf):
+    """F6 per topic: pending count and recent-hour count → alert level."""
+    from flowlens.functions.classify import alert_level
+    fm = _fm(spark, sf)
+    now = F.lit(AS_OF_TREND).cast("timestamp_ntz")
+    recent = ((F.col("status") == "PENDING")
+              & F.col("created_at").between(now - F.expr("INTERVAL 1 HOUR"), now)
+              & (F.date_trunc("hour", "created_at") == F.date_trunc("hour", now)))
+    g = fm.groupBy(F.col("original_topic").alias("topic")).agg(
+        F.count_if(F.col("status") == "PENDING").alias("pending"), F.count_if(recent).alias("recent"))
+    return g.withColumn("alert_level", alert_level("pending", "recent"))

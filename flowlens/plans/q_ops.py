@@ -348,3 +348,18 @@ SELECT * FROM (SELECT connector, checked_at, lag(state) OVER (PARTITION BY conne
   FROM connector_history) WHERE previous_state IS NOT NULL AND previous_state <> state""", "connector_history"))
 def q_connector_state_changes(spark, sf):
     return O.connector_state_changes(fx.connector_history(spark, sf))
+
+
+@register("rate_health", _aq("""
+SELECT topic, rate, CASE WHEN rate < 90 THEN 'DOWN' WHEN rate < 99 THEN 'DEGRADED' ELSE 'UP' END AS health FROM (
+  SELECT topic, CASE WHEN count_if(outcome IN ('PROCESSED', 'FAILED')) > 0
+    THEN count_if(outcome = 'PROCESSED') / count_if(outcome IN ('PROCESSED', 'FAILED')) * 100 ELSE 100.0 END AS rate
+  FROM activity_log GROUP BY topic)"""))
+def q_rate_health(spark, sf):
+    """F7 per topic: processing success rate → health."""
+    from flowlens.functions.classify import rate_health
+    a = _act(spark, sf)
+    done = F.count_if(F.col("outcome").isin("PROCESSED", "FAILED"))
+    g = a.groupBy("topic").agg(F.when(done > 0, F.count_if(F.col("outcome") == "PROCESSED") / done * 100)
+                               .otherwise(F.lit(100.0)).alias("rate"))
+    return g.withColumn("health", rate_health("rate"))

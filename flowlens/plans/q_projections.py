@@ -446,3 +446,17 @@ def q_saga_projection(spark, sf):
 @register("events_with_known_saga", _qs("SELECT * FROM saga_decoded WHERE saga_id IN (SELECT saga_id FROM saga_starts)"))
 def q_events_with_known_saga(spark, sf):
     return G.events_with_known_saga(_events(spark, sf), fx.saga_starts(spark, sf))
+
+
+@register("average_order_value", _cq("""
+SELECT customer_id, CASE WHEN completed_orders > 0
+    THEN ((CAST(total_spent * 100 AS HUGEINT) * 2 + completed_orders) // (2 * completed_orders)) / 100.0 ELSE 0.0 END
+  AS average_order_value FROM stats"""))
+def q_average_order_value(spark, sf):
+    return _stats(spark, sf).select("customer_id", P.average_order_value().alias("average_order_value"))
+
+
+@register("success_rate", _cq("SELECT customer_id, CASE WHEN total_orders > 0 THEN completed_orders / total_orders * 100 "
+                              "ELSE 0.0 END AS success_rate FROM stats"))
+def q_success_rate(spark, sf):
+    return _stats(spark, sf).select("customer_id", P.success_rate().alias("success_rate"))

@@ -173,3 +173,12 @@ def q_tenant_activate(spark, sf):
 @register("tenant_remove", _tq("SELECT * FROM tenants WHERE tenant_id NOT IN (SELECT tenant_id FROM ids)", ids=_RIDS.format(r=0)))
 def q_tenant_remove(spark, sf):
     return R.tenant_remove(fx.tenants(spark, sf), _region_ids(spark, sf, 0))
+
+
+@register("tenant_group", _tq("SELECT DISTINCT tenant_id, 'order-group-' || tenant_id AS tenant_group, "
+                              "'tenant-' || tenant_id || '-*' AS tenant_pattern FROM ext WHERE tenant_id IS NOT NULL",
+                              ext=_EXTRACT))
+def q_tenant_group(spark, sf):
+    m = _msgs(spark, sf).select("tenant_id").filter(F.col("tenant_id").isNotNull()).distinct()
+    return m.select("tenant_id", R.tenant_group(F.lit("order-group"), "tenant_id").alias("tenant_group"),
+                    R.tenant_pattern("tenant_id").alias("tenant_pattern"))

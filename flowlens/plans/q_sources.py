@@ -315,3 +315,8 @@ SELECT product_id, l['name'] AS name, l['price'] AS price, l['category'] AS cate
   GROUP BY product_id) WHERE l['event_type'] <> 'PRODUCT_DELETED'""", "product_events"))
 def q_product_catalog(spark, sf):
     return W.product_catalog(fx.product_events(spark, sf))
+
+
+@register("eos_wrap", with_fixtures(f'SELECT "offset", {_WRAP} AS wrapped FROM eos_input', "eos_input"))
+def q_eos_wrap(spark, sf):
+    return fx.eos_input(spark, sf).select("offset", C.eos_wrap(processed_at=PROCESSED_AT_MS).alias("wrapped"))

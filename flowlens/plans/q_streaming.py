@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.plans.q_projections import _PREFIX, _SAGA, _SUMMARY
-from flowlens.plans.q_sources import _capture_sql
+from flowlens.plans.q_sources import PROCESSED_AT_MS, _capture_sql
+from flowlens.plans.registry import ORACLE
 from flowlens.plans.q_state import _COMPACT
 from flowlens.plans.q_stats import _HOURLY_SQL, _STATS_SQL
 from flowlens.plans.registry import register
@@ -85,3 +86,22 @@ SELECT "offset", late_timestamp, window_end, stream_time FROM (
   FROM order_events) WHERE window_end <= stream_time""", "order_events"))
 def q_late_event_audit(spark, sf):
     return J.late_event_audit(fx.order_events(spark, sf), "late_timestamp", "offset", 60)
+
+
+_EOS_OUT = ORACLE["exactly_once_transform"]
+_EOS_AUDIT = ORACLE["eos_audit"]
+
+
+@register("file_source_sink", with_fixtures("SELECT 'order-events' AS topic, order_id AS value FROM order_events", "order_events"))
+def q_file_source_sink(spark, sf):
+    return J.file_source_sink(spark, sf)
+
+
+@register("exactly_once_fanout", _EOS_OUT)
+def q_exactly_once_fanout(spark, sf):
+    return J.exactly_once_fanout_job(spark, sf, PROCESSED_AT_MS)[0]
+
+
+@register("exactly_once_fanout_audit", _EOS_AUDIT)
+def q_exactly_once_fanout_audit(spark, sf):
+    return J.exactly_once_fanout_job(spark, sf, PROCESSED_AT_MS)[1]

@@ -298,3 +298,18 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def kafka_source(spark: SparkSession, bootstrap: str, topics: str | None = None, pattern: str | None = None,
+                 max_offsets_per_trigger: int | None = None, stream: bool = True) -> DataFrame:
+    """A Kafka topic as records — committed data only
+    (``read_committed``), from the earliest offset, with headers. Needs the
+    spark-sql-kafka package on the cluster (not deployed in this image)."""
+    r = (spark.readStream if stream else spark.read).format("kafka").option("kafka.bootstrap.servers", bootstrap)
+    r = r.option("subscribePattern", pattern) if pattern else r.option("subscribe", topics)
+    r = (r.option("startingOffsets", "earliest").option("kafka.isolation.level", "read_committed")
+         .option("includeHeaders", "true"))
+    if max_offsets_per_trigger and stream:
+        r = r.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
+    return r.load().select("topic", "partition", "offset", "timestamp", F.col("key").cast("string").alias("key"),
+                           F.col("value").cast("string").alias("value"), "headers")

@@ -298,3 +298,25 @@ def late_event_audit(events: DataFrame, ts_col: str = "late_timestamp", order_co
     window_end = F.window(ts_col, f"{window_minutes} minutes")["end"]
     return inner.select(order_col, ts_col, window_end.alias("window_end"), stream_time.alias("stream_time")) \
         .filter(F.col("window_end") <= F.col("stream_time"))
+
+
+# ------------------------------------------------------------------ S10, S13 as jobs
+def file_source_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records → text file → records (sink then source) below the
+    shared checkpoint folder."""
+    path = scratch_path(spark, f"file-sink-{uuid.uuid4().hex[:12]}")
+    recs = fx.order_events(spark, sf_dir).select(F.col("order_id").alias("value"))
+    C.file_sink(recs, path)
+    return C.file_source(spark, path, "order-events")
+
+
+def exactly_once_fanout_job(spark: SparkSession, sf_dir: str, processed_at: int) -> tuple[DataFrame, DataFrame]:
+    """One input stream → output and audit sinks written by one
+    ``foreachBatch`` under the batch id; returns both sinks read back."""
+    base = scratch_path(spark, f"eos-fanout-{uuid.uuid4().hex[:12]}")
+    with streaming_tables():
+        src = fx.eos_input(spark, sf_dir)
+    q = (src.writeStream.foreachBatch(C.exactly_once_fanout(f"{base}/out", f"{base}/audit", processed_at))
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return (spark.read.parquet(f"{base}/out").drop("batch_id"), spark.read.parquet(f"{base}/audit").drop("batch_id"))
