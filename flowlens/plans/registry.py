@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.session import apply_defaults
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
@@ -25,6 +27,7 @@ def register(key: str, sql: str | None = None):
             raise ValueError(f"duplicate query key {key!r}")
 
         def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            apply_defaults(spark)
             return comparable(fn(spark, sf_dir))
 
         wrapped.__name__ = fn.__name__

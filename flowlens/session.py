@@ -37,10 +37,20 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+# Runtime settings the operators' results depend on (event times are UTC)
+# or that only change the physical plan; safe to set on a caller's session.
+RUNTIME_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
 def apply_defaults(spark: SparkSession) -> SparkSession:
     """Set the runtime SQL settings flowlens assumes on an existing session."""
-    for k, v in DEFAULT_CONF.items():
-        if k.startswith("spark.sql."):
+    for k, v in RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
     return spark
 
