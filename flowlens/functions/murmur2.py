@@ -101,3 +101,34 @@ def murmur2(text: Column | str) -> Column:
 def to_positive(h: Column) -> Column:
     """``h & 0x7fffffff``."""
     return h.cast("long").bitwiseAND(F.lit(0x7FFFFFFF))
+
+
+def murmur2_sql_ctes(src: str, text: str, out: str, prefix: str) -> dict[str, str]:
+    """DuckDB twin for the oracle: CTEs that add ``out`` = signed murmur2 of
+    the text expression ``text`` to every row of ``src`` (ASCII text: one
+    byte per character). 64-bit arithmetic masked to 32 bits; blocks folded
+    with ``list_reduce``."""
+    m, mask = M, 0xFFFFFFFF
+
+    def b(j: str) -> str:
+        return f"CAST(unicode(substr(_t, CAST({j} AS BIGINT) + 1, 1)) AS BIGINT)"
+
+    blocks = (f"list_transform(range(_L // 4), lambda i: ({b('4*i')} | ({b('4*i+1')} << 8) | "
+              f"({b('4*i+2')} << 16) | ({b('4*i+3')} << 24)))")
+    k1 = f"list_transform({blocks}, lambda k: (k * {m}) & {mask})"
+    k2 = f"list_transform({k1}, lambda k: xor(k, k >> {R}))"
+    k3 = f"list_transform({k2}, lambda k: (k * {m}) & {mask})"
+    p = prefix
+    tail = (f"(CASE WHEN _L % 4 = 3 THEN {b('_L - 1')} << 16 ELSE 0 END) | "
+            f"(CASE WHEN _L % 4 >= 2 THEN {b('_L - _L % 4 + 1')} << 8 ELSE 0 END) | {b('_L - _L % 4')}")
+    return {
+        f"{p}0": f"SELECT *, coalesce({text}, '') AS _t, length(coalesce({text}, '')) AS _L FROM {src}",
+        f"{p}1": f"SELECT *, list_reduce({k3}, lambda h, k: xor((h * {m}) & {mask}, k), xor({SEED}, _L) & {mask}) AS _h1 "
+                 f"FROM {p}0",
+        f"{p}2": f"SELECT *, CASE WHEN _L % 4 = 0 THEN _h1 ELSE (xor(_h1, {tail}) * {m}) & {mask} END AS _h2 FROM {p}1",
+        f"{p}3": f"SELECT *, xor(_h2, _h2 >> 13) AS _h3 FROM {p}2",
+        f"{p}4": f"SELECT *, (_h3 * {m}) & {mask} AS _h4 FROM {p}3",
+        f"{p}5": (f"SELECT * EXCLUDE (_t, _L, _h1, _h2, _h3, _h4, _h5), CAST(CASE WHEN _h5 >= 2147483648 "
+                  f"THEN _h5 - 4294967296 ELSE _h5 END AS INTEGER) AS {out} "
+                  f"FROM (SELECT *, xor(_h4, _h4 >> 15) AS _h5 FROM {p}4)"),
+    }

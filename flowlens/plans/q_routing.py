@@ -4,41 +4,86 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.functions.murmur2 import murmur2
+from flowlens.functions.murmur2 import murmur2, murmur2_sql_ctes
 from flowlens.operators import routing as R
 from flowlens.plans.registry import register
 from flowlens.sources import fixtures as fx
 from flowlens.sources.fixtures_sql import with_fixtures
 
 
-# ------------------------------------------------------------------ partitioners (rows-only: murmur2 has no SQL twin)
-@register("murmur2_hash")
+# ------------------------------------------------------------------ partitioners
+def _hash_sql(body: str, text: str = "coalesce(key, value)") -> str:
+    """Oracle SQL over the routing keys with ``h`` = murmur2(text) and ``hp``
+    its positive form (``h & 0x7fffffff``)."""
+    ctes = murmur2_sql_ctes("routing_keys", text, "h", "mm")
+    ctes["hashed"] = "SELECT *, CAST(h AS BIGINT) & 2147483647 AS hp FROM mm5"
+    return with_fixtures(body, "routing_keys", extra=ctes)
+
+
+def _range_sql(start: int, count: int) -> str:
+    es = f"least({start}, num_partitions - 1)"
+    ec = f"least({count}, num_partitions - {es})"
+    return f"CASE WHEN {ec} <= 0 THEN hp % num_partitions ELSE {es} + hp % {ec} END"
+
+
+_BUSINESS = f"""CAST(CASE WHEN key IS NULL THEN hp % num_partitions
+  WHEN starts_with(upper(key), 'ORDER-') THEN {_range_sql(0, 3)}
+  WHEN starts_with(upper(key), 'PAYMENT-') THEN {_range_sql(3, 3)}
+  WHEN starts_with(upper(key), 'INVENTORY-') OR starts_with(upper(key), 'PRODUCT-') THEN {_range_sql(6, 3)}
+  ELSE hp % num_partitions END AS INTEGER)"""
+
+
+@register("murmur2_hash", _hash_sql("SELECT event_id, key, h AS murmur2 FROM hashed"))
 def q_murmur2_hash(spark, sf):
     """murmur2 of each routing key (NULL keys hash their value bytes)."""
     k = fx.routing_keys(spark, sf)
     return k.select("event_id", "key", murmur2(F.coalesce("key", "value")).alias("murmur2"))
 
 
-@register("business_key_partition")
+@register("business_key_partition", _hash_sql(f"SELECT event_id, key, num_partitions, {_BUSINESS} AS partition FROM hashed"))
 def q_business_key_partition(spark, sf):
     k = fx.routing_keys(spark, sf)
     return k.select("event_id", "key", "num_partitions", R.business_key_partition().alias("partition"))
 
 
-@register("vip_customer_partition")
+_CID = ("CASE WHEN starts_with(upper(key), 'CUSTOMER-') OR starts_with(upper(key), 'CUST-') THEN substr(key, instr(key, '-') + 1) "
+        "WHEN regexp_full_match(key, '[A-Za-z0-9_-]+') THEN key END")
+
+
+@register("vip_customer_partition", _hash_sql(f"""
+SELECT event_id, key, num_partitions, CAST(CASE WHEN key IS NULL THEN hp % num_partitions
+  WHEN {_CID} IN ({", ".join("'" + v + "'" for v in fx.VIP_CUSTOMERS)}) THEN least(0, num_partitions - 1)
+  WHEN num_partitions - 1 > 0 THEN 1 + hp % (num_partitions - 1) ELSE hp % num_partitions END AS INTEGER) AS partition
+FROM hashed"""))
 def q_vip_customer_partition(spark, sf):
     k = fx.routing_keys(spark, sf)
     return k.select("event_id", "key", "num_partitions", R.vip_customer_partition(fx.VIP_CUSTOMERS).alias("partition"))
 
 
-@register("priority_partition")
+def _any_prefix(ps):
+    return " OR ".join(f"starts_with(upper(coalesce(key, '')), '{p}')" for p in ps)
+
+
+_PRIO = (f"CASE WHEN {_any_prefix(R.HIGH_PREFIXES)} THEN 'HIGH' WHEN {_any_prefix(R.MEDIUM_PREFIXES)} THEN 'MEDIUM' "
+         f"WHEN {_any_prefix(R.LOW_PREFIXES)} THEN 'LOW' ELSE 'DEFAULT' END")
+_STRIP = ("CASE " + " ".join(f"WHEN starts_with(upper(coalesce(key, '')), '{p}') THEN substr(coalesce(key, ''), {len(p) + 1})"
+                             for p in R.HIGH_PREFIXES + R.MEDIUM_PREFIXES + R.LOW_PREFIXES) + " ELSE coalesce(key, '') END")
+_PRIO_PART = """CAST(CASE WHEN num_partitions = 1 THEN 0 WHEN priority = 'HIGH' THEN least(0, num_partitions - 1)
+  WHEN priority = 'MEDIUM' THEN CASE WHEN least(2, num_partitions - least(1, num_partitions - 1)) <= 0 THEN hp % num_partitions
+    ELSE least(1, num_partitions - 1) + hp % least(2, num_partitions - least(1, num_partitions - 1)) END
+  ELSE least(3, num_partitions - 1) + hp % greatest(num_partitions - least(3, num_partitions - 1), 1) END AS INTEGER)"""
+
+
+@register("priority_partition", _hash_sql(f"SELECT event_id, key, num_partitions, priority, {_PRIO_PART} AS partition "
+                                          f"FROM (SELECT *, {_PRIO} AS priority FROM hashed)", text=_STRIP))
 def q_priority_partition(spark, sf):
     k = fx.routing_keys(spark, sf)
     return k.select("event_id", "key", "num_partitions", R.priority_of().alias("priority"),
                     R.priority_partition().alias("partition"))
 
 
-@register("partition_distribution")
+@register("partition_distribution", _hash_sql(
+    f"SELECT num_partitions, {_BUSINESS} AS partition, count(*) AS message_count FROM hashed GROUP BY ALL"))
 def q_partition_distribution(spark, sf):
     k = fx.routing_keys(spark, sf).withColumn("partition", R.business_key_partition())
     return k.groupBy("num_partitions", "partition").agg(F.count(F.lit(1)).alias("message_count"))

@@ -50,12 +50,6 @@ def q_stream_projection(spark, sf):
     return J.stream_projection(spark, sf)
 
 
-@register("stream_inventory")
-def q_stream_inventory(spark, sf):
-    """ST9 (rows-only, like its batch twin A9)."""
-    return J.stream_inventory(spark, sf)
-
-
 @register("stream_dlt_capture", with_fixtures(_capture_sql(True), "dead_letter_records"))
 def q_stream_dlt_capture(spark, sf):
     return J.stream_dlt_capture(spark, sf)

@@ -323,3 +323,12 @@ SQL["payment_commands"] = """SELECT 'PAY-' || o_orderkey AS payment_id, 'saga-'
   o_orderkey % 8 <> 7 AS refund_success, 'RF-' || o_orderkey AS refund_id,
   CASE WHEN o_orderkey % 8 = 7 THEN 'Refund window closed' END AS refund_error
 FROM orders"""
+
+SQL["routing_keys"] = """SELECT event_id,
+  CASE event_id % 12 WHEN 4 THEN 'CUSTOMER-VIP-001' WHEN 6 THEN 'GOLD-001' WHEN 11 THEN NULL
+    WHEN 3 THEN 'PRODUCT-' || user_id WHEN 5 THEN 'CUST-' || user_id
+    WHEN 0 THEN 'ORDER-' || event_id WHEN 1 THEN 'payment-' || event_id WHEN 2 THEN 'INVENTORY-' || event_id
+    WHEN 7 THEN 'HIGH:' || event_id WHEN 8 THEN 'p2:' || event_id WHEN 9 THEN 'BATCH:' || event_id
+    ELSE 'plain-' || event_id END AS key,
+  props AS value, CASE (event_id // 12) % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 6 WHEN 3 THEN 9 ELSE 12 END AS num_partitions
+FROM events"""
