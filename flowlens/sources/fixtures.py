@@ -100,33 +100,34 @@ def saga_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The fan-out joins each order to the fixed scenario table (a literal of
     27 rows, broadcast by construction), so it stays a map-side operation.
+    Payloads are ``to_json`` of one struct per event whose fields outside the
+    event's type are NULL (and therefore omitted), in the reference's field order.
     """
     b = _saga_base(spark, sf_dir).join(F.broadcast(_scenarios(spark)), "k")
-    ts = F.col("o_orderdate") + F.make_interval(mins=F.col("seq"))
-    head = F.concat(F.lit('{"sagaId":"'), F.col("saga_id"), F.lit('","orderId":"'), F.col("order_id"), F.lit('"'))
-    tail = F.concat(F.lit(',"timestamp":"'), _iso(ts), F.lit('"}'))
-    qty, amt = _s("quantity"), _s("total_amount")
     t = F.col("sc_type")
-    mid = (F.when(t == "ORDER_CREATED", F.concat(
-                F.lit(',"customerId":"'), F.col("customer_id"), F.lit('","productId":"'), F.col("product_id"),
-                F.lit('","quantity":'), qty, F.lit(',"totalAmount":'), amt))
-           .when(t.isin("ORDER_CANCELLED", "PAYMENT_FAILED"),
-                 F.concat(F.lit(',"reason":'), _json_str(F.col("reason"))))
-           .when(t == "PAYMENT_COMPLETED", F.concat(
-                F.lit(',"paymentId":"'), F.col("payment_id"), F.lit('","amount":'), amt))
-           .when(t == "PAYMENT_CANCELLED", F.concat(
-                F.lit(',"paymentId":"'), F.col("payment_id"), F.lit('","reason":'), _json_str(F.col("reason"))))
-           .when(t == "INVENTORY_FAILED", F.concat(
-                F.lit(',"productId":"'), F.col("product_id"), F.lit('","requestedQuantity":'), qty,
-                F.lit(',"availableQuantity":0,"reason":'), _json_str(F.col("reason"))))
-           .otherwise(F.concat(F.lit(',"productId":"'), F.col("product_id"), F.lit('","quantity":'), qty)))
-    created = F.concat(head, F.lit(',"customerId":"'), F.col("customer_id"), F.lit('","productId":"'),
-                       F.col("product_id"), F.lit('","quantity":'), qty, F.lit(',"totalAmount":'), amt, tail)
-    payload = F.concat(head, mid, tail)
-    env = F.concat(F.lit('{"eventType":"'), t, F.lit('","payload":'), _json_str(payload), F.lit("}"))
+    ts = (F.col("o_orderdate") + F.make_interval(mins=F.col("seq"))).cast("timestamp_ntz")
+    opts = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}
+    when = lambda types, c: F.when(t.isin(*types), c)
+    payload = F.to_json(F.struct(
+        F.col("saga_id").alias("sagaId"), F.col("order_id").alias("orderId"),
+        when(["ORDER_CREATED"], F.col("customer_id")).alias("customerId"),
+        when(["ORDER_CREATED", "INVENTORY_RESERVED", "INVENTORY_FAILED", "INVENTORY_RELEASED"],
+             F.col("product_id")).alias("productId"),
+        when(["PAYMENT_COMPLETED", "PAYMENT_CANCELLED"], F.col("payment_id")).alias("paymentId"),
+        when(["ORDER_CREATED", "INVENTORY_RESERVED", "INVENTORY_RELEASED"], F.col("quantity")).alias("quantity"),
+        when(["ORDER_CREATED"], F.col("total_amount")).alias("totalAmount"),
+        when(["PAYMENT_COMPLETED"], F.col("total_amount")).alias("amount"),
+        when(["INVENTORY_FAILED"], F.col("quantity")).alias("requestedQuantity"),
+        when(["INVENTORY_FAILED"], F.lit(0)).alias("availableQuantity"),
+        F.col("reason").alias("reason"), ts.alias("timestamp")), opts)
+    created = F.to_json(F.struct(
+        F.col("saga_id").alias("sagaId"), F.col("order_id").alias("orderId"), F.col("customer_id").alias("customerId"),
+        F.col("product_id").alias("productId"), F.col("quantity").alias("quantity"),
+        F.col("total_amount").alias("totalAmount"), ts.alias("timestamp")), opts)
+    env = F.to_json(F.struct(t.alias("eventType"), payload.alias("payload")))
     bad = (F.col("o_orderkey") / 10).cast("long") % 4
-    malformed = (F.when(bad == 0, F.concat(F.lit('{"eventType":"ORDER_SHIPPED","payload":'), _json_str(created), F.lit("}")))
-                  .when(bad == 1, F.concat(F.lit('{"payload":'), _json_str(created), F.lit("}")))
+    malformed = (F.when(bad == 0, F.to_json(F.struct(F.lit("ORDER_SHIPPED").alias("eventType"), created.alias("payload"))))
+                  .when(bad == 1, F.to_json(F.struct(created.alias("payload"))))
                   .when(bad == 2, F.lit('{"eventType":"ORDER_CREATED"}'))
                   .otherwise(F.concat(F.lit('{"eventType":"ORDER_CREATED","payload":'), created, F.lit("}"))))
     return b.select(
