@@ -45,13 +45,29 @@ def _batch_writer(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def start_stream(spark: SparkSession, writer):
+    """Start a query with as many state partitions as the cluster has cores.
+
+    A stateful query fixes its state-store partition count when its
+    checkpoint is created; ``spark.default.parallelism`` scales with the
+    cluster, whereas a fixed ``spark.sql.shuffle.partitions`` (200 by
+    default) would be too many for a small stream and too few for a large one."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_available_now(spark: SparkSession, sdf: DataFrame, name: str, mode: str = "append",
                       key_cols: list[str] | None = None, writer: Callable | None = None) -> DataFrame:
     """Run a streaming plan to completion; return its output as a batch frame."""
     base = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
     out = f"{base}/out"
-    q = (sdf.writeStream.outputMode(mode).foreachBatch(writer(out) if writer else _batch_writer(out))
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q = start_stream(spark, sdf.writeStream.outputMode(mode).foreachBatch(writer(out) if writer else _batch_writer(out))
+                     .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True))
     q.awaitTermination()
     res = spark.read.parquet(out)
     if key_cols:
@@ -118,87 +134,72 @@ def stream_dlt_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ ST5 saga
-SAGA_OUT = ("saga_id STRING, status STRING, adv INT, payment_id STRING, failure_reason STRING, "
-            "updated_at TIMESTAMP_NTZ, completed_at TIMESTAMP_NTZ")
-SAGA_STATE = "status STRING, adv INT, payment_id STRING, failure_reason STRING, updated_at TIMESTAMP_NTZ, completed_at TIMESTAMP_NTZ"
-
-
-def _saga_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        status, adv, pay, reason, upd, done = state.get
-    else:
-        status, adv, pay, reason, upd, done = "ORDER_PENDING", 0, None, None, None, None
-    ev = pd.concat(list(pdfs)).sort_values("offset")
-    for t, p, r, ts in zip(ev["event_type"], ev["payment_id"], ev["reason"], ev["event_ts"]):
-        step = min(adv + 1, 4)
-        if t == "ORDER_CREATED":
-            status, adv = "PAYMENT_PENDING", adv + 1
-        elif t == "ORDER_CANCELLED":
-            status, done = "COMPENSATED", ts
-        elif t == "PAYMENT_COMPLETED":
-            status, adv, pay = "INVENTORY_PENDING", adv + 1, p
-        elif t in ("PAYMENT_FAILED", "INVENTORY_FAILED"):
-            reason = r
-            if step >= 2:
-                status = "COMPENSATING"
-            else:
-                status, done = "FAILED", ts
-        elif t == "INVENTORY_RESERVED":
-            status, done = "COMPLETED", ts
-        upd = ts if upd is None or ts > upd else upd
-    state.update((status, adv, pay, reason, upd, done))
-    yield pd.DataFrame([{"saga_id": key[0], "status": status, "adv": adv, "payment_id": pay, "failure_reason": reason,
-                         "updated_at": upd, "completed_at": done}])
+def _upsert_touched(spark: SparkSession, base: str, key: str, recompute: Callable[[DataFrame, DataFrame], DataFrame]):
+    """foreachBatch body shared by the view-maintaining streams: append the
+    batch to the event table, recompute only the keys it touched from their
+    full history (so late or out-of-order events are applied in offset
+    order), and write a new version of the view with those keys replaced."""
+    events_path, view_root = f"{base}/events", f"{base}/view"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{events_path}/_batch={batch_id}")
+        # touched keys from the batch just written: the micro-batch plan is not run twice
+        touched = spark.read.parquet(f"{events_path}/_batch={batch_id}").select(key).distinct()
+        history = spark.read.parquet(events_path).drop("_batch").join(touched, key, "left_semi")
+        fresh = recompute(history, touched)
+        versions = _list_versions(spark, view_root) if _exists(spark, view_root) else []
+        if versions:
+            last = max(int(v.split("=")[-1]) for v in versions)
+            fresh = C.upsert_merge(spark.read.parquet(f"{view_root}/v={last}"), fresh, [key])
+        fresh.write.mode("overwrite").parquet(f"{view_root}/v={batch_id}")
+
+    return write, view_root
 
 
 def stream_saga(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST5: continuous A6 with ``applyInPandasWithState`` (state per saga;
-    events inside a micro-batch are applied in offset order)."""
+    """ST5: continuous A6 — each micro-batch re-folds only the sagas it
+    touched (a saga's state is a function of its own short history); sagas
+    without events keep their start state."""
     starts = fx.saga_starts(spark, sf_dir)
+    base = scratch_path(spark, f"stream-saga-{uuid.uuid4().hex[:12]}")
+    write, view_root = _upsert_touched(
+        spark, base, "saga_id",
+        lambda history, touched: G.saga_state(starts.join(touched, "saga_id", "left_semi"), history))
     with streaming_tables():
-        ev = decode.decode_saga_envelope(fx.saga_events(spark, sf_dir))
-        ev = G.events_with_known_saga(ev, starts).select("saga_id", "offset", "event_type", "payment_id", "reason", "event_ts")
-        s = ev.groupBy("saga_id").applyInPandasWithState(_saga_step, SAGA_OUT, SAGA_STATE, "update",
-                                                         GroupStateTimeout.NoTimeout)
-    latest = run_available_now(spark, s, "saga", "update", ["saga_id"])
-    latest = latest.select("saga_id", *[F.col(c).alias("_" + c) for c in latest.columns if c != "saga_id"])
-    j = starts.join(latest, "saga_id", "left")
-    step = F.when(F.col("_adv").isNotNull(), F.element_at(F.array(*[F.lit(x) for x in G.STEP_NAMES]),
-                                                          F.least(F.col("_adv") + 1, F.lit(4)).cast("int")))
-    return j.select(
-        "saga_id", "order_id", "customer_id", "product_id", "quantity", "total_amount",
-        F.coalesce("_status", "status").alias("status"), F.coalesce(step, F.col("current_step")).alias("current_step"),
-        F.col("_payment_id").alias("payment_id"), F.col("_failure_reason").alias("failure_reason"), "created_at",
-        F.coalesce("_updated_at", "created_at").alias("updated_at"), F.col("_completed_at").alias("completed_at"))
+        ev = G.events_with_known_saga(decode.decode_saga_envelope(fx.saga_events(spark, sf_dir)), starts)
+    q = start_stream(spark, ev.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
+                     .trigger(availableNow=True))
+    q.awaitTermination()
+    versions = _list_versions(spark, view_root) if _exists(spark, view_root) else []
+    if not versions:
+        return G.saga_state(starts, ev.sparkSession.createDataFrame([], ev.schema))
+    view = spark.read.parquet(f"{view_root}/v={max(int(v.split('=')[-1]) for v in versions)}")
+    untouched = starts.join(view.select("saga_id"), "saga_id", "left_anti")
+    empty = spark.createDataFrame([], ev.schema)
+    return view.unionByName(G.saga_state(untouched, empty))
 
 
 # ------------------------------------------------------------------ ST6 projection
 def stream_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST6: continuous A3 — each micro-batch appends its events to the event
     table, then recomputes only the orders it touched and upserts them into
-    the summary table (new version per batch)."""
+    the summary table (a new version per batch)."""
     base = scratch_path(spark, f"stream-projection-{uuid.uuid4().hex[:12]}")
-    events_path, summary_root = f"{base}/events", f"{base}/summary"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{events_path}/_batch={batch_id}")
-        touched = batch.select("order_id").distinct()
-        events = spark.read.parquet(events_path).drop("_batch")
-        fresh = P.order_summary_view(events.join(touched, "order_id", "left_semi"))
-        try:
-            prev = spark.read.parquet(f"{summary_root}/v={batch_id - 1}")
-            fresh = C.upsert_merge(prev, fresh, ["order_id"])
-        except Exception:  # first batch: no previous version
-            pass
-        fresh.write.mode("overwrite").parquet(f"{summary_root}/v={batch_id}")
-
+    write, view_root = _upsert_touched(spark, base, "order_id",
+                                       lambda history, touched: P.order_summary_view(history))
     with streaming_tables():
         ev = decode.decode_saga_envelope(fx.saga_events(spark, sf_dir))
-    q = (ev.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
-         .trigger(availableNow=True).start())
+    q = start_stream(spark, ev.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
+                     .trigger(availableNow=True))
     q.awaitTermination()
-    last = max(int(p.split("=")[-1]) for p in _list_versions(spark, summary_root))
-    return spark.read.parquet(f"{summary_root}/v={last}")
+    last = max(int(p.split("=")[-1]) for p in _list_versions(spark, view_root))
+    return spark.read.parquet(f"{view_root}/v={last}")
+
+
+def _exists(spark: SparkSession, root: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
 def _list_versions(spark: SparkSession, root: str) -> list[str]:
@@ -316,7 +317,7 @@ def exactly_once_fanout_job(spark: SparkSession, sf_dir: str, processed_at: int)
     base = scratch_path(spark, f"eos-fanout-{uuid.uuid4().hex[:12]}")
     with streaming_tables():
         src = fx.eos_input(spark, sf_dir)
-    q = (src.writeStream.foreachBatch(C.exactly_once_fanout(f"{base}/out", f"{base}/audit", processed_at))
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q = start_stream(spark, src.writeStream.foreachBatch(C.exactly_once_fanout(f"{base}/out", f"{base}/audit", processed_at))
+                     .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True))
     q.awaitTermination()
     return (spark.read.parquet(f"{base}/out").drop("batch_id"), spark.read.parquet(f"{base}/audit").drop("batch_id"))
