@@ -7,7 +7,11 @@ Every job is the batch operator applied to a streaming source (see
   written by ``foreachBatch`` under ``_batch=<id>`` with overwrite, so a
   replayed batch after an executor or driver failure rewrites the same files
   (idempotent sink + checkpointed offsets = exactly-once);
-* custom per-key state (saga, inventory) uses ``applyInPandasWithState``;
+* views whose key has a short history (saga state, order summary) are
+  maintained by re-folding only the keys a micro-batch touched, from their
+  full history, with the batch operator (JVM-side, order-correct);
+* the inventory fold, whose hot products must not be re-read, keeps one
+  integer of state per product with ``applyInPandasWithState``;
 * all checkpoints and outputs live below ``spark.checkpoint.dir`` (shared
   storage on a cluster).
 
