@@ -49,25 +49,15 @@ def first_by_key(df: DataFrame, key_cols, order_col: str | Column) -> DataFrame:
     return agg.select(*ks, *[F.col("__first")[c].alias(c) for c in rest])
 
 
-def size_checked_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only when the side is known to be small.
-
-    The bound is checked on the optimized plan's row statistics when present;
-    without statistics we do not hint and leave the choice to AQE, which
-    switches to a broadcast at runtime once the real size is known.
-    """
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        rc = stats.rowCount()
-        if rc.isDefined() and int(rc.get().toString()) <= max_rows:
-            return F.broadcast(df)
-        size = int(stats.sizeInBytes().toString())
-        if size <= 64 * 1024 * 1024:
-            return F.broadcast(df)
-    except Exception:  # pragma: no cover - statistics are best effort
-        pass
-    return df
-
+def size_checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast hint only behind a proven bound on the side's size.
+
+    The bound is proven with ``limit(max_rows + 1).count()`` — a job that
+    stops reading as soon as the limit is reached, so checking a large side
+    costs little. Above the bound no hint is given and Spark's own
+    size threshold and AQE choose the join at runtime."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

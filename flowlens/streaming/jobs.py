@@ -151,10 +151,9 @@ def _upsert_touched(spark: SparkSession, base: str, key: str, recompute: Callabl
         touched = spark.read.parquet(f"{events_path}/_batch={batch_id}").select(key).distinct()
         history = spark.read.parquet(events_path).drop("_batch").join(touched, key, "left_semi")
         fresh = recompute(history, touched)
-        versions = _list_versions(spark, view_root) if _exists(spark, view_root) else []
-        if versions:
-            last = max(int(v.split("=")[-1]) for v in versions)
-            fresh = C.upsert_merge(spark.read.parquet(f"{view_root}/v={last}"), fresh, [key])
+        prev = latest_version(spark, view_root)
+        if prev is not None:
+            fresh = C.upsert_merge(prev, fresh, [key])
         fresh.write.mode("overwrite").parquet(f"{view_root}/v={batch_id}")
 
     return write, view_root
@@ -174,10 +173,9 @@ def stream_saga(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = start_stream(spark, ev.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
                      .trigger(availableNow=True))
     q.awaitTermination()
-    versions = _list_versions(spark, view_root) if _exists(spark, view_root) else []
-    if not versions:
-        return G.saga_state(starts, ev.sparkSession.createDataFrame([], ev.schema))
-    view = spark.read.parquet(f"{view_root}/v={max(int(v.split('=')[-1]) for v in versions)}")
+    view = latest_version(spark, view_root)
+    if view is None:
+        return G.saga_state(starts, spark.createDataFrame([], ev.schema))
     untouched = starts.join(view.select("saga_id"), "saga_id", "left_anti")
     empty = spark.createDataFrame([], ev.schema)
     return view.unionByName(G.saga_state(untouched, empty))
@@ -196,21 +194,18 @@ def stream_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = start_stream(spark, ev.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
                      .trigger(availableNow=True))
     q.awaitTermination()
-    last = max(int(p.split("=")[-1]) for p in _list_versions(spark, view_root))
-    return spark.read.parquet(f"{view_root}/v={last}")
+    return latest_version(spark, view_root)
 
 
-def _exists(spark: SparkSession, root: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-
-def _list_versions(spark: SparkSession, root: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [st.getPath().getName() for st in fs.listStatus(path) if st.getPath().getName().startswith("v=")]
+def latest_version(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest ``v=<n>`` version of a view written below ``root`` (found
+    by partition discovery), or None before the first version exists."""
+    try:
+        views = spark.read.parquet(root)
+    except Exception:  # nothing written yet
+        return None
+    last = views.agg(F.max("v")).first()[0]
+    return views.filter(F.col("v") == last).drop("v")
 
 
 # ------------------------------------------------------------------ ST7 micro-batches
