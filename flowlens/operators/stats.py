@@ -1,9 +1,9 @@
 """Order statistics: per-product aggregate, hourly counts, top-k and lookups.
 
 The per-product aggregate is commutative apart from the first-seen name, which
-``min_by(name, offset)`` makes order-free, so the whole thing is one
-partial+final hash aggregate: a hot product is combined map-side and never
-lands in one task as raw rows.
+``min_by(name, offset)`` makes order-free. The pass over the events is a
+partial+final hash aggregate on (product, name) with numeric buffers only, so
+a hot product is combined map-side and never lands in one task as raw rows.
 """
 
 from __future__ import annotations
@@ -22,13 +22,59 @@ def total_amount(price: Column | str = "price", quantity: Column | str = "quanti
     return (p * q.cast("decimal(10,0)")).cast("decimal(38,2)")
 
 
-def product_order_stats(events: DataFrame, key: str = "product_id", order_col: str = "offset") -> DataFrame:
+def product_order_stats(events: DataFrame, key: str = "product_id", order_col: str = "offset",
+                        single_pass: bool | None = None) -> DataFrame:
     """A1: per product — orders, quantity, revenue, cancellations, first name.
 
     CREATED/CONFIRMED add an order, its quantity and revenue; CANCELLED/REFUNDED
     add a cancellation and subtract revenue but keep quantity. An empty key
     restarts the aggregate on every event, so only its last event counts.
+
+    Two steps so the pass over the events is a hash aggregate: every buffer
+    of step 1 is a number (sums, min/max offset, ``max_by`` of a number by
+    offset), keyed by (product, name); step 2 folds the small
+    (product, name) table into one row per product, picking the first-seen
+    name and — for the empty key — the last event's contribution.
+
+    A stream cannot chain two aggregations, so streaming input (or
+    ``single_pass=True``) uses one aggregate with ``min_by``/``max_by``
+    (a sort-based aggregate, kept in the state store).
     """
+    if single_pass if single_pass is not None else events.isStreaming:
+        return _product_order_stats_single(events, key, order_col)
+    t = F.col("event_type")
+    amt = total_amount()
+    add, sub = t.isin(*ADDING), t.isin(*SUBTRACTING)
+    o = F.col(order_col)
+    e = events.select(
+        F.col(key).alias("_k"), "product_name", o.alias("_off"),
+        add.cast("long").alias("_o"),
+        F.when(add, F.col("quantity")).otherwise(0).cast("long").alias("_q"),
+        F.when(add, amt).when(sub, -amt).otherwise(F.lit(0)).cast("decimal(38,2)").alias("_r"),
+        sub.cast("long").alias("_c"),
+    )
+    pairs = e.groupBy("_k", "product_name").agg(
+        F.min("_off").alias("_first"), F.max("_off").alias("_last"),
+        *[F.sum(c).alias("s" + c) for c in ("_o", "_q", "_r", "_c")],
+        *[F.max_by(c, "_off").alias("l" + c) for c in ("_o", "_q", "_r", "_c")],
+    )
+    last = F.max_by(F.struct("l_o", "l_q", "l_r", "l_c", "product_name"), F.col("_last"))
+    g = pairs.groupBy("_k").agg(
+        F.min_by("product_name", "_first").alias("_first_name"),
+        *[F.sum("s" + c).alias("t" + c) for c in ("_o", "_q", "_r", "_c")],
+        last.alias("_lastrow"),
+    )
+    empty = F.col("_k") == ""
+    pick = lambda c: F.when(empty, F.col(f"_lastrow.l{c}")).otherwise(F.col(f"t{c}"))
+    return g.select(
+        F.col("_k").alias("product_id"),
+        F.when(empty, F.col("_lastrow.product_name")).otherwise(F.col("_first_name")).alias("product_name"),
+        pick("_o").alias("total_orders"), pick("_q").alias("total_quantity"),
+        pick("_r").cast("decimal(38,2)").alias("total_revenue"), pick("_c").alias("cancelled_orders"),
+    )
+
+
+def _product_order_stats_single(events: DataFrame, key: str, order_col: str) -> DataFrame:
     t = F.col("event_type")
     amt = total_amount()
     add, sub = t.isin(*ADDING), t.isin(*SUBTRACTING)

@@ -237,3 +237,12 @@ def test_parse_traceparent_cases(spark):
     got = [r.p for r in df.select("i", O.parse_traceparent("tp").alias("p")).orderBy("i").collect()]
     assert got[0].sampled is True and got[1].sampled is False
     assert all(g is None for g in got[2:])
+
+
+def test_product_stats_two_step_equals_single_pass(spark):
+    from conftest import SF_SMALL
+    from flowlens.sources import fixtures as fx
+    e = fx.order_events(spark, SF_SMALL)
+    a = sorted(map(tuple, stats.product_order_stats(e, single_pass=False).collect()))
+    b = sorted(map(tuple, stats.product_order_stats(e, single_pass=True).collect()))
+    assert a == b
