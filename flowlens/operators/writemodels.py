@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Texts the payment service writes (kept verbatim).
 PAYMENT_FAILED_DEFAULT = "결제 실패"
-REFUND_FAILED_FORMAT = "{reason} (환불 실패: {error})"
+REFUND_FAILED_TEXT = " (환불 실패: "  # "<reason> (환불 실패: <error>)"
 
 
 def order_commands(saga_starts: DataFrame, commands: DataFrame, events: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def payments_write_model(cmds: DataFrame) -> DataFrame:
     reason = F.lit("Order cancelled")
     failed_reason = F.coalesce("gateway_error", F.lit(PAYMENT_FAILED_DEFAULT))
     cancel_reason = F.when(refund_ok, reason).otherwise(
-        F.concat(reason, F.lit(" (환불 실패: "), F.col("refund_error"), F.lit(")")))
+        F.concat(reason, F.lit(REFUND_FAILED_TEXT), F.col("refund_error"), F.lit(")")))
     return cmds.select(
         "payment_id", "saga_id", "order_id", "customer_id", "amount", "method",
         F.when(cancel, "CANCELLED").when(ok, "COMPLETED").otherwise("FAILED").alias("status"),
