@@ -14,9 +14,11 @@ associative, so the whole view is one partial+final aggregate per order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.operators.common import prefix_scan
+
 ORDER_AGGREGATE = "Order"
 
 
@@ -31,8 +33,7 @@ def event_store_append(events: DataFrame, existing: DataFrame | None = None,
     the event within its aggregate by arrival."""
     rows = events.select(F.lit(aggregate_type).alias("aggregate_type"), F.col("order_id").alias("aggregate_id"),
                          "saga_id", "event_type", "payload", F.col("event_ts").alias("event_ts"), "offset")
-    w = Window.partitionBy("aggregate_type", "aggregate_id").orderBy("offset")
-    rows = rows.withColumn("version", F.row_number().over(w).cast("long"))
+    rows = prefix_scan(rows, ["aggregate_type", "aggregate_id"], "offset", [("version", "sum", F.lit(1).cast("long"), True)])
     if existing is not None:
         base = existing.groupBy("aggregate_type", "aggregate_id").agg(F.max("version").alias("_base"))
         rows = (rows.join(base, ["aggregate_type", "aggregate_id"], "left")
@@ -183,13 +184,13 @@ def order_summary_view(events: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ customer stats
 def attribute_to_order(events: DataFrame) -> DataFrame:
     """Each event with the order row it applies to — the latest
-    ORDER_CREATED of its order at or before it (as-of within the order).
+    ORDER_CREATED of its order at or before it (an as-of lookup inside the
+    order, as a blocked prefix scan).
     ``applied`` is false for events on a missing order; they are still kept."""
     created = _is("ORDER_CREATED")
     snap = F.when(created, F.struct(F.col("customer_id").alias("c"), F.col("total_amount").alias("a"),
                                     F.col("quantity").alias("q")))
-    w = Window.partitionBy("order_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    e = events.withColumn("_o", F.last(snap, ignorenulls=True).over(w))
+    e = prefix_scan(events, ["order_id"], "offset", [("_o", "last", snap, True)])
     return e.select(*events.columns, F.col("_o").isNotNull().alias("applied"),
                     F.col("_o.c").alias("order_customer_id"), F.col("_o.a").alias("order_total_amount"),
                     F.col("_o.q").alias("order_quantity"))

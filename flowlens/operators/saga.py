@@ -3,9 +3,8 @@
 The orchestrator applies events whatever the current status (no guard);
 its decisions depend on the step reached and on whether a payment id was
 seen *before* the event. Those are running aggregates over the saga's events
-in arrival order — one ``Window`` (partition by saga, order by offset) that
-Spark evaluates with a single sort per partition; a saga holds a handful of
-events, so partitions stay small however many sagas there are.
+in arrival order, computed by :func:`flowlens.operators.common.prefix_scan`
+(blocked, so even a saga with billions of events never sits in one task).
 
 Step order: CREATE_ORDER(1) → PROCESS_PAYMENT(2) → RESERVE_INVENTORY(3) →
 COMPLETE_SAGA(4); ORDER_CREATED and PAYMENT_COMPLETED each advance one step.
@@ -13,9 +12,11 @@ COMPLETE_SAGA(4); ORDER_CREATED and PAYMENT_COMPLETED each advance one step.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.operators.common import prefix_scan
+
 STEP_NAMES = ["CREATE_ORDER", "PROCESS_PAYMENT", "RESERVE_INVENTORY", "COMPLETE_SAGA"]
 # Compensation chain of each failed step.
 COMPENSATION_CHAIN = {
@@ -42,23 +43,20 @@ def events_with_known_saga(events: DataFrame, starts: DataFrame) -> DataFrame:
     return events.join(starts.select("saga_id"), "saga_id", "left_semi")
 
 
-def _prefix(events: DataFrame) -> DataFrame:
-    """Each event with the saga state *before* it and its own effect."""
-    w = Window.partitionBy("saga_id").orderBy("offset")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    adv = _is("ORDER_CREATED", "PAYMENT_COMPLETED").cast("int")
-    e = events.select(
-        "*",
-        F.coalesce(F.sum(adv).over(before), F.lit(0)).alias("_adv_before"),
-        F.last(F.when(_is("PAYMENT_COMPLETED"), F.col("payment_id")), ignorenulls=True).over(before).alias("_pay_before"),
-        F.last(F.when(_is("PAYMENT_FAILED", "INVENTORY_FAILED"), F.col("reason")), ignorenulls=True)
-         .over(before).alias("_reason_before"),
-        F.sum(adv).over(upto).alias("_adv_after"),
-        F.last(F.when(_is("PAYMENT_COMPLETED"), F.col("payment_id")), ignorenulls=True).over(upto).alias("_pay_after"),
-        F.last(F.when(_is("PAYMENT_FAILED", "INVENTORY_FAILED"), F.col("reason")), ignorenulls=True)
-         .over(upto).alias("_reason_after"),
-    )
+def _prefix(events: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """Each event with the saga state *before* it and its own effect
+    (running aggregates by a blocked prefix scan — exact for any saga size)."""
+    adv = _is("ORDER_CREATED", "PAYMENT_COMPLETED").cast("long")
+    pay = F.when(_is("PAYMENT_COMPLETED"), F.col("payment_id"))
+    why = F.when(_is("PAYMENT_FAILED", "INVENTORY_FAILED"), F.col("reason"))
+    e = prefix_scan(events, ["saga_id"], "offset", [
+        ("_adv_b", "sum", adv, False), ("_pay_before", "last", pay, False), ("_reason_before", "last", why, False),
+    ], block)
+    # state after the event = state before it combined with the event itself
+    e = e.select("*", F.coalesce("_adv_b", F.lit(0)).alias("_adv_before"),
+                 (F.coalesce("_adv_b", F.lit(0)) + adv).alias("_adv_after"),
+                 F.coalesce(pay, F.col("_pay_before")).alias("_pay_after"),
+                 F.coalesce(why, F.col("_reason_before")).alias("_reason_after")).drop("_adv_b")
     step_at = F.least(F.col("_adv_before") + 1, F.lit(4))
     status_set = (F.when(_is("ORDER_CREATED"), "PAYMENT_PENDING").when(_is("ORDER_CANCELLED"), "COMPENSATED")
                   .when(_is("PAYMENT_COMPLETED"), "INVENTORY_PENDING").when(_is("INVENTORY_RESERVED"), "COMPLETED")

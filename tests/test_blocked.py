@@ -42,3 +42,35 @@ def test_top_k_per_group_exact(spark):
     got = _rows(C.top_k_per_group(df, ["g"], [F.col("id").desc()], 4), "g", "id")
     expect = sorted((g, i) for g in range(3) for i in sorted((x for x in range(500) if x % 3 == g), reverse=True)[:4])
     assert got == expect
+
+
+def test_prefix_scan_block_invariant(spark):
+    df = spark.range(0, 400).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 401).alias("o"),
+                                    F.when(F.col("id") % 5 == 0, F.col("id")).alias("v"))
+    specs = [("s_in", "sum", F.lit(1).cast("long"), True), ("s_ex", "sum", F.col("o"), False),
+             ("mx", "max", F.col("o"), False), ("last", "last", F.col("v"), True)]
+    ref = _rows(C.prefix_scan(df, ["k"], "o", specs, block=1 << 30), "k", "o", "s_in", "s_ex", "mx", "last")
+    for blk in (1, 9, 50):
+        assert _rows(C.prefix_scan(df, ["k"], "o", specs, block=blk), "k", "o", "s_in", "s_ex", "mx", "last") == ref
+    rows = {(r.k, r.o): r for r in C.prefix_scan(df, ["k"], "o", specs, block=9).collect()}
+    for k in range(3):
+        seq = sorted(r for r in rows.values() if r.k == k)
+        seq = sorted(seq, key=lambda r: r.o)
+        for i, r in enumerate(seq):
+            assert r.s_in == i + 1
+            assert r.s_ex == (sum(x.o for x in seq[:i]) if i else None)
+
+
+def test_saga_and_store_block_invariant(spark):
+    from flowlens.operators import projections as P
+    from flowlens.operators import saga as G
+    from flowlens.sources import decode
+    ev = decode.decode_saga_envelope(fx.saga_events(spark, SF_SMALL))
+    starts = fx.saga_starts(spark, SF_SMALL)
+    big = _rows(G._prefix(G.events_with_known_saga(ev, starts), 1 << 30), "saga_id", "offset", "_adv_before",
+                "_pay_before", "_reason_after", "_status_set")
+    small = _rows(G._prefix(G.events_with_known_saga(ev, starts), 2), "saga_id", "offset", "_adv_before",
+                  "_pay_before", "_reason_after", "_status_set")
+    assert big == small
+    store = _rows(P.event_store_append(ev), "aggregate_id", "offset", "version")
+    assert all(v >= 1 for _, _, v in store)
