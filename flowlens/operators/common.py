@@ -62,11 +62,10 @@ def size_checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of ``one_row`` — a global aggregate, hence exactly
-    one row — to every row of ``df``. A broadcast equi-join on a constant key
-    against a side whose size is fixed at one row: no pairs are formed and
-    ``df`` is never shuffled."""
-    k = "__one"
-    return df.withColumn(k, F.lit(1)).join(F.broadcast(one_row.withColumn(k, F.lit(1))), k).drop(k)
+    one row — to every row of ``df`` as one scalar subquery (the aggregate
+    runs once; no join and no row pairs)."""
+    packed = one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns]).alias("_one")).scalar()
+    return df.select("*", *[packed[c].alias(c) for c in one_row.columns])
 
 
 def prefix_scan(df: DataFrame, keys: list[str], order_col: str, specs: list[tuple], block: int = 1 << 20) -> DataFrame:
