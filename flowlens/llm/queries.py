@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, runtime
+from flowlens.llm import bpe, exact, mixing, runtime
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +44,40 @@ def op4_bpe_round_trip(spark, sf_dir):
     out = bpe.encode_documents(runtime.documents(spark, sf_dir, "doc_id", "text"), tok)
     return out.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op2_exact_dedup", sql="""
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
+def op2_exact_dedup(spark, sf_dir):
+    """The group of equal texts of every document, and the row that stays."""
+    out = exact.exact_groups(runtime.documents(spark, sf_dir, "doc_id", "text"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept",
+                      F.sha2(runtime.text_or_empty("row.text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("op7_mix_sources", sql=r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  md5(coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+k AS (SELECT *, [5.0, 2.0, 1.0][1 + ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3]::DOUBLE AS weight FROM s),
+l AS (SELECT *, (sum(source_size) OVER ()
+                 - coalesce(sum(3 * source_size) OVER (ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+             / sum(weight) OVER (ORDER BY source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+      FROM k),
+v AS (SELECT max(level) AS level FROM l),
+t AS (SELECT k.source, source_size, least(3.0 * source_size, weight * v.level)::DOUBLE AS target FROM k, v),
+c AS (SELECT d.*, source_size, target, floor(target)::BIGINT AS whole,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0 ELSE
+         ((whole // source_size) * size + greatest(least(whole % source_size - before, size), 0))::BIGINT END AS taken
+FROM c""")
+def op7_mix_sources(spark, sf_dir):
+    """Words that the mix takes from every document, repeats counted."""
+    out = mixing.plan_mix(runtime.documents(spark, sf_dir, "doc_id", "text", "source")
+                          .select("doc_id", "source", mixing.word_count(F.col("text")).alias("n_words")),
+                          size=F.col("n_words"))
+    return out.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
