@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, exact, mixing, runtime
+from flowlens.llm import bpe, exact, mixing, runtime, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,6 +57,13 @@ def op2_exact_dedup(spark, sf_dir):
                       F.sha2(runtime.text_or_empty("row.text").cast("binary"), 256).alias("text_sha256"))
 
 
+@query("op6_simhash_near_dedup")
+def op6_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and component (links at 3 or fewer differing bits) of every document."""
+    out = simhash.near_groups(runtime.documents(spark, sf_dir, "doc_id", "text"), shingle=3, tau=3, carry=["doc_id"])
+    return out.select("row.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op7_mix_sources", sql=r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5(coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
