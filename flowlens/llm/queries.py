@@ -11,7 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, exact, mixing, runtime, simhash
+from flowlens.llm import bpe, exact, mixing, runtime, simhash, toxicity
+from flowlens.sources.tables import table
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -88,3 +93,13 @@ def op7_mix_sources(spark, sf_dir):
                           .select("doc_id", "source", mixing.word_count(F.col("text")).alias("n_words")),
                           size=F.col("n_words"))
     return out.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    """Toxicity score of every document, learned outside the held-out fifth."""
+    docs = runtime.documents(spark, sf_dir, "doc_id", "text")
+    model = toxicity.fit(docs, labels(spark, sf_dir), "toxic", parts=5, held=0)
+    out = docs.select("doc_id", toxicity.is_held_out(F.col("doc_id"), 5, 0).alias("held_out"),
+                      toxicity.score(spark, model, F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
