@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 TRAIN_ROWS = 20_000
 MAX_FEATURES = 20_000
-MIN_TOXIC = 5  # toxic training documents that a feature must occur in
-SHRINK = 50.0  # strength of the prior: this many documents at the base rate
+MIN_TOXIC = 2  # toxic training documents that a feature must occur in
+SHRINK = 10.0  # strength of the prior: this many documents at the base rate
 CACHE = 300_000
 PREFIXES = (4, 5, 6)
 
