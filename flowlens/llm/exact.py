@@ -52,7 +52,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         many = scratch.keep(many, f"many{round_}")  # written once, so the group numbers are settled
         hit = many.select(*[F.col(c).alias(f"m_{c}") for c in many.columns])
         on = [F.col(c) == F.col(f"m_{c}") for c in ("grp", "len", "digit", "ended")]
-        out = (keyed.join(hit, on, "left")
+        # A merge join at every size: the rows are dealt by key once, and hot keys are split.
+        out = (keyed.join(hit.hint("merge"), on, "left")
                .select("row", F.coalesce("m_next", F.lit(-1)).alias("grp"), F.coalesce("m_n", F.lit(1)).alias("group_size"),
                        F.when(F.col("m_n").isNull(), F.col("row")[id_col]).otherwise(F.col("m_keep_id")).alias("keep_id"),
                        F.coalesce(F.col("m_ended"), F.lit(True)).alias("done")))
