@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, exact, mixing, runtime, simhash, toxicity
+from flowlens.llm import bpe, exact, merkle, mixing, runtime, simhash, suffix, toxicity
 from flowlens.sources.tables import table
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,31 @@ def op7_mix_sources(spark, sf_dir):
     return out.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+@query("op8_substring_dedup", sql=r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS win
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+low AS (SELECT win, min(doc_id) AS low FROM p GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM p JOIN low USING (win), range(13) t(k) WHERE p.doc_id > low.low),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+k AS (SELECT x.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY x.j) AS kept
+      FROM x LEFT JOIN gone g ON x.doc_id = g.doc_id AND x.j = g.j WHERE g.j IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id""")
+def op8_substring_dedup(spark, sf_dir):
+    """Words left of every document when passages of 13 words that a document
+    with a smaller id has too are removed."""
+    out = suffix.kept_text(runtime.documents(spark, sf_dir, "doc_id", "text"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op9_merkle_fingerprints")
+def op9_merkle_fingerprints(spark, sf_dir):
+    """Merkle fingerprints of every document and its edited text, with likenesses."""
+    return merkle.fingerprints(runtime.documents(spark, sf_dir, "doc_id", "text"))
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark, sf_dir):
     """Toxicity score of every document, learned outside the held-out fifth."""
