@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, exact, merkle, mixing, runtime, simhash, suffix, toxicity
+from flowlens.llm import bpe, exact, merkle, mixing, quality, runtime, simhash, suffix, toxicity
 from flowlens.sources.tables import table
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,13 @@ def op2_exact_dedup(spark, sf_dir):
                       F.sha2(runtime.text_or_empty("row.text").cast("binary"), 256).alias("text_sha256"))
 
 
+@query("op5_quality")
+def op5_quality(spark, sf_dir):
+    """Quality score of every document, learned outside the held-out third."""
+    return quality.scored_documents(runtime.documents(spark, sf_dir, "doc_id", "text"), labels(spark, sf_dir), "quality",
+                                    parts=3, held=1)
+
+
 @query("op6_simhash_near_dedup")
 def op6_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and component (links at 3 or fewer differing bits) of every document."""
