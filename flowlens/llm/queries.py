@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, exact, merkle, mixing, quality, runtime, simhash, suffix, toxicity
+from flowlens.llm import bpe, exact, merkle, mixing, quality, runtime, simhash, suffix, toxicity, urls
 from flowlens.sources.tables import table
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,12 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_url_filters")
+def op1_url_filters(spark, sf_dir):
+    """Rule or model verdict of every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query("op4_bpe_round_trip")
 def op4_bpe_round_trip(spark, sf_dir):
     """Ids and decoded text of every document under the word-end BPE vocabulary."""
