@@ -231,6 +231,11 @@ def _variants(value, flips: list[int]):
     return F.transform(F.array(*[F.lit(f) for f in flips]), lambda f: value.bitwiseXOR(f))
 
 
+def _piece_keys(number: int, bits: list[int], reach: int):
+    values = _variants(F.col("fp").bitwiseAND(F.lit(signed(_mask(bits)))), _flips(bits, reach))
+    return F.transform(values, lambda w: F.struct(F.lit(number).alias("k"), w.alias("w")))
+
+
 def links(fps: DataFrame, tau: int, scratch: Scratch, hot: int = HOT, options=GROUPS) -> DataFrame:
     """All pairs (a, b) of distinct fingerprints within ``tau`` bits."""
     found = None
@@ -246,9 +251,7 @@ def links(fps: DataFrame, tau: int, scratch: Scratch, hot: int = HOT, options=GR
             share = (tau - len(pieces) + 1 + 1) // len(pieces)
 
             def split(rows: DataFrame, reach: int) -> DataFrame:
-                keys = F.concat(*[F.transform(_variants(F.col("fp").bitwiseAND(F.lit(signed(_mask(p)))), _flips(p, reach)),
-                                              lambda x, p=p, k=k: F.struct(F.lit(k).alias("k"), x.alias("w")))
-                                  for k, p in enumerate(pieces)])
+                keys = F.concat(*[_piece_keys(k, p, reach) for k, p in enumerate(pieces)])
                 one = F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("w")))
                 return (rows.join(crowded, F.col("v") == F.col("hv"), "left")
                         .select("fp", "v", F.explode(F.when(F.col("hv").isNull(), one).otherwise(keys)).alias("key"))
@@ -285,7 +288,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU, seed: i
     member = scratch.keep(rooted.join(lowest, F.col("root") == F.col("low_root"))
                           .select(F.col("fp").alias("m_fp"), "root", "component_id"), "members")
     place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
-    out = (rows.select("row", "id", "fp", place.alias("place")).join(member, F.col("fp") == F.col("m_fp"))
+    out = (rows.select("row", "id", "fp", place.alias("place")).join(member.hint("merge"), F.col("fp") == F.col("m_fp"))
            .withColumn("lowest", F.col("id").eqNullSafe(F.col("component_id"))))
     first = (rows.select("id", "fp", place.alias("place")).join(member, F.col("fp") == F.col("m_fp"))
              .filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root")
