@@ -7,7 +7,6 @@
 * :func:`latest_by_key` — last row per key by an ordering column as one
   partial+final aggregate (``max_by`` over a struct), which combines a hot key
   map-side instead of sorting it in one task.
-* :func:`size_checked_broadcast` — broadcast only under a measured bound.
 """
 
 from __future__ import annotations
@@ -49,17 +48,6 @@ def first_by_key(df: DataFrame, key_cols, order_col: str | Column) -> DataFrame:
     return agg.select(*ks, *[F.col("__first")[c].alias(c) for c in rest])
 
 
-def size_checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only behind a proven bound on the side's size.
-
-    The bound is proven with ``limit(max_rows + 1).count()`` — a job that
-    stops reading as soon as the limit is reached, so checking a large side
-    costs little. Above the bound no hint is given and Spark's own
-    size threshold and AQE choose the join at runtime."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of ``one_row`` — a global aggregate, hence exactly
     one row — to every row of ``df`` as one scalar subquery (the aggregate

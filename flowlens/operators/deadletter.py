@@ -13,7 +13,7 @@ Mutations return a new version of the table (write it with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.classify import alert_level, classify_error, classify_error_short
@@ -295,21 +295,29 @@ def reprocess_decision(fm: DataFrame, requests: DataFrame, as_of, max_retry: int
 
     NOT_FOUND / INVALID_STATUS / MAX_RETRY_EXCEEDED skip; a NULL value fails
     the send (FAILED, retry +1); otherwise SUCCESS (RETRIED, resolved_at =
-    as_of, retry +1). ``requests`` has one column ``id``.
+    as_of, retry +1). ``requests`` has a column ``id``; an optional ``seq``
+    orders repeated requests of one id. After a success the row is no longer
+    PENDING, so the later requests of that id are INVALID_STATUS; after a
+    failed send each further one meets the risen retry count.
     """
-    j = requests.select("id").join(fm.select("id", "status", "retry_count", "message_value", "resolved_at"),
+    seq = F.col("seq") if "seq" in requests.columns else F.lit(0)
+    again = requests.select("id", (F.row_number().over(Window.partitionBy("id").orderBy(seq)) - 1).alias("_nth"))
+    j = again.join(fm.select("id", "status", "retry_count", "message_value", "resolved_at"),
                                    "id", "left")
     found = F.col("status").isNotNull()
-    outcome = (F.when(~found, "NOT_FOUND").when(F.col("status") != "PENDING", "INVALID_STATUS")
-               .when(F.col("retry_count") >= max_retry, "MAX_RETRY_EXCEEDED")
-               .when(F.col("message_value").isNull(), "FAILED").otherwise("SUCCESS"))
-    j = j.withColumn("outcome", outcome)
-    tried = F.col("outcome").isin("SUCCESS", "FAILED")
+    pending, fails = F.col("status") == "PENDING", F.col("message_value").isNull()
+    # The row as the n-th request of its id finds it.
+    retries = F.when(pending & fails, F.least(F.col("retry_count") + F.col("_nth"), F.greatest(F.col("retry_count"), F.lit(max_retry)))) \
+        .otherwise(F.col("retry_count"))
+    sent = pending & ~fails & (F.col("retry_count") < max_retry)
+    outcome = (F.when(~found, "NOT_FOUND").when(~pending | (sent & (F.col("_nth") > 0)), "INVALID_STATUS")
+               .when(retries >= max_retry, "MAX_RETRY_EXCEEDED").when(fails, "FAILED").otherwise("SUCCESS"))
+    j = j.withColumn("outcome", outcome).withColumn("_retries", retries.cast("int"))
     return j.select(
-        "id", "outcome",
-        F.when(F.col("outcome") == "SUCCESS", F.lit("RETRIED")).otherwise(F.col("status")).alias("new_status"),
-        F.when(tried, F.col("retry_count") + 1).otherwise(F.col("retry_count")).alias("new_retry_count"),
-        F.when(F.col("outcome") == "SUCCESS", _ts(as_of)).otherwise(F.col("resolved_at")).alias("new_resolved_at"),
+        "id", "outcome", F.when(sent, F.lit("RETRIED")).otherwise(F.col("status")).alias("new_status"),
+        F.when(sent, F.col("retry_count") + 1).when(F.col("outcome") == "FAILED", F.col("_retries") + 1)
+        .otherwise(F.col("_retries")).alias("new_retry_count"),
+        F.when(sent, _ts(as_of)).otherwise(F.col("resolved_at")).alias("new_resolved_at"),
     )
 
 
@@ -323,8 +331,9 @@ def reprocess_outcomes(decisions: DataFrame) -> DataFrame:
 
 def apply_reprocess(fm: DataFrame, decisions: DataFrame) -> DataFrame:
     """New version of the table after F9 (retry count rises on failure too)."""
-    d = decisions.filter(F.col("outcome").isin("SUCCESS", "FAILED")).select(
-        "id", "new_status", "new_retry_count", "new_resolved_at")
+    tried = decisions.filter(F.col("outcome").isin("SUCCESS", "FAILED"))
+    last = F.max_by(F.struct("new_status", "new_retry_count", "new_resolved_at"), "new_retry_count").alias("_d")
+    d = tried.groupBy("id").agg(last).select("id", "_d.*")  # one row per id, whatever was requested
     j = fm.join(d, "id", "left")
     hit = F.col("new_status").isNotNull()
     return j.select(*[F.when(hit, F.col(n)).otherwise(F.col(c)).alias(c) if n else F.col(c)

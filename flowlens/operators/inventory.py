@@ -7,10 +7,10 @@ per product — no window sum can express it.
 
 Plan: commands ⟕ stock on product (J9), hash-repartition by product, sort
 inside each partition by (product, seq), then one ``mapInPandas`` pass that
-walks the sorted Arrow batches carrying a running ``reserved`` per product
-(state = one integer per product seen in the partition). Nothing collects a
-product's commands; a hot product is still one sequential stream, which is
-what its semantics require.
+walks the sorted Arrow batches carrying the running ``reserved`` of the product
+at hand (one integer). Nothing collects a product's commands. The limit: a
+product's commands are one sequential stream, since each outcome depends on
+all before it; parallelism is the number of products.
 """
 
 from __future__ import annotations
@@ -40,44 +40,44 @@ def reserve_against_stock(commands: DataFrame, stock: DataFrame) -> DataFrame:
         "reason", F.when(~F.col("found"), F.lit("Inventory not found")))
 
 
+class StockFold:
+    """The reserved count of one product, and its commands applied in order."""
+
+    def __init__(self, product, reserved: int | None = None):
+        self.product, self.reserved = product, reserved
+
+    def apply(self, b: pd.DataFrame) -> pd.DataFrame:
+        """Outcomes of the product's commands, in the order of the rows."""
+        found, stock = b["found"].to_numpy(), b["stock_quantity"].to_numpy()
+        outcome = np.full(len(b), "NOT_FOUND", dtype=object)
+        before, after = np.full(len(b), None, dtype=object), np.full(len(b), None, dtype=object)
+        if len(b) and found[0]:  # a product has a stock row or has none
+            total = int(stock[0])
+            r = int(b["reserved_quantity"].iloc[0]) if self.reserved is None else self.reserved
+            for k, (command, n) in enumerate(zip(b["command"].tolist(), b["quantity"].tolist())):
+                before[k] = total - r
+                if command != "RESERVE":
+                    r, outcome[k] = max(0, r - n), "RELEASED"
+                elif total - r >= n:
+                    r, outcome[k] = r + n, "RESERVED"
+                else:
+                    outcome[k] = "INSUFFICIENT"
+                after[k] = r
+            self.reserved = r
+        return pd.DataFrame({"seq": b["seq"].to_numpy(), "product_id": b["product_id"].to_numpy(),
+                             "order_id": b["order_id"].to_numpy(), "command": b["command"].to_numpy(),
+                             "quantity": b["quantity"].to_numpy().astype(np.int32), "outcome": outcome,
+                             "available_before": before, "reserved_after": after})
+
+
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    reserved: dict[str, int] = {}
+    """Rows sorted by product: one product's state at a time."""
+    fold = StockFold(None)
     for b in batches:
-        n = len(b)
-        outcome = np.empty(n, dtype=object)
-        avail = np.zeros(n, dtype=np.int32)
-        res_after = np.zeros(n, dtype=np.int32)
-        pid = b["product_id"].to_numpy()
-        cmd = b["command"].to_numpy()
-        qty = b["quantity"].to_numpy()
-        stock = b["stock_quantity"].to_numpy()
-        base = b["reserved_quantity"].to_numpy()
-        found = b["found"].to_numpy()
-        for i in range(n):
-            p = pid[i]
-            if not found[i]:
-                outcome[i] = "NOT_FOUND"
-                continue
-            r = reserved.get(p)
-            if r is None:
-                r = int(base[i])
-            total = int(stock[i])
-            avail[i] = total - r
-            if cmd[i] == "RESERVE":
-                if total - r >= qty[i]:
-                    r += int(qty[i])
-                    outcome[i] = "RESERVED"
-                else:
-                    outcome[i] = "INSUFFICIENT"
-            else:
-                r = max(0, r - int(qty[i]))
-                outcome[i] = "RELEASED"
-            reserved[p] = r
-            res_after[i] = r
-        yield pd.DataFrame({"seq": b["seq"].to_numpy(), "product_id": pid, "order_id": b["order_id"].to_numpy(),
-                            "command": cmd, "quantity": qty.astype(np.int32), "outcome": outcome,
-                            "available_before": np.where(found, avail, None),
-                            "reserved_after": np.where(found, res_after, None)})
+        for product, part in b.groupby("product_id", sort=False, dropna=False):
+            if product != fold.product:
+                fold = StockFold(product)
+            yield fold.apply(part)
 
 
 def inventory_reservations(commands: DataFrame, stock: DataFrame, num_partitions: int | None = None) -> DataFrame:

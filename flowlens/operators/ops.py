@@ -34,21 +34,29 @@ def partition_lag(committed: DataFrame, end_offsets: DataFrame, keys=("snapshot_
 
 
 def lag_from_snapshots(snaps: DataFrame) -> DataFrame:
-    committed = snaps.select("snapshot_id", "group_id", "topic", "partition", "ts", "current_offset")
-    ends = snaps.select("snapshot_id", "topic", "partition", "end_offset")
-    return partition_lag(committed, ends)
+    """J4 for a log whose rows hold both offsets: the same rows without a join."""
+    lag = F.greatest(F.col("end_offset") - F.col("current_offset"), F.lit(0))
+    return (snaps.filter("current_offset IS NOT NULL AND end_offset IS NOT NULL")
+            .select("snapshot_id", "topic", "partition", "group_id", "ts", "current_offset", "end_offset", lag.alias("lag"))
+            .withColumn("level", lag_level("lag")))
+
+
+def _newest() -> Column:
+    return F.struct("ts", "snapshot_id")
 
 
 def group_lag(lags: DataFrame) -> DataFrame:
     """Latest lag of each partition, then per group: total, partitions, max."""
-    latest = lags.groupBy("group_id", "topic", "partition").agg(F.max_by("lag", "ts").alias("lag"))
+    latest = lags.groupBy("group_id", "topic", "partition").agg(F.max_by("lag", _newest()).alias("lag"))
     return latest.groupBy("group_id").agg(F.sum("lag").alias("total_lag"), F.count(F.lit(1)).alias("partition_count"),
                                           F.max("lag").alias("max_lag"))
 
 
 def lag_recent_snapshots(lags: DataFrame, n: int = 60) -> DataFrame:
-    """The newest ``n`` lag samples of each group (60 kept, 10 analysed)."""
-    return top_k_per_group(lags.select("group_id", "snapshot_id", "ts", "lag"), ["group_id"],
+    """The newest ``n`` lag samples of each group (60 kept, 10 analysed).
+    A sample is the group's total lag over the partitions of one poll."""
+    polls = lags.groupBy("group_id", "snapshot_id").agg(F.max("ts").alias("ts"), F.sum("lag").alias("lag"))
+    return top_k_per_group(polls.select("group_id", "snapshot_id", "ts", "lag"), ["group_id"],
                            [F.col("ts").desc(), F.col("snapshot_id").desc()], n, rank_col="recency")
 
 
@@ -88,7 +96,12 @@ def stored_offsets(activity: DataFrame) -> DataFrame:
 
 
 def save_offsets(stored: DataFrame, updates: DataFrame) -> DataFrame:
-    """Upsert offsets by topic-partition (update wins)."""
+    """Upsert offsets by topic-partition; of several updates the one with
+    the latest ``updated_at`` (then the largest offset) wins."""
+    rest = [c for c in stored.columns if c not in ("topic", "partition")]
+    updates = updates.groupBy("topic", "partition").agg(
+        F.max_by(F.struct(*rest), F.struct("updated_at", "offset")).alias("_u")).select(
+        "topic", "partition", *[F.col("_u")[c].alias(c) for c in rest])
     keep = stored.join(updates.select("topic", "partition"), ["topic", "partition"], "left_anti")
     return keep.unionByName(updates.select(*stored.columns))
 
@@ -115,7 +128,7 @@ def latency_stats(activity: DataFrame) -> DataFrame:
     lat = _latency_ms()
     g = activity.groupBy("topic").agg(F.sum(lat).alias("_s"), F.count(lat).alias("_n"),
                                       F.max(lat).alias("_max"), F.min(lat).alias("_min"))
-    return g.select("topic", F.when(F.col("_n") > 0, F.floor(F.col("_s") / F.col("_n"))).otherwise(0).cast("long")
+    return g.select("topic", F.when(F.col("_n") > 0, F.expr("_s div _n")).otherwise(F.lit(0)).cast("long")
                     .alias("avg_latency_ms"), F.coalesce("_max", F.lit(0)).alias("max_latency_ms"),
                     F.coalesce("_min", F.lit(0)).alias("min_latency_ms"))
 
@@ -123,7 +136,7 @@ def latency_stats(activity: DataFrame) -> DataFrame:
 def send_success_pct(activity: DataFrame) -> DataFrame:
     """``acked*100 div sent`` per topic; 0 when nothing was sent."""
     g = activity.groupBy("topic").agg(F.count_if("sent").alias("sent"), F.count_if("acked").alias("acked"))
-    return g.withColumn("success_pct", F.when(F.col("sent") > 0, (F.col("acked") * 100 / F.col("sent")).cast("long"))
+    return g.withColumn("success_pct", F.when(F.col("sent") > 0, F.expr("(acked * 100) div sent"))
                         .otherwise(F.lit(0)))
 
 
@@ -139,46 +152,44 @@ def metrics_summary(activity: DataFrame, lags: DataFrame) -> DataFrame:
                      F.count_if(F.col("outcome") == "FAILED").alias("failed"),
                      F.count_if(F.col("sent") & ~F.col("acked")).alias("send_errors"))
     a = a.withColumn("errors", F.col("failed") + F.col("send_errors"))
-    latest = lags.groupBy("group_id", "topic", "partition").agg(F.max_by("lag", "ts").alias("lag"))
+    latest = lags.groupBy("group_id", "topic", "partition").agg(F.max_by("lag", _newest()).alias("lag"))
     return attach_one_row(a, latest.agg(F.coalesce(F.sum("lag"), F.lit(0)).alias("total_lag")))
 
 
 def lag_by_partition(lags: DataFrame) -> DataFrame:
     """A31 (detail): latest lag per topic-partition summed over groups."""
-    latest = lags.groupBy("group_id", "topic", "partition").agg(F.max_by("lag", "ts").alias("lag"))
+    latest = lags.groupBy("group_id", "topic", "partition").agg(F.max_by("lag", _newest()).alias("lag"))
     return latest.groupBy("topic", "partition").agg(F.sum("lag").alias("lag"))
 
 
-def _rates(activity: DataFrame) -> DataFrame:
-    return activity.agg(F.count_if("sent").alias("sent"), F.count_if("acked").alias("acked"),
-                        F.count_if(F.col("outcome") == "PROCESSED").alias("processed"),
-                        F.count_if(F.col("outcome") == "FAILED").alias("failed"))
-
-
 def pipeline_dashboard(activity: DataFrame, lags: DataFrame) -> DataFrame:
-    """producer/consumer success rates (100 without traffic), total lag,
-    critical alert count and overall health (F7)."""
-    r = _rates(activity)
-    prod = F.when(F.col("sent") > 0, F.col("acked") / F.col("sent") * 100).otherwise(F.lit(100.0))
-    done = F.col("processed") + F.col("failed")
-    cons = F.when(done > 0, F.col("processed") / done * 100).otherwise(F.lit(100.0))
-    r = r.select(prod.alias("producer_success_rate"), cons.alias("consumer_success_rate"))
+    """producer/consumer counts and success rates (100 without traffic;
+    every consumed record counts, pending ones too), total lag, alert counts
+    and overall health. The lag list of the groups is :func:`group_lag`, a
+    table of its own since there may be any number of groups."""
+    r = activity.agg(F.count_if("sent").alias("messages_produced"),
+                     F.count_if(F.col("sent") & ~F.col("acked")).alias("producer_errors"),
+                     F.count(F.lit(1)).alias("messages_consumed"),
+                     F.count_if(F.col("outcome") == "FAILED").alias("messages_failed"))
+    rate = lambda n, bad: F.when(F.col(n) > 0, (F.col(n) - F.col(bad)) / F.col(n) * 100).otherwise(F.lit(100.0))
+    r = r.select("*", rate("messages_produced", "producer_errors").alias("producer_success_rate"),
+                 rate("messages_consumed", "messages_failed").alias("consumer_success_rate"))
     cur = lags.groupBy("group_id", "topic", "partition").agg(F.max_by(F.struct("lag", "level"), F.struct("ts", "snapshot_id")).alias("c"))
     l = cur.agg(F.coalesce(F.sum("c.lag"), F.lit(0)).alias("total_lag"),
                 F.count_if(F.col("c.level") == "CRITICAL").alias("critical_alerts"),
                 F.count_if(F.col("c.level") == "WARNING").alias("warning_alerts"))
     d = attach_one_row(r, l)
     worst = F.least("producer_success_rate", "consumer_success_rate")
-    health = F.when(F.col("critical_alerts") > 0, "DEGRADED").otherwise(rate_health(worst, "DOWN", "DEGRADED", "UP"))
-    return d.withColumn("overall_health", F.when(worst < 90, "DOWN").otherwise(health))
+    health = F.when(F.col("critical_alerts") > 0, "CRITICAL").otherwise(rate_health(worst, "CRITICAL", "WARNING", "HEALTHY"))
+    return d.withColumn("total_alerts", F.col("critical_alerts") + F.col("warning_alerts")).withColumn("overall_health", health)
 
 
 def kafka_health(activity: DataFrame, lags: DataFrame) -> DataFrame:
-    """Producer health from its send rate, consumer health from its
-    processing rate, degraded by critical lag alerts."""
+    """Producer health from its send rate; the consumer is DOWN on any
+    critical lag alert, else judged by its success rate."""
     d = pipeline_dashboard(activity, lags)
     return d.select(rate_health("producer_success_rate").alias("producer_health"),
-                    F.when(F.col("critical_alerts") > 0, F.when(F.col("consumer_success_rate") < 90, "DOWN").otherwise("DEGRADED"))
+                    F.when(F.col("critical_alerts") > 0, "DOWN")
                     .otherwise(rate_health("consumer_success_rate")).alias("consumer_health"),
                     "producer_success_rate", "consumer_success_rate", "critical_alerts")
 
@@ -211,6 +222,18 @@ def inactive_partitions(partitions: DataFrame, as_of, threshold_minutes: int = 6
     return partitions.filter(F.col("last_processed_at") < now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(threshold_minutes)))
 
 
+def rebalance_totals(rebalances: DataFrame) -> DataFrame:
+    """Running totals in one row. A revocation is what starts a rebalance;
+    errors carry no partitions."""
+    n = lambda t: F.count_if(F.col("event_type") == t)
+    parts = lambda t: F.coalesce(F.sum(F.when(F.col("event_type") == t, F.col("partition_count"))), F.lit(0))
+    return rebalances.agg(
+        n("REVOCATION").alias("total_rebalances"), n("REVOCATION").alias("total_revocations"),
+        n("ASSIGNMENT").alias("total_assignments"), n("LOST").alias("total_lost"), n("ERROR").alias("total_errors"),
+        parts("REVOCATION").alias("revoked_partitions"), parts("ASSIGNMENT").alias("assigned_partitions"),
+        parts("LOST").alias("lost_partitions"))
+
+
 def rebalance_stats(rebalances: DataFrame) -> DataFrame:
     """Event and partition counts by rebalance type."""
     return rebalances.groupBy("event_type").agg(F.count(F.lit(1)).alias("event_count"),
@@ -224,7 +247,8 @@ def recent_rebalances(rebalances: DataFrame, n: int = 100) -> DataFrame:
 
 def consumer_processing_metrics(activity: DataFrame) -> DataFrame:
     """Processed, errors, and mean of the *latest* processing time per key."""
-    per_key = activity.groupBy("key").agg(F.max_by("processing_ms", "offset").alias("latest_ms"))
+    done = activity.filter(F.col("outcome") == "PROCESSED")  # only successes leave a processing time
+    per_key = done.groupBy("key").agg(F.max_by("processing_ms", "offset").alias("latest_ms"))
     a = activity.agg(F.count_if(F.col("outcome") == "PROCESSED").alias("processed"),
                      F.count_if(F.col("outcome") == "FAILED").alias("errors"))
     return attach_one_row(a, per_key.agg(F.coalesce(F.avg("latest_ms"), F.lit(0.0)).alias("avg_processing_ms")))
@@ -314,12 +338,13 @@ def bounded_span_history(spans: DataFrame, n: int = 1000) -> DataFrame:
 def link_consumer_spans(messages: DataFrame, spans: DataFrame) -> DataFrame:
     """a consumer span's parent is the span named by the message's
     traceparent (same trace); without a valid one the consumer span is a root
-    in a trace of its own. Left join on the parent span id."""
+    in a trace of its own. Left join on the parent's trace and span id."""
     p = messages.withColumn("_tp", parse_traceparent("traceparent"))
     linked = p.select("span_id", F.col("_tp.trace_id").alias("parent_trace_id"),
                       F.col("_tp.span_id").alias("parent_span_id"), F.col("_tp.sampled").alias("sampled"))
-    known = spans.select(F.col("span_id").alias("parent_span_id"), F.col("name").alias("parent_name"))
-    out = linked.join(known, "parent_span_id", "left")
+    known = spans.select(F.col("trace_id").alias("parent_trace_id"), F.col("span_id").alias("parent_span_id"),
+                         F.col("name").alias("parent_name"))
+    out = linked.join(known, ["parent_trace_id", "parent_span_id"], "left")
     return out.select("span_id", "parent_trace_id", "parent_span_id", "sampled", "parent_name",
                       F.col("parent_span_id").isNull().alias("is_root"))
 
@@ -342,13 +367,16 @@ def connector_detail(connectors: DataFrame, status: DataFrame, tasks: DataFrame)
                     F.coalesce("failed_tasks", F.lit(0)).alias("failed_tasks"))
 
 
-def connector_health(status: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Counts by state; any FAILED → DOWN, any PAUSED → DEGRADED, else UP."""
-    c = status.agg(F.count(F.lit(1)).alias("connectors"),
+def connector_health(connectors: DataFrame, status: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Counts over the connector list by connector state (a connector
+    without status counts, but in no state); any FAILED connector → DOWN, any
+    PAUSED → DEGRADED, else UP. Failed tasks are reported and do not decide."""
+    listed = connectors.select("connector").join(status.select("connector", "state"), "connector", "left")
+    c = listed.agg(F.count(F.lit(1)).alias("connectors"),
                    *[F.count_if(F.col("state") == s).alias(s.lower()) for s in ("RUNNING", "PAUSED", "FAILED")])
     t = tasks.agg(F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("state") == "FAILED").alias("failed_tasks"))
     h = attach_one_row(c, t)
-    return h.withColumn("health", F.when((F.col("failed") > 0) | (F.col("failed_tasks") > 0), "DOWN")
+    return h.withColumn("health", F.when(F.col("failed") > 0, "DOWN")
                         .when(F.col("paused") > 0, "DEGRADED").otherwise("UP"))
 
 

@@ -3,9 +3,8 @@
 Partitioners: the only Python is the vectorized murmur2 UDF; prefix tests,
 ranges and clamping are built-in expressions on its result.
 
-Tenants: the registry is small and its size is checked before it is
-broadcast (:func:`size_checked_broadcast`); every tenant lookup is an
-equi-join, so messages are never shuffled.
+Tenants: every lookup is an equi-join with the registry, without a hint:
+Spark's byte threshold and AQE decide whether the registry is broadcast.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.murmur2 import murmur2, to_positive
-from flowlens.operators.common import size_checked_broadcast
 
 # Partitioner defaults (business key ranges, priority prefixes).
 ORDER_RANGE = (0, 3)
@@ -45,9 +43,8 @@ def business_key_partition(key="key", value="value", num_partitions="num_partiti
     murmur2 of the value bytes."""
     k, n = _c(key), _c(num_partitions)
     u = F.upper(k)
-    hk = to_positive(murmur2(k))
-    hv = to_positive(murmur2(_c(value)))
-    return (F.when(k.isNull(), hv % n)
+    hk = to_positive(murmur2(F.coalesce(k, _c(value))))  # the value counts only without a key
+    return (F.when(k.isNull(), hk % n)
             .when(u.startswith("ORDER-"), _range(hk, *ORDER_RANGE, n))
             .when(u.startswith("PAYMENT-"), _range(hk, *PAYMENT_RANGE, n))
             .when(u.startswith("INVENTORY-") | u.startswith("PRODUCT-"), _range(hk, *INVENTORY_RANGE, n))
@@ -61,10 +58,9 @@ def vip_customer_partition(vip_ids: list[str], key="key", value="value", num_par
     k, n = _c(key), _c(num_partitions)
     cid = F.when(F.upper(k).startswith("CUSTOMER-") | F.upper(k).startswith("CUST-"),
                  F.substring(k, F.instr(k, "-") + 1, 1 << 30)).when(k.rlike("^[A-Za-z0-9_-]+$"), k)
-    hk = to_positive(murmur2(k))
-    hv = to_positive(murmur2(_c(value)))
+    hk = to_positive(murmur2(F.coalesce(k, _c(value))))
     vip = F.least(F.greatest(F.lit(vip_partition), F.lit(0)), n - 1)
-    return (F.when(k.isNull(), hv % n).when(cid.isin(*vip_ids), vip)
+    return (F.when(k.isNull(), hk % n).when(cid.isin(*vip_ids), vip)
             .when(n - 1 > 0, 1 + hk % F.greatest(n - 1, F.lit(1))).otherwise(hk % n)).cast("int")
 
 
@@ -136,16 +132,15 @@ def _topic_rest(topic: Column) -> Column:
     return F.when(topic.startswith(pre), F.substring(topic, len(pre) + 1, 1 << 30))
 
 
-def extract_tenant(messages: DataFrame, tenants: DataFrame | None = None, strict_parity: bool = False,
-                   max_segments: int | None = None) -> DataFrame:
+def extract_tenant(messages: DataFrame, tenants: DataFrame | None = None, strict_parity: bool = False) -> DataFrame:
     """tenant from the header, else the key before the first ``:``, else
     the topic segment after ``tenant-``.
 
     The reference cuts the topic at the first separator, so ``tenant-tenant-a-x``
     yields ``tenant`` (``strict_parity``). By default the longest *registered*
-    tenant id that prefixes the rest of the topic wins: one broadcast
-    equi-join per candidate length (1..segments of the longest tenant id), so
-    the match is exact and needs no shuffle.
+    tenant id that prefixes the rest of the topic wins: the distinct topics'
+    prefixes meet the registry in one equi-join, and the longest hit per topic
+    joins back.
     """
     m = messages
     rest = _topic_rest(F.col("topic"))
@@ -153,25 +148,23 @@ def extract_tenant(messages: DataFrame, tenants: DataFrame | None = None, strict
     from_key = F.when(F.instr(F.col("key"), ":") > 0, F.substring_index(F.col("key"), ":", 1))
     topic_tenant = first_seg
     if not strict_parity and tenants is not None:
-        if max_segments is None:
-            max_segments = int(tenants.agg(F.max(F.size(F.split("tenant_id", SEPARATOR)))).first()[0] or 1)
         parts = F.split(rest, SEPARATOR)
-        reg = size_checked_broadcast(tenants.select(F.col("tenant_id").alias("_cand")).distinct())
-        names = []
-        for i in range(1, max_segments + 1):
-            cand = F.when(F.size(parts) > i, F.array_join(F.slice(parts, 1, i), SEPARATOR))
-            col = f"_t{i}"
-            m = m.withColumn(col, cand).join(reg.withColumnRenamed("_cand", col + "_hit"),
-                                             F.col(col) == F.col(col + "_hit"), "left")
-            names.append(col + "_hit")
-        topic_tenant = F.coalesce(*[F.col(n) for n in reversed(names)], first_seg)
+        n = F.size(parts) - 1  # a candidate leaves at least one segment of the topic
+        prefixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, 1, i), SEPARATOR))
+        topics = messages.select("topic").distinct().filter(rest.isNotNull() & (n > 0))
+        cands = topics.select("topic", F.explode(prefixes).alias("_cand"))
+        reg = tenants.select(F.col("tenant_id").alias("_cand")).distinct()
+        longest = (cands.join(reg, "_cand").groupBy(F.col("topic").alias("_topic"))
+                   .agg(F.max_by("_cand", F.length("_cand")).alias("_hit")))
+        m = m.join(longest, F.col("topic") == F.col("_topic"), "left")
+        topic_tenant = F.coalesce(F.col("_hit"), first_seg)
     out = m.withColumn("tenant_id", F.coalesce(F.col("tenant_header"), from_key, topic_tenant))
     return out.select(*messages.columns, "tenant_id")
 
 
 def tenant_admission(messages: DataFrame, tenants: DataFrame) -> DataFrame:
     """Unknown tenant → DROPPED, inactive → DENIED, else ACCEPTED."""
-    t = size_checked_broadcast(tenants.select("tenant_id", F.col("is_active").alias("_active")))
+    t = tenants.select("tenant_id", F.col("is_active").alias("_active"))
     j = messages.join(t, "tenant_id", "left")
     d = (F.when(F.col("tenant_id").isNull() | F.col("_active").isNull(), "DROPPED")
          .when(~F.col("_active"), "DENIED").otherwise("ACCEPTED"))
@@ -191,10 +184,16 @@ def tenant_broadcast(messages: DataFrame, tenants: DataFrame, target_col: str =
     tier or ``ALL`` (active tenants); tenants are expanded to the targets they
     belong to and equi-joined, so the fan-out list is exactly the feature."""
     t = tenants.filter("is_active").select("tenant_id", F.explode(F.array(F.col("tier"), F.lit("ALL"))).alias("_target"))
-    t = size_checked_broadcast(t)
     return messages.join(t, messages[target_col] == t["_target"]).drop("_target")
 
 
+def tenant_broadcast_to(messages: DataFrame, tenants: DataFrame, ids_col: str = "target_ids") -> DataFrame:
+    """One copy per active tenant of an explicit list (array column);
+    unknown, inactive and repeated ids get none."""
+    each = messages.withColumn("tenant_id", F.explode(F.array_distinct(ids_col)))
+    return each.join(tenants.filter("is_active").select("tenant_id"), "tenant_id")
+
+
 def active_tenants(tenants: DataFrame) -> DataFrame:
     """P16."""
     return tenants.filter("is_active")
@@ -207,7 +206,7 @@ def tenants_by_tier(tenants: DataFrame, tier: str) -> DataFrame:
 
 def is_valid_tenant(tenants: DataFrame, ids: DataFrame) -> DataFrame:
     """Registered and active, for each requested id."""
-    t = size_checked_broadcast(tenants.select("tenant_id", "is_active"))
+    t = tenants.select("tenant_id", "is_active")
     return ids.join(t, "tenant_id", "left").select("tenant_id", F.coalesce("is_active", F.lit(False)).alias("is_valid"))
 
 

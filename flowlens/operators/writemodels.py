@@ -64,11 +64,12 @@ def order_projection(orders: DataFrame) -> DataFrame:
 
 def payments_write_model(cmds: DataFrame) -> DataFrame:
     """Gateway success → COMPLETED with transaction id and key; failure →
-    FAILED with the gateway's message; a cancel → CANCELLED even when the
-    refund fails (reason suffixed, no refund id). ``emitted_event`` is the
-    last event published for the payment."""
+    FAILED with the gateway's message; a cancel → CANCELLED whatever the
+    status was, and even when the refund fails (reason suffixed, no refund id).
+    ``emitted_event`` is the last event published for the payment;
+    :func:`payment_events` gives them all."""
     ok = F.col("gateway_success")
-    cancel = F.col("cancel_requested") & ok
+    cancel = F.col("cancel_requested")
     refund_ok = F.col("refund_success")
     reason = F.lit("Order cancelled")
     failed_reason = F.coalesce("gateway_error", F.lit(PAYMENT_FAILED_DEFAULT))
@@ -83,6 +84,14 @@ def payments_write_model(cmds: DataFrame) -> DataFrame:
         F.when(cancel, "PAYMENT_CANCELLED").when(ok, "PAYMENT_COMPLETED").otherwise("PAYMENT_FAILED").alias("emitted_event"))
 
 
+def payment_events(cmds: DataFrame) -> DataFrame:
+    """Every event a payment publishes, in order: the gateway's answer,
+    then the cancellation if one was requested."""
+    first = F.when(F.col("gateway_success"), "PAYMENT_COMPLETED").otherwise("PAYMENT_FAILED")
+    events = F.when(F.col("cancel_requested"), F.array(first, F.lit("PAYMENT_CANCELLED"))).otherwise(F.array(first))
+    return cmds.select("payment_id", "saga_id", "order_id", F.posexplode(events).alias("seq", "event_type"))
+
+
 def payments_by(payments: DataFrame, *, status=None, order_id=None, saga_id=None) -> DataFrame:
     """Derived filters."""
     f = payments

@@ -275,27 +275,34 @@ def q_recent_failures(spark, sf):
 
 
 def _requests(spark, sf):
-    """Reprocess requests derived from the event log: every message id, plus
-    an unknown id for each 'error' event (exercises NOT_FOUND)."""
+    """Reprocess requests derived from the event log: every message id (every
+    third one three times), an unknown (negative) id for each 'error' event."""
     e = fx.table(spark, sf, "events", "event_id", "event_type")
-    return e.select((F.col("event_id") + 1 + F.when(F.col("event_type") == "error", F.lit(1_000_000_000))
-                     .otherwise(F.lit(0))).alias("id"))
+    again = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
+    i = F.col("event_id") + 1
+    return e.select(F.when(F.col("event_type") == "error", -i).otherwise(i).alias("id"), F.explode(again).alias("seq"))
 
 
-_REQ_SQL = "SELECT event_id + 1 + CASE WHEN event_type = 'error' THEN 1000000000 ELSE 0 END AS id FROM events"
+_REQ_SQL = ("SELECT CASE WHEN event_type = 'error' THEN -event_id - 1 ELSE event_id + 1 END AS id, "
+            "unnest(CASE WHEN event_id % 3 = 0 THEN [0, 1, 2] ELSE [0] END) AS seq FROM events")
+# One request after another on the row that the last one left (a recursion over the request number).
 _DEC_SQL = f"""
-SELECT id, outcome,
-  CASE WHEN outcome = 'SUCCESS' THEN 'RETRIED' ELSE status END AS new_status,
-  CASE WHEN outcome IN ('SUCCESS', 'FAILED') THEN retry_count + 1 ELSE retry_count END AS new_retry_count,
-  CASE WHEN outcome = 'SUCCESS' THEN {_ts(AS_OF_TREND)} ELSE resolved_at END AS new_resolved_at
-FROM (SELECT r.id, f.status, f.retry_count, f.resolved_at,
-  CASE WHEN f.id IS NULL THEN 'NOT_FOUND' WHEN f.status <> 'PENDING' THEN 'INVALID_STATUS'
-       WHEN f.retry_count >= 5 THEN 'MAX_RETRY_EXCEEDED' WHEN f.message_value IS NULL THEN 'FAILED'
-       ELSE 'SUCCESS' END AS outcome
-  FROM requests r LEFT JOIN failed_messages f USING (id))"""
-
-
-@register("reprocess_decision", _sql(_DEC_SQL, requests=_REQ_SQL))
+WITH RECURSIVE req AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM requests),
+step AS (
+  SELECT f.id AS fid, f.id, 0::BIGINT AS n, '' AS outcome, status, retry_count, resolved_at, message_value IS NULL AS bad
+  FROM failed_messages f
+  UNION ALL
+  SELECT fid, s.id, s.n + 1, o.outcome, CASE WHEN o.outcome = 'SUCCESS' THEN 'RETRIED' ELSE status END,
+    CASE WHEN o.outcome IN ('SUCCESS', 'FAILED') THEN retry_count + 1 ELSE retry_count END,
+    CASE WHEN o.outcome = 'SUCCESS' THEN {_ts(AS_OF_TREND)} ELSE resolved_at END, bad
+  FROM step s JOIN req r ON r.id = s.id AND r.n = s.n + 1, LATERAL (SELECT CASE WHEN s.status <> 'PENDING' THEN 'INVALID_STATUS'
+    WHEN s.retry_count >= 5 THEN 'MAX_RETRY_EXCEEDED' WHEN s.bad THEN 'FAILED' ELSE 'SUCCESS' END AS outcome) o)
+SELECT id, outcome, status AS new_status, retry_count AS new_retry_count, resolved_at AS new_resolved_at FROM step WHERE n > 0
+UNION ALL
+SELECT r.id, 'NOT_FOUND', NULL, NULL, NULL FROM req r ANTI JOIN failed_messages f ON r.id = f.id"""
+
+
+@register("reprocess_decision", _sql("SELECT * FROM decisions", requests=_REQ_SQL, decisions=_DEC_SQL))
 def q_reprocess_decision(spark, sf):
     return D.reprocess_decision(_fm(spark, sf), _requests(spark, sf), AS_OF_TREND)
 
@@ -307,6 +314,20 @@ def q_reprocess_outcomes(spark, sf):
     return D.reprocess_outcomes(D.reprocess_decision(_fm(spark, sf), _requests(spark, sf), AS_OF_TREND))
 
 
+@register("apply_reprocess", _sql("""
+SELECT f.id, original_topic, partition_id, offset_id, message_key, message_value, error_message,
+  CASE WHEN d.id IS NULL THEN status ELSE new_status END AS status, created_at,
+  CASE WHEN d.id IS NULL THEN resolved_at ELSE new_resolved_at END AS resolved_at,
+  CASE WHEN d.id IS NULL THEN retry_count ELSE new_retry_count END AS retry_count
+FROM failed_messages f LEFT JOIN (
+  SELECT id, arg_max(new_status, new_retry_count) AS new_status, max(new_retry_count) AS new_retry_count,
+    arg_max(new_resolved_at, new_retry_count) AS new_resolved_at
+  FROM decisions WHERE outcome IN ('SUCCESS', 'FAILED') GROUP BY id) d ON f.id = d.id""", requests=_REQ_SQL, decisions=_DEC_SQL))
+def q_apply_reprocess(spark, sf):
+    fm = _fm(spark, sf)
+    return D.apply_reprocess(fm, D.reprocess_decision(fm, _requests(spark, sf), AS_OF_TREND))
+
+
 @register("bulk_update_status", _sql(f"""
 SELECT id, original_topic, partition_id, offset_id, message_key, message_value, error_message,
   CASE WHEN t.hit THEN 'RESOLVED' ELSE status END AS status, created_at,

@@ -10,7 +10,7 @@ from flowlens.plans.registry import register
 from flowlens.sources import fixtures as fx
 from flowlens.sources.fixtures_sql import with_fixtures
 
-AS_OF_OPS = "2024-01-30 12:00:00"
+AS_OF_OPS = "2024-03-01 12:00:00"
 OFFSET_CUTOFF = "2024-01-15 00:00:00"
 
 
@@ -25,8 +25,8 @@ def _act(spark, sf):
 _LAGS = f"""SELECT c.snapshot_id, c.topic, c."partition", group_id, ts, current_offset, end_offset,
   greatest(end_offset - current_offset, 0) AS lag, {lag_level_sql('greatest(end_offset - current_offset, 0)')} AS level
 FROM (SELECT snapshot_id, group_id, topic, "partition", ts, current_offset FROM offset_snapshots) c
-JOIN (SELECT snapshot_id, topic, "partition", end_offset FROM offset_snapshots) e USING (snapshot_id, topic, "partition")"""
-_LATEST = """SELECT group_id, topic, "partition", arg_max(lag, ts) AS lag FROM lags GROUP BY ALL"""
+JOIN (SELECT snapshot_id, group_id, topic, "partition", end_offset FROM offset_snapshots) e USING (snapshot_id, group_id, topic, "partition")"""
+_LATEST = """SELECT group_id, topic, "partition", arg_max(lag, struct_pack(t := ts, s := snapshot_id)) AS lag FROM lags GROUP BY ALL"""
 
 
 def _lq(body, **extra):
@@ -44,7 +44,9 @@ def _alq(body, **extra):
 # ------------------------------------------------------------------ lag
 @register("partition_lag", _lq("SELECT * FROM lags"))
 def q_partition_lag(spark, sf):
-    return _lags(spark, sf)
+    snaps = fx.offset_snapshots(spark, sf)
+    return O.partition_lag(snaps.drop("end_offset"), snaps.select("snapshot_id", "group_id", "topic", "partition", "end_offset"),
+                           ("snapshot_id", "group_id", "topic", "partition"))
 
 
 @register("lag_level", _lq("SELECT level, count(*) AS partitions FROM lags GROUP BY level"))
@@ -59,7 +61,8 @@ def q_group_lag(spark, sf):
 
 
 _RECENT = """SELECT * FROM (SELECT group_id, snapshot_id, ts, lag,
-  row_number() OVER (PARTITION BY group_id ORDER BY ts DESC, snapshot_id DESC) AS recency FROM lags) WHERE recency <= {n}"""
+  row_number() OVER (PARTITION BY group_id ORDER BY ts DESC, snapshot_id DESC) AS recency FROM (
+    SELECT group_id, snapshot_id, max(ts) AS ts, CAST(sum(lag) AS BIGINT) AS lag FROM lags GROUP BY ALL)) WHERE recency <= {n}"""
 
 
 @register("lag_recent_snapshots", _lq("SELECT * FROM recent", recent=_RECENT.format(n=60)))
@@ -104,12 +107,13 @@ def q_stored_offsets(spark, sf):
 @register("save_offsets", _aq(
     "SELECT * FROM old WHERE (topic, \"partition\") NOT IN (SELECT (topic, \"partition\") FROM upd) UNION ALL SELECT * FROM upd",
     old=_STORED.format(cond=f"AND record_ts < TIMESTAMP '{OFFSET_CUTOFF}'"),
-    upd=_STORED.format(cond=f"AND record_ts >= TIMESTAMP '{OFFSET_CUTOFF}' AND topic IN ('view-topic', 'click-topic')")))
+    upd=_STORED.format(cond=f"AND record_ts >= TIMESTAMP '{OFFSET_CUTOFF}'")))
 def q_save_offsets(spark, sf):
     a = _act(spark, sf)
     cut = F.lit(OFFSET_CUTOFF).cast("timestamp_ntz")
     old = O.stored_offsets(a.filter(F.col("record_ts") < cut))
-    upd = O.stored_offsets(a.filter((F.col("record_ts") >= cut) & F.col("topic").isin("view-topic", "click-topic")))
+    late = a.filter((F.col("record_ts") >= cut) & F.col("committed"))  # one update per commit: the last one wins
+    upd = late.select("topic", "partition", "offset", F.col("record_ts").alias("updated_at"))
     return O.save_offsets(old, upd)
 
 
@@ -170,13 +174,13 @@ def q_lag_by_partition(spark, sf):
     return O.lag_by_partition(_lags(spark, sf))
 
 
-_DASH = """SELECT r.*, l.*, CASE WHEN least(producer_success_rate, consumer_success_rate) < 90 THEN 'DOWN'
-    WHEN critical_alerts > 0 THEN 'DEGRADED' WHEN least(producer_success_rate, consumer_success_rate) < 99 THEN 'DEGRADED'
-    ELSE 'UP' END AS overall_health FROM
- (SELECT CASE WHEN count_if(sent) > 0 THEN count_if(acked) / count_if(sent) * 100 ELSE 100.0 END AS producer_success_rate,
-    CASE WHEN count_if(outcome IN ('PROCESSED', 'FAILED')) > 0
-         THEN count_if(outcome = 'PROCESSED') / count_if(outcome IN ('PROCESSED', 'FAILED')) * 100 ELSE 100.0 END AS consumer_success_rate
-  FROM activity_log) r,
+_DASH = """SELECT r.*, l.*, critical_alerts + warning_alerts AS total_alerts,
+  CASE WHEN critical_alerts > 0 THEN 'CRITICAL' WHEN producer_success_rate < 90 OR consumer_success_rate < 90 THEN 'CRITICAL'
+    WHEN producer_success_rate < 99 OR consumer_success_rate < 99 THEN 'WARNING' ELSE 'HEALTHY' END AS overall_health FROM
+ (SELECT *, CASE WHEN messages_produced > 0 THEN (messages_produced - producer_errors) / messages_produced * 100 ELSE 100.0 END AS producer_success_rate,
+    CASE WHEN messages_consumed > 0 THEN (messages_consumed - messages_failed) / messages_consumed * 100 ELSE 100.0 END AS consumer_success_rate
+  FROM (SELECT count_if(sent) AS messages_produced, count_if(sent AND NOT acked) AS producer_errors,
+    count(*) AS messages_consumed, count_if(outcome = 'FAILED') AS messages_failed FROM activity_log)) r,
  (SELECT CAST(coalesce(sum(c['lag']), 0) AS BIGINT) AS total_lag, count_if(c['level'] = 'CRITICAL') AS critical_alerts,
     count_if(c['level'] = 'WARNING') AS warning_alerts FROM (
     SELECT arg_max(struct_pack(lag := lag, level := level), struct_pack(t := ts, s := snapshot_id)) AS c FROM lags GROUP BY group_id, topic, "partition")) l"""
@@ -187,9 +191,16 @@ def q_pipeline_dashboard(spark, sf):
     return O.pipeline_dashboard(_act(spark, sf), _lags(spark, sf))
 
 
+@register("pipeline_dashboard_groups", _lq("SELECT group_id, CAST(sum(lag) AS BIGINT) AS total_lag, count(*) AS partition_count, "
+                                           "max(lag) AS max_lag FROM latest GROUP BY group_id", latest=_LATEST))
+def q_pipeline_dashboard_groups(spark, sf):
+    """The dashboard's list of consumer groups."""
+    return O.group_lag(_lags(spark, sf))
+
+
 @register("kafka_health", _alq("""
 SELECT CASE WHEN producer_success_rate < 90 THEN 'DOWN' WHEN producer_success_rate < 99 THEN 'DEGRADED' ELSE 'UP' END AS producer_health,
-  CASE WHEN critical_alerts > 0 THEN CASE WHEN consumer_success_rate < 90 THEN 'DOWN' ELSE 'DEGRADED' END
+  CASE WHEN critical_alerts > 0 THEN 'DOWN'
        WHEN consumer_success_rate < 90 THEN 'DOWN' WHEN consumer_success_rate < 99 THEN 'DEGRADED' ELSE 'UP' END AS consumer_health,
   producer_success_rate, consumer_success_rate, critical_alerts FROM d""", d=_DASH))
 def q_kafka_health(spark, sf):
@@ -228,6 +239,18 @@ def q_rebalance_stats(spark, sf):
     return O.rebalance_stats(fx.rebalance_log(spark, sf))
 
 
+@register("rebalance_totals", with_fixtures("""
+SELECT count_if(event_type = 'REVOCATION') AS total_rebalances, count_if(event_type = 'REVOCATION') AS total_revocations,
+  count_if(event_type = 'ASSIGNMENT') AS total_assignments, count_if(event_type = 'LOST') AS total_lost,
+  count_if(event_type = 'ERROR') AS total_errors,
+  CAST(coalesce(sum(partition_count) FILTER (WHERE event_type = 'REVOCATION'), 0) AS BIGINT) AS revoked_partitions,
+  CAST(coalesce(sum(partition_count) FILTER (WHERE event_type = 'ASSIGNMENT'), 0) AS BIGINT) AS assigned_partitions,
+  CAST(coalesce(sum(partition_count) FILTER (WHERE event_type = 'LOST'), 0) AS BIGINT) AS lost_partitions
+FROM rebalance_log""", "rebalance_log"))
+def q_rebalance_totals(spark, sf):
+    return O.rebalance_totals(fx.rebalance_log(spark, sf))
+
+
 @register("recent_rebalances", with_fixtures("SELECT * FROM rebalance_log ORDER BY ts DESC, rebalance_id DESC LIMIT 10",
                                              "rebalance_log"))
 def q_recent_rebalances(spark, sf):
@@ -236,7 +259,7 @@ def q_recent_rebalances(spark, sf):
 
 @register("consumer_processing_metrics", _aq("""
 SELECT count_if(outcome = 'PROCESSED') AS processed, count_if(outcome = 'FAILED') AS errors,
-  (SELECT coalesce(avg(m), 0.0) FROM (SELECT arg_max(processing_ms, "offset") AS m FROM activity_log GROUP BY key)) AS avg_processing_ms
+  (SELECT coalesce(avg(m), 0.0) FROM (SELECT arg_max(processing_ms, "offset") AS m FROM activity_log WHERE outcome = 'PROCESSED' GROUP BY key)) AS avg_processing_ms
 FROM activity_log"""))
 def q_consumer_processing_metrics(spark, sf):
     return O.consumer_processing_metrics(_act(spark, sf))
@@ -310,7 +333,7 @@ def q_bounded_span_history(spark, sf):
 @register("link_consumer_spans", with_fixtures("""
 SELECT p.span_id, tp_trace_id AS parent_trace_id, tp_span_id AS parent_span_id, sampled, s.name AS parent_name,
   tp_span_id IS NULL AS is_root
-FROM parsed p LEFT JOIN spans s ON s.span_id = p.tp_span_id""", "traceparents", extra={"parsed": _PARSE}))
+FROM parsed p LEFT JOIN spans s ON s.span_id = p.tp_span_id AND s.trace_id = p.tp_trace_id""", "traceparents", extra={"parsed": _PARSE}))
 def q_link_consumer_spans(spark, sf):
     return O.link_consumer_spans(fx.traceparents(spark, sf), fx.spans(spark, sf))
 
@@ -335,12 +358,12 @@ def q_connector_detail(spark, sf):
 
 
 @register("connector_health", with_fixtures("""
-SELECT *, CASE WHEN failed > 0 OR failed_tasks > 0 THEN 'DOWN' WHEN paused > 0 THEN 'DEGRADED' ELSE 'UP' END AS health FROM
+SELECT *, CASE WHEN failed > 0 THEN 'DOWN' WHEN paused > 0 THEN 'DEGRADED' ELSE 'UP' END AS health FROM
  (SELECT count(*) AS connectors, count_if(state = 'RUNNING') AS running, count_if(state = 'PAUSED') AS paused,
-    count_if(state = 'FAILED') AS failed FROM connector_status),
+    count_if(state = 'FAILED') AS failed FROM connectors LEFT JOIN connector_status USING (connector)),
  (SELECT count(*) AS tasks, count_if(state = 'FAILED') AS failed_tasks FROM connector_tasks)""", *_CONN))
 def q_connector_health(spark, sf):
-    return O.connector_health(fx.connector_status(spark, sf), fx.connector_tasks(spark, sf))
+    return O.connector_health(fx.connectors(spark, sf), fx.connector_status(spark, sf), fx.connector_tasks(spark, sf))
 
 
 @register("connector_state_changes", with_fixtures("""

@@ -261,9 +261,9 @@ def q_orders_by_customer(spark, sf):
     return P.search_orders(_summary(spark, sf), customer_id="CUST-100")
 
 
-@register("orders_by_status", _sq(f"SELECT {_SUM_COLS} FROM summ WHERE order_status = 'FAILED'"))
+@register("orders_by_status", _sq(f"SELECT {_SUM_COLS} FROM summ WHERE order_status = 'CANCELLED'"))
 def q_orders_by_status(spark, sf):
-    return P.search_orders(_summary(spark, sf), status="FAILED")
+    return P.search_orders(_summary(spark, sf), status="CANCELLED")
 
 
 @register("orders_by_customer_status", _sq(f"SELECT {_SUM_COLS} FROM summ WHERE customer_id = 'CUST-100' AND order_status = 'CONFIRMED'"))

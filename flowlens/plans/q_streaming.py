@@ -9,7 +9,7 @@ from flowlens.plans.q_projections import _PREFIX, _SAGA, _SUMMARY
 from flowlens.plans.q_sources import PROCESSED_AT_MS, _capture_sql
 from flowlens.plans.registry import ORACLE
 from flowlens.plans.q_state import _COMPACT
-from flowlens.plans.q_stats import _HOURLY_SQL, _STATS_SQL
+from flowlens.plans.q_stats import _STATS_SQL
 from flowlens.plans.registry import register
 from flowlens.sources import fixtures as fx
 from flowlens.sources.fixtures_sql import with_fixtures
@@ -21,16 +21,32 @@ def q_stream_product_stats(spark, sf):
     return J.stream_product_stats(spark, sf)
 
 
-@register("stream_hourly_count", with_fixtures("SELECT * FROM hourly", "order_events", extra={"hourly": _HOURLY_SQL}))
+# Kafka Streams' rule: a row whose window ended at or before the largest timestamp seen before it is dropped.
+_ON_TIME = """SELECT * FROM (SELECT *, max({ts}) OVER (ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stream_time
+  FROM order_events) WHERE {neg} coalesce(date_trunc('hour', {ts}) + INTERVAL 1 HOUR <= stream_time, FALSE)"""
+_HOURLY_ON_TIME = """SELECT date_trunc('hour', late_timestamp) AS window_start, date_trunc('hour', late_timestamp) + INTERVAL 1 HOUR AS window_end,
+  product_id, count(*) AS order_count FROM on_time GROUP BY ALL"""
+
+
+@register("stream_hourly_count", with_fixtures(_HOURLY_ON_TIME, "order_events",
+                                               extra={"on_time": _ON_TIME.format(ts="late_timestamp", neg="NOT")}))
 def q_stream_hourly_count(spark, sf):
-    return J.stream_hourly_count(spark, sf)
+    return J.stream_hourly_count(spark, sf, "late_timestamp")[0]
+
+
+@register("stream_hourly_late", with_fixtures('SELECT "offset", product_id, late_timestamp FROM late', "order_events",
+                                              extra={"late": _ON_TIME.format(ts="late_timestamp", neg="")}))
+def q_stream_hourly_late(spark, sf):
+    """The rows that the hourly stream dropped, from its side sink."""
+    return J.stream_hourly_count(spark, sf, "late_timestamp")[1].select("offset", "product_id", "late_timestamp")
 
 
 _HEADER_ID = "coalesce(message_id_hdr, topic || '-' || \"partition\" || '-' || \"offset\")"
 
 
 @register("stream_dedup", with_fixtures(
-    f"SELECT DISTINCT {_HEADER_ID} AS message_id FROM deliveries WHERE value IS NOT NULL AND trim(value) <> ''", "deliveries"))
+    f"""SELECT * FROM (SELECT *, {_HEADER_ID} AS message_id FROM deliveries WHERE value IS NOT NULL AND trim(value) <> '')
+    QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY "offset", delivery) = 1""", "deliveries"))
 def q_stream_dedup(spark, sf):
     return J.stream_dedup(spark, sf)
 

@@ -188,12 +188,14 @@ def high_water_mark(extracted: DataFrame, ts_col: str = "updated_at", id_col: st
 
 
 def upsert_merge(target: DataFrame, updates: DataFrame, pk: list[str], order_col: str | None = None) -> DataFrame:
-    """``insert.mode=upsert`` — latest update per pk, then the target rows
-    without an update plus the updates (a new table version)."""
-    if order_col:
-        rest = [c for c in updates.columns if c not in pk]
-        updates = updates.groupBy(*pk).agg(F.max_by(F.struct(*rest), F.col(order_col)).alias("_u")).select(
-            *pk, *[F.col("_u")[c].alias(c) for c in rest])
+    """``insert.mode=upsert`` — one update per pk (the latest by
+    ``order_col``; without one the largest row, so that the result is fixed),
+    then the target rows without an update plus the updates (a new table
+    version)."""
+    rest = [c for c in updates.columns if c not in pk]
+    whole = F.struct(*rest)
+    pick = F.max_by(whole, F.col(order_col)) if order_col else F.max(whole)
+    updates = updates.groupBy(*pk).agg(pick.alias("_u")).select(*pk, *[F.col("_u")[c].alias(c) for c in rest])
     keep = target.join(updates.select(*pk), pk, "left_anti")
     return keep.unionByName(updates.select(*target.columns))
 
@@ -262,8 +264,10 @@ def outbox_pending(outbox: DataFrame, limit: int = 100) -> DataFrame:
 
 def outbox_status_update(outbox: DataFrame, results: DataFrame, as_of) -> DataFrame:
     """Publish results ``(id, success)`` → SENT with processed_at, or
-    FAILED with retry_count + 1; other rows unchanged."""
-    j = outbox.join(results.select("id", F.col("success").alias("_ok")), "id", "left")
+    FAILED with retry_count + 1; other rows unchanged. Of several results of
+    one id a success counts."""
+    once = results.groupBy("id").agg(F.max("success").alias("_ok"))
+    j = outbox.join(once, "id", "left")
     hit = F.col("_ok").isNotNull()
     now = F.lit(as_of).cast("timestamp_ntz")
     cols = []

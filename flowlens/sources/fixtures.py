@@ -233,7 +233,8 @@ def ttl_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- F-DELIV
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redelivered messages: every event once, every 4th again at the same
-    offset, every 5th again with the same message-id at offset + 1,000,000."""
+    offset, every 5th again with the same message-id at an offset of its own (odd;
+    first deliveries have even offsets)."""
     e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
     eid = F.col("event_id")
     fan = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)),
@@ -250,7 +251,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = e.select("*", F.explode(fan).alias("delivery"))
     return d.select(
         F.lit("order-events").alias("topic"), (F.col("user_id") % 3).cast("int").alias("partition"),
-        (eid + F.when(F.col("delivery") == 2, F.lit(1_000_000)).otherwise(F.lit(0))).alias("offset"),
+        (eid * 2 + F.when(F.col("delivery") == 2, F.lit(1)).otherwise(F.lit(0))).alias("offset"),
         F.col("delivery").cast("int").alias("delivery"),
         F.concat(F.lit("key-"), _s("user_id")).alias("key"), val.alias("value"),
         F.when(eid % 6 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("msg-"), _s(eid))).alias("message_id_hdr"),
@@ -261,14 +262,15 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- F-LAG
 def offset_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Committed and end offsets per (group, topic, partition), one row per poll."""
+    """Committed and end offsets: a poll reads all three partitions of its group."""
     e = table(spark, sf_dir, "events", "event_id", "ts", "user_id")
     eid, uid = F.col("event_id"), F.col("user_id")
-    cur = eid * 10
+    cur, p = eid * 10 + F.col("p"), F.col("p")
+    e = e.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("p"))
     return e.select(
         eid.alias("snapshot_id"), F.concat(F.lit("group-"), _s(uid % 20)).alias("group_id"),
-        F.lit("order-events").alias("topic"), (uid % 3).cast("int").alias("partition"), F.col("ts"),
-        cur.alias("current_offset"), (cur + (eid * 7919) % 15000 - 100).alias("end_offset"))
+        F.lit("order-events").alias("topic"), p.alias("partition"), F.col("ts"),
+        cur.alias("current_offset"), (cur + ((eid + p * 31) * 7919) % 15000 - 100).alias("end_offset"))
 
 
 # ---------------------------------------------------------------- F-ACT
@@ -289,16 +291,16 @@ def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Rebalance event types.
-REBALANCE_TYPES = ["ASSIGNED", "REVOKED", "LOST", "REBALANCE_START"]
+REBALANCE_TYPES = ["REVOCATION", "ASSIGNMENT", "LOST", "ERROR"]
 
 
 def rebalance_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events", "event_id", "ts")
     eid = F.col("event_id")
-    kind = ((eid / 100).cast("long") % 4 + 1).cast("int")
-    return e.filter(eid % 100 == 0).select(
+    kind = (eid % 4 + 1).cast("int")
+    return e.select(
         eid.alias("rebalance_id"), F.element_at(F.array(*[F.lit(t) for t in REBALANCE_TYPES]), kind).alias("event_type"),
-        (eid % 7).cast("int").alias("partition_count"), F.col("ts"))
+        F.when(eid % 4 == 3, F.lit(0)).otherwise(eid % 7).cast("int").alias("partition_count"), F.col("ts"))
 
 
 # ---------------------------------------------------------------- F-SPAN
@@ -571,7 +573,7 @@ def payment_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 6 != 0).alias("gateway_success"), F.concat(F.lit("TX-"), _s(k)).alias("transaction_id"),
         F.concat(F.lit("PK-"), _s(k)).alias("payment_key"),
         F.when(k % 6 == 0, F.lit("Card declined")).alias("gateway_error"),
-        (k % 4 == 3).alias("cancel_requested"), (k % 8 != 7).alias("refund_success"),
+        ((k % 4 == 3) | (k % 12 == 0)).alias("cancel_requested"), (k % 8 != 7).alias("refund_success"),
         F.concat(F.lit("RF-"), _s(k)).alias("refund_id"),
         F.when(k % 8 == 7, F.lit("Refund window closed")).alias("refund_error"))
     return base

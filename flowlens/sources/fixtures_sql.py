@@ -150,7 +150,7 @@ FROM events"""
 _AMT = "CAST(CAST(value AS DECIMAL(19,2)) AS VARCHAR)"
 SQL["deliveries"] = f"""
 SELECT 'order-events' AS topic, CAST(user_id % 3 AS INTEGER) AS "partition",
-  event_id + CASE WHEN delivery = 2 THEN 1000000 ELSE 0 END AS "offset", CAST(delivery AS INTEGER) AS delivery,
+  event_id * 2 + CASE WHEN delivery = 2 THEN 1 ELSE 0 END AS "offset", CAST(delivery AS INTEGER) AS delivery,
   'key-' || user_id AS key,
   CASE WHEN event_id % 23 = 0 THEN '  ' WHEN event_id % 19 = 0 THEN 'not json ' || event_id
        WHEN event_id % 17 = 0 THEN '{{"note":"n/a","amount":' || {_AMT} || '}}'
@@ -186,8 +186,9 @@ DEPS["saga_decoded"] = ["saga_events"]
 
 SQL["offset_snapshots"] = """
 SELECT event_id AS snapshot_id, 'group-' || (user_id % 20) AS group_id, 'order-events' AS topic,
-  CAST(user_id % 3 AS INTEGER) AS "partition", ts, event_id * 10 AS current_offset,
-  event_id * 10 + (event_id * 7919) % 15000 - 100 AS end_offset FROM events"""
+  p AS "partition", ts, event_id * 10 + p AS current_offset,
+  event_id * 10 + p + ((event_id + p * 31) * 7919) % 15000 - 100 AS end_offset
+FROM events, (SELECT unnest([0, 1, 2])::INTEGER AS p)"""
 
 SQL["activity_log"] = """
 SELECT event_type || '-topic' AS topic, CAST(user_id % 6 AS INTEGER) AS "partition", event_id AS "offset",
@@ -200,8 +201,8 @@ FROM events"""
 
 SQL["rebalance_log"] = """
 SELECT event_id AS rebalance_id,
-  CASE (event_id // 100) % 4 WHEN 0 THEN 'ASSIGNED' WHEN 1 THEN 'REVOKED' WHEN 2 THEN 'LOST' ELSE 'REBALANCE_START' END AS event_type,
-  CAST(event_id % 7 AS INTEGER) AS partition_count, ts FROM events WHERE event_id % 100 = 0"""
+  CASE event_id % 4 WHEN 0 THEN 'REVOCATION' WHEN 1 THEN 'ASSIGNMENT' WHEN 2 THEN 'LOST' ELSE 'ERROR' END AS event_type,
+  CAST(CASE WHEN event_id % 4 = 3 THEN 0 ELSE event_id % 7 END AS INTEGER) AS partition_count, ts FROM events"""
 
 
 def _hexid(expr: str, width: int) -> str:
@@ -319,7 +320,7 @@ SQL["payment_commands"] = """SELECT 'PAY-' || o_orderkey AS payment_id, 'saga-'
   CASE o_orderkey % 7 WHEN 0 THEN 'CARD' WHEN 1 THEN 'BANK_TRANSFER' WHEN 2 THEN 'VIRTUAL_ACCOUNT' WHEN 3 THEN 'MOBILE'
     WHEN 4 THEN 'KAKAO_PAY' WHEN 5 THEN 'NAVER_PAY' ELSE 'TOSS_PAY' END AS method,
   o_orderkey % 6 <> 0 AS gateway_success, 'TX-' || o_orderkey AS transaction_id, 'PK-' || o_orderkey AS payment_key,
-  CASE WHEN o_orderkey % 6 = 0 THEN 'Card declined' END AS gateway_error, o_orderkey % 4 = 3 AS cancel_requested,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'Card declined' END AS gateway_error, o_orderkey % 4 = 3 OR o_orderkey % 12 = 0 AS cancel_requested,
   o_orderkey % 8 <> 7 AS refund_success, 'RF-' || o_orderkey AS refund_id,
   CASE WHEN o_orderkey % 8 = 7 THEN 'Refund window closed' END AS refund_error
 FROM orders"""

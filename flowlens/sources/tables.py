@@ -46,6 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
         df = spark.read.parquet(path)
     else:
         schema = spark.read.parquet(path).schema  # footer only; a stream never infers
-        df = (spark.readStream.schema(schema).option("pathGlobFilter", os.path.basename(path))
-              .option("maxFilesPerTrigger", per_trigger).parquet(os.path.dirname(path)))
+        # The table itself is the stream: a folder of part files or a single file. A plain path must be a
+        # folder for a file stream; as a pattern (of this one name) it may be either.
+        df = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
     return df.select(*cols) if cols else df

@@ -7,9 +7,9 @@ Every job is the batch operator applied to a streaming source (see
   written by ``foreachBatch`` under ``_batch=<id>`` with overwrite, so a
   replayed batch after an executor or driver failure rewrites the same files
   (idempotent sink + checkpointed offsets = exactly-once);
-* views whose key has a short history (saga state, order summary) are
-  maintained by re-folding only the keys a micro-batch touched, from their
-  full history, with the batch operator (JVM-side, order-correct);
+* views whose key has a short history (saga state, order summary) are laid
+  out by key buckets; a micro-batch re-folds the buckets it touched, from
+  their history, with the batch operator (JVM-side, order-correct);
 * the inventory fold, whose hot products must not be re-read, keeps one
   integer of state per product with ``applyInPandasWithState``;
 * all checkpoints and outputs live below ``spark.checkpoint.dir`` (shared
@@ -26,7 +26,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,7 +36,6 @@ from flowlens.operators import inventory as I
 from flowlens.operators import projections as P
 from flowlens.operators import saga as G
 from flowlens.operators import stats
-from flowlens.operators.common import size_checked_broadcast
 from flowlens.session import scratch_path
 from flowlens.sources import connectors as C
 from flowlens.sources import decode
@@ -82,20 +82,46 @@ def run_available_now(spark: SparkSession, sdf: DataFrame, name: str, mode: str
 
 
 # ------------------------------------------------------------------ ST1, ST2, ST8
-def stream_product_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_product_stats(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
     """ST1: continuous A1 (update mode, changelog compacted on read)."""
-    with streaming_tables():
+    with streaming_tables(max_files):
         s = stats.product_order_stats(fx.order_events(spark, sf_dir))
     return run_available_now(spark, s, "product-stats", "update", ["product_id"])
 
 
-def stream_hourly_count(spark: SparkSession, sf_dir: str, ts_col: str = "timestamp") -> DataFrame:
-    """ST2: continuous A2 — 1-hour tumbling windows, zero grace (watermark
-    0 s), update mode; rows later than the watermark are dropped."""
-    with streaming_tables():
-        e = fx.order_events(spark, sf_dir).withWatermark(ts_col, "0 seconds")
-        h = stats.hourly_order_count(e, ts_col)
-    return run_available_now(spark, h, "hourly-count", "update", ["window_start", "window_end", "product_id"])
+def stream_hourly_count(spark: SparkSession, sf_dir: str, ts_col: str = "timestamp", max_files: int = 1,
+                        window_minutes: int = 60) -> tuple[DataFrame, DataFrame]:
+    """ST2: continuous A2 with zero grace; returns (counts, late rows).
+
+    A row is late when its window ended at or before the stream time, the
+    largest timestamp of all earlier arrivals (ST11's rule, row by row, so the
+    result does not depend on how the rows fall into micro-batches). Each
+    batch writes its on-time counts, its late rows and its largest timestamp
+    under its batch id; the stream time of a batch comes from the smaller
+    ids only, so a replayed batch writes the same again."""
+    base = scratch_path(spark, f"stream-hourly-{uuid.uuid4().hex[:12]}")
+    with streaming_tables(max_files):
+        e = fx.order_events(spark, sf_dir)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # The batch's rows are written first, so the micro-batch plan runs once.
+        batch.write.mode("overwrite").parquet(f"{base}/rows/_batch={batch_id}")
+        rows = spark.read.schema(batch.schema).parquet(f"{base}/rows/_batch={batch_id}")
+        rows.agg(F.max(ts_col).alias("seen")).write.mode("overwrite").parquet(f"{base}/seen/_batch={batch_id}")
+        seen = spark.read.parquet(f"{base}/seen").filter(F.col("_batch") < batch_id).agg(F.max("seen")).first()[0]
+        audit = late_event_audit(rows, ts_col, "offset", window_minutes, start=seen).select(F.col("offset").alias("_late"))
+        flagged = rows.join(audit, F.col("offset") == F.col("_late"), "left")
+        on_time = flagged.filter("_late IS NULL").drop("_late")
+        stats.hourly_order_count(on_time, ts_col, size=f"{window_minutes} minutes").write.mode("overwrite").parquet(
+            f"{base}/out/_batch={batch_id}")
+        flagged.filter("_late IS NOT NULL").drop("_late").write.mode("overwrite").parquet(f"{base}/late/_batch={batch_id}")
+
+    q = start_stream(spark, e.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
+                     .trigger(availableNow=True))
+    q.awaitTermination()
+    counts = spark.read.parquet(f"{base}/out").groupBy("window_start", "window_end", "product_id").agg(
+        F.sum("order_count").alias("order_count"))
+    return counts, spark.read.parquet(f"{base}/late").drop("_batch")
 
 
 def sample_latest(records: DataFrame, ts_col: str, interval: str, order_col: str = "offset") -> DataFrame:
@@ -107,21 +133,22 @@ def sample_latest(records: DataFrame, ts_col: str, interval: str, order_col: str
 
 
 # ------------------------------------------------------------------ ST3, ST4, ST10
-def stream_dedup(spark: SparkSession, sf_dir: str, retention: str = "7 days") -> DataFrame:
-    """ST3: ids remembered for ``retention`` — ``dropDuplicatesWithinWatermark``."""
-    with streaming_tables():
+def stream_dedup(spark: SparkSession, sf_dir: str, retention: str = "7 days", max_files: int = 1) -> DataFrame:
+    """ST3: the whole first delivery of every message id. An id is forgotten
+    ``retention`` after it was *processed*: the watermark runs on the time of
+    processing, so no first delivery is ever late, however old its event."""
+    with streaming_tables(max_files):
         d = fx.deliveries(spark, sf_dir)
         ok, _ = U.valid_payload_split(d)
-        s = (ok.withColumn("message_id", U.message_id_header())
-             .withColumn("event_time", F.col("processed_at").cast("timestamp"))
-             .withWatermark("event_time", retention).dropDuplicatesWithinWatermark(["message_id"]))
-    return run_available_now(spark, s.select("message_id"), "dedup")
+        s = (ok.withColumn("message_id", U.message_id_header()).withColumn("_seen", F.current_timestamp())
+             .withWatermark("_seen", retention).dropDuplicatesWithinWatermark(["message_id"]))
+    return run_available_now(spark, s.drop("_seen"), "dedup")
 
 
-def stream_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_compact(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
     """ST4: continuous A26 — streaming ``max_by`` per key in the state store;
     a tombstone wins and the key is dropped on read."""
-    with streaming_tables():
+    with streaming_tables(max_files):
         c = fx.state_changelog(spark, sf_dir)
         rest = [x for x in c.columns if x not in ("topic", "key")]
         s = c.groupBy("topic", "key").agg(F.max_by(F.struct(*rest), F.col("offset")).alias("_l")).select(
@@ -130,82 +157,109 @@ def stream_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter(F.col("value").isNotNull())
 
 
-def stream_dlt_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_dlt_capture(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
     """ST10: continuous S4 — append failed-message rows."""
-    with streaming_tables():
+    with streaming_tables(max_files):
         s = C.capture_dead_letters(fx.dead_letter_records(spark, sf_dir))
     return run_available_now(spark, s, "dlt-capture")
 
 
 # ------------------------------------------------------------------ ST5 saga
-def _upsert_touched(spark: SparkSession, base: str, key: str, recompute: Callable[[DataFrame, DataFrame], DataFrame]):
-    """foreachBatch body shared by the view-maintaining streams: append the
-    batch to the event table, recompute only the keys it touched from their
-    full history (so late or out-of-order events are applied in offset
-    order), and write a new version of the view with those keys replaced."""
-    events_path, view_root = f"{base}/events", f"{base}/view"
+VIEW_BUCKETS = 64
+
+
+class BucketedView:
+    """A view kept by key buckets: events and view rows are laid out by a hash
+    bucket of the key, so a micro-batch reads and rewrites only the buckets
+    that hold a key it touched.
+
+    A batch appends its events under ``_batch=<id>``, recomputes the keys of
+    its buckets from their events of this and earlier batches (in offset
+    order, by the batch operator), and writes each bucket's next version
+    ``v=<id>``. It reads versions below its own id only and overwrites what an
+    earlier attempt left, so a replayed or half-written batch gives the same
+    view."""
+
+    def __init__(self, spark: SparkSession, base: str, key: str, event_schema, recompute: Callable[[DataFrame], DataFrame],
+                 buckets: int = VIEW_BUCKETS):
+        self.spark, self.key, self.recompute, self.buckets = spark, key, recompute, buckets
+        self.events_path, self.root, self.schema = f"{base}/events", f"{base}/view", event_schema
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        mine = f"{self.events_path}/_batch={batch_id}"
+        batch.withColumn("_bucket", self._bucket()).write.mode("overwrite").partitionBy("_bucket").parquet(mine)
+        if not self._has_files(mine):
+            return
+        touched = [r[0] for r in self.spark.read.parquet(mine).select("_bucket").distinct().collect()]  # at most `buckets`
+        history = (self.spark.read.parquet(self.events_path)
+                   .filter((F.col("_batch") <= batch_id) & F.col("_bucket").isin(touched)))
+        fresh = self.recompute(history.select(*self.schema.fieldNames()))
+        fresh.withColumn("_bucket", self._bucket()).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/v={batch_id}")
+
+    def latest(self) -> DataFrame | None:
+        """The newest version of every bucket; None before the first batch.
+        Failures to read are raised."""
+        if not self._has_files(self.root):
+            return None
+        rows = self.spark.read.parquet(self.root)
+        newest = rows.groupBy("_bucket").agg(F.max("v").alias("_v"))
+        at = {r["_bucket"]: r["_v"] for r in newest.collect()}  # at most `buckets` rows
+        if not at:
+            return None
+        keep = F.lit(False)
+        for b, v in at.items():
+            keep = keep | ((F.col("_bucket") == b) & (F.col("v") == v))
+        return rows.filter(keep).drop("_bucket", "v")
+
+    def _has_files(self, path: str) -> bool:
+        """Does the path hold data files? Only a missing path counts as empty."""
+        try:
+            return len(self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                       .option("pathGlobFilter", "*.parquet").load(path).select("path").take(1)) > 0
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
+
+
+def _run_view(spark: SparkSession, ev: DataFrame, view: BucketedView, base: str) -> None:
+    q = start_stream(spark, ev.writeStream.foreachBatch(view.write).option("checkpointLocation", f"{base}/checkpoint")
+                     .trigger(availableNow=True))
+    q.awaitTermination()
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{events_path}/_batch={batch_id}")
-        # touched keys from the batch just written: the micro-batch plan is not run twice
-        touched = spark.read.parquet(f"{events_path}/_batch={batch_id}").select(key).distinct()
-        history = spark.read.parquet(events_path).drop("_batch").join(touched, key, "left_semi")
-        fresh = recompute(history, touched)
-        prev = latest_version(spark, view_root)
-        if prev is not None:
-            fresh = C.upsert_merge(prev, fresh, [key])
-        fresh.write.mode("overwrite").parquet(f"{view_root}/v={batch_id}")
-
-    return write, view_root
-
-
-def stream_saga(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST5: continuous A6 — each micro-batch re-folds only the sagas it
-    touched (a saga's state is a function of its own short history); sagas
-    without events keep their start state."""
+
+def stream_saga(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
+    """ST5: continuous A6 — each micro-batch re-folds only the buckets of the
+    sagas it touched (a saga's state is a function of its own short history);
+    sagas without events keep their start state."""
     starts = fx.saga_starts(spark, sf_dir)
     base = scratch_path(spark, f"stream-saga-{uuid.uuid4().hex[:12]}")
-    write, view_root = _upsert_touched(
-        spark, base, "saga_id",
-        lambda history, touched: G.saga_state(starts.join(touched, "saga_id", "left_semi"), history))
-    with streaming_tables():
+    with streaming_tables(max_files):
         ev = G.events_with_known_saga(decode.decode_saga_envelope(fx.saga_events(spark, sf_dir)), starts)
-    q = start_stream(spark, ev.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
-                     .trigger(availableNow=True))
-    q.awaitTermination()
-    view = latest_version(spark, view_root)
-    if view is None:
-        return G.saga_state(starts, spark.createDataFrame([], ev.schema))
-    untouched = starts.join(view.select("saga_id"), "saga_id", "left_anti")
-    empty = spark.createDataFrame([], ev.schema)
-    return view.unionByName(G.saga_state(untouched, empty))
+    view = BucketedView(spark, base, "saga_id", ev.schema, lambda history: G.saga_state(
+        starts.join(history.select("saga_id").distinct(), "saga_id", "left_semi"), history))
+    _run_view(spark, ev, view, base)
+    empty, done = spark.createDataFrame([], ev.schema), view.latest()
+    if done is None:
+        return G.saga_state(starts, empty)
+    untouched = starts.join(done.select("saga_id"), "saga_id", "left_anti")
+    return done.unionByName(G.saga_state(untouched, empty))
 
 
 # ------------------------------------------------------------------ ST6 projection
-def stream_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST6: continuous A3 — each micro-batch appends its events to the event
-    table, then recomputes only the orders it touched and upserts them into
-    the summary table (a new version per batch)."""
+def stream_projection(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
+    """ST6: continuous A3 — each micro-batch recomputes only the buckets of the
+    orders it touched."""
     base = scratch_path(spark, f"stream-projection-{uuid.uuid4().hex[:12]}")
-    write, view_root = _upsert_touched(spark, base, "order_id",
-                                       lambda history, touched: P.order_summary_view(history))
-    with streaming_tables():
+    with streaming_tables(max_files):
         ev = decode.decode_saga_envelope(fx.saga_events(spark, sf_dir))
-    q = start_stream(spark, ev.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
-                     .trigger(availableNow=True))
-    q.awaitTermination()
-    return latest_version(spark, view_root)
-
-
-def latest_version(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest ``v=<n>`` version of a view written below ``root`` (found
-    by partition discovery), or None before the first version exists."""
-    try:
-        views = spark.read.parquet(root)
-    except Exception:  # nothing written yet
-        return None
-    last = views.agg(F.max("v")).first()[0]
-    return views.filter(F.col("v") == last).drop("v")
+    view = BucketedView(spark, base, "order_id", ev.schema, P.order_summary_view)
+    _run_view(spark, ev, view, base)
+    done = view.latest()
+    return P.order_summary_view(spark.createDataFrame([], ev.schema)) if done is None else done
 
 
 # ------------------------------------------------------------------ ST7 micro-batches
@@ -230,71 +284,62 @@ def micro_batches(records: DataFrame, ts_col: str, interval_minutes: int, max_si
         .drop("_sub", "_rk", "_before")
 
 
-def stream_micro_batches(sdf: DataFrame, handler: Callable[[DataFrame, int], None], max_files: int,
-                         every: str, checkpoint: str):
-    """ST7 (streaming form): ``handler`` gets groups of at most ``max_files``
-    input files, every ``every`` (processing-time trigger)."""
-    return (sdf.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
-            .trigger(processingTime=every).start())
+def stream_micro_batches(spark: SparkSession, source: Callable[[], DataFrame], handler: Callable[[DataFrame, int], None],
+                         max_files: int, checkpoint: str, every: str | None = None):
+    """ST7 (streaming form): ``handler`` gets the rows of at most ``max_files``
+    input files at a time, every ``every`` (or, without it, until the input is
+    read). ``source`` builds the frame; tables it reads become file streams."""
+    with streaming_tables(max_files):
+        sdf = source()
+    w = sdf.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+    return start_stream(spark, w.trigger(processingTime=every) if every else w.trigger(availableNow=True))
 
 
 # ------------------------------------------------------------------ ST9 inventory
-INV_OUT = "seq LONG, product_id STRING, outcome STRING, reserved_after INT"
 INV_STATE = "reserved INT"
 
 
 def _inventory_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ev = pd.concat(list(pdfs)).sort_values("seq")
-    reserved = state.get[0] if state.exists else None
-    rows = []
-    for seq, cmd, qty, stock, base, found in zip(ev["seq"], ev["command"], ev["quantity"], ev["stock_quantity"],
-                                                 ev["reserved_quantity"], ev["found"]):
-        if not found:
-            rows.append((seq, key[0], "NOT_FOUND", None))
-            continue
-        r = int(base) if reserved is None else reserved
-        if cmd == "RESERVE":
-            if stock - r >= qty:
-                r += int(qty)
-                out = "RESERVED"
-            else:
-                out = "INSUFFICIENT"
-        else:
-            r, out = max(0, r - int(qty)), "RELEASED"
-        reserved = r
-        rows.append((seq, key[0], out, r))
-    if reserved is not None:
-        state.update((int(reserved),))
-    yield pd.DataFrame(rows, columns=["seq", "product_id", "outcome", "reserved_after"])
-
-
-def stream_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST9: continuous A9 — per-product reserved count in the state store."""
+    """One product's commands of a micro-batch, batch by batch: the batch
+    form's fold, started from the state's reserved count."""
+    fold = I.StockFold(key[0], state.get[0] if state.exists else None)
+    for part in pdfs:
+        yield fold.apply(part)
+    if fold.reserved is not None:
+        state.update((int(fold.reserved),))
+
+
+def stream_inventory(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
+    """ST9: continuous A9 — per-product reserved count in the state store.
+    Commands of one product are applied in arrival order (one input partition
+    per product, as a keyed topic has)."""
     stock = fx.inventory(spark, sf_dir)
-    with streaming_tables():
+    with streaming_tables(max_files):
         j = I.reserve_against_stock(fx.inventory_commands(spark, sf_dir), stock).fillna({"reserved_quantity": 0})
-        s = j.groupBy("product_id").applyInPandasWithState(_inventory_step, INV_OUT, INV_STATE, "append",
+        s = j.groupBy("product_id").applyInPandasWithState(_inventory_step, I.OUT_SCHEMA, INV_STATE, "append",
                                                            GroupStateTimeout.NoTimeout)
-    return run_available_now(spark, s, "inventory", "append")
+    out = run_available_now(spark, s, "inventory", "append")
+    return out.select("seq", "product_id", "outcome", "reserved_after")
 
 
 # ------------------------------------------------------------------ ST11 late events
 def late_event_audit(events: DataFrame, ts_col: str = "late_timestamp", order_col: str = "offset",
-                     window_minutes: int = 60, block: int = 1 << 20) -> DataFrame:
+                     window_minutes: int = 60, block: int = 1 << 20, start=None) -> DataFrame:
     """ST11: events a zero-grace tumbling window would discard — window end
     at or before the stream time (max timestamp of earlier arrivals).
 
     The running max is computed in blocks of ``block`` arrivals: one small
     aggregate per block, a prefix max over the block table (one row per
     block), and a running max inside each block — exact, and no task sees
-    more than one block."""
+    more than one block. ``start`` is the stream time before the first row."""
     e = events.select(order_col, ts_col).withColumn("_blk", (F.col(order_col) / block).cast("long"))
     blocks = e.groupBy("_blk").agg(F.max(ts_col).alias("_bmax"))
     prior = blocks.select("_blk", F.max("_bmax").over(
         Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     w = Window.partitionBy("_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    inner = e.withColumn("_inner", F.max(ts_col).over(w)).join(size_checked_broadcast(prior), "_blk")
-    stream_time = F.greatest(F.col("_inner"), F.col("_before"))
+    inner = e.withColumn("_inner", F.max(ts_col).over(w)).join(prior, "_blk")
+    known = [F.col("_inner"), F.col("_before")] + ([] if start is None else [F.lit(start).cast(events.schema[ts_col].dataType)])
+    stream_time = F.greatest(*known)
     window_end = F.window(ts_col, f"{window_minutes} minutes")["end"]
     return inner.select(order_col, ts_col, window_end.alias("window_end"), stream_time.alias("stream_time")) \
         .filter(F.col("window_end") <= F.col("stream_time"))

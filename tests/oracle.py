@@ -8,6 +8,7 @@ import datetime as dt
 import decimal
 import hashlib
 import math
+import os
 
 import duckdb
 
@@ -17,7 +18,9 @@ from flowlens.sources.tables import TABLES, table_path
 def duck(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(sf_dir, t)}')")
+        path = table_path(sf_dir, t)
+        path = f"{path}/*.parquet" if os.path.isdir(path) else path
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
     return con
 
 
