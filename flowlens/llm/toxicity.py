@@ -11,13 +11,18 @@ lattice of one path and stay as they are.
 The character model is counted over all documents. The counts have a fixed
 size (64 letter classes, three deep), whatever the corpus.
 
-Scoring. Every restored word gives its text and its first letters as features.
-From the labelled training rows, each feature gets a shrunk log-odds of
-toxicity; a document's evidence is the largest one among its words, and a
-logistic curve fitted on the training rows turns it into a score. The
-classifier is fitted on at most ``TRAIN_ROWS`` labelled rows, those with the
-smallest hash of the id, and keeps at most ``MAX_FEATURES`` features; both
-bounds are parameters. Every document is scored, whole.
+Scoring. Every restored word has its text and its first letters as features.
+From the labelled training rows each feature gets the share of toxic documents
+among those that have it, shrunk towards the share of the next shorter prefix;
+a word's lift is the log-odds of its most specific known feature above the
+base rate. A document's evidence is its largest lift and the sum of its words'
+lifts, absolute and per word, and a logistic regression turns that into a
+score. The regression is fitted on one half of the training rows with lifts
+from the other half, so it does not trust words merely for having been seen.
+The classifier is fitted on at most ``TRAIN_ROWS`` labelled rows, those with
+the smallest hash of the id, and keeps at most ``MAX_FEATURES`` telling
+features (and as many longer ones that tell a harmless word from a telling
+prefix); these bounds are parameters. Every document is scored, whole.
 
 Defined cases: null text counts as empty; an empty text scores what the curve
 gives for no evidence. Several labels of one id count as toxic if any is. With
@@ -38,10 +43,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.runtime import Scratch
+
 TRAIN_ROWS = 20_000
 MAX_FEATURES = 20_000
-MIN_TOXIC = 2  # toxic training documents that a feature must occur in
-SHRINK = 10.0  # strength of the prior: this many documents at the base rate
+MIN_TOXIC = 2  # toxic training documents that a telling feature must occur in
+MIN_LIFT = 0.5  # log-odds above the base rate of a telling feature
+SHRINK = 8.0  # strength of the prior, in documents
+FAINT = 1.5  # lifts up to this do not add up: long texts have many by chance
+SUPPORT = 5  # training documents that a harmless longer feature must occur in
+EVIDENCE = 4  # numbers that describe a document
 CACHE = 300_000
 PREFIXES = (4, 5, 6)
 
@@ -194,7 +205,8 @@ class Restorer:
 
 
 def features(word: str) -> list[str]:
-    return ["=" + word, *[word[:k] for k in PREFIXES if len(word) > k]]
+    """From the most specific to the least."""
+    return ["=" + word, *[word[:k] for k in reversed(PREFIXES) if len(word) > k]]
 
 
 def document_words(r: Restorer, text: str, cache: dict[str, list[str]]) -> Iterator[list[str]]:
@@ -227,47 +239,68 @@ def is_held_out(id_col: Column, parts: int, held: int) -> Column:
 
 
 class Model:
-    """Character model, feature log-odds and the score curve."""
+    """Character model, feature lifts and the regression's weights."""
 
-    def __init__(self, logp: np.ndarray, odds: dict[str, float], floor: float):
-        self.logp, self.odds, self.floor = logp, odds, floor
-        self.slope, self.shift = 1.0, 0.0
+    def __init__(self, logp: np.ndarray, lifts: dict[str, float], base: float):
+        self.logp, self.lifts, self.base = logp, lifts, base
+        self.weights, self.bias = [0.0] * EVIDENCE, math.log(base / (1 - base))
 
-    def evidence_of(self, words: list[str]) -> float:
-        get, best = self.odds.get, self.floor
+    def lift(self, words: list[str]) -> float:
+        """The largest lift of a token's readings; 0 without any."""
+        get, best = self.lifts.get, 0.0
         for w in words:
-            for f in features(w):
+            for f in features(w):  # the most specific known feature decides
                 v = get(f)
-                if v is not None and v > best:
-                    best = v
+                if v is not None:
+                    best = max(best, v)
+                    break
         return best
 
 
+def lifts_of(rows: list, base: float, toxic: str, clean: str) -> dict[str, float]:
+    """Lift of every feature, each shrunk towards the next shorter known one."""
+    share, out = {}, {}
+    for r in sorted(rows, key=lambda r: (r.feature[0] == "=", len(r.feature))):
+        word = r.feature.removeprefix("=")
+        parent = next((share[word[:k]] for k in reversed(PREFIXES) if word[:k] in share and word[:k] != r.feature), base)
+        p = (r[toxic] + SHRINK * parent) / (r[toxic] + r[clean] + SHRINK)
+        share[r.feature] = p
+        out[r.feature] = math.log(p / (1 - p)) - math.log(base / (1 - base))
+    return out
+
+
 def evidence_column(spark, model: Model):
+    """EVIDENCE numbers per text: the largest lift, and the sum of the distinct
+    words' lifts above FAINT as a logarithm, per square root of the words and per word."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("array<double>")
     def column(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        r, cache, floor = Restorer(m.logp), {}, m.floor
+        r, cache = Restorer(m.logp), {}
 
-        def one(text: str) -> float:
+        def one(text: str) -> list[float]:
             tokens = text.split()
-            best = floor
-            for t in set(tokens):
+            distinct = set(tokens)
+            best = total = 0.0
+            for t in distinct:
                 got = cache.get(t)
                 if got is None:
                     if len(cache) >= CACHE:
                         cache.clear()
-                    got = cache[t] = m.evidence_of(r.readings(t))
+                    got = cache[t] = m.lift(r.readings(t))
                 if got > best:
                     best = got
+                if got > FAINT:
+                    total += got - FAINT
             for run in spaced_runs(tokens):
-                best = max(best, m.evidence_of(r.spaced(run)))
-            return best
+                got = max([m.lift([w]) for w in r.spaced(run)], default=0.0)
+                total, best = total + max(got - FAINT, 0.0), max(best, got)
+            n = max(len(distinct), 1)
+            return [best, math.log1p(total), total / math.sqrt(n), min(10.0 * total / n, 10.0)]
 
         for texts in it:
-            yield pd.Series([one(t or "") for t in texts], dtype="float64")
+            yield pd.Series([one(t or "") for t in texts], dtype=object)
 
     return column
 
@@ -281,32 +314,60 @@ def training_rows(labels: DataFrame, label_col: str, parts: int, held: int, rows
 
 
 def feature_counts(train: DataFrame, logp: np.ndarray) -> DataFrame:
-    """(feature, toxic, clean): training documents with the feature, by label."""
+    """(feature, toxic, clean, toxic_a, clean_a): training documents with the
+    feature by label, in all rows and in half a."""
     shared = train.sparkSession.sparkContext.broadcast(logp)
 
     def partial(it):
         r, cache = Restorer(shared.value), {}
-        n = (Counter(), Counter())
+        n = {(label, half): Counter() for label in (0, 1) for half in (0, 1)}
 
         def flush():
-            keys = list(n[0].keys() | n[1].keys())
-            got = pd.DataFrame({"feature": keys, "toxic": [n[1][k] for k in keys], "clean": [n[0][k] for k in keys]})
-            n[0].clear(), n[1].clear()
+            keys = list(set().union(*n.values()))
+            count = lambda label, halves: np.array([sum(n[label, h][k] for h in halves) for k in keys], dtype=np.int64)
+            got = pd.DataFrame({"feature": pd.Series(keys, dtype=object), "toxic": count(1, (0, 1)), "clean": count(0, (0, 1)),
+                                "toxic_a": count(1, (0,)), "clean_a": count(0, (0,))})
+            for c in n.values():
+                c.clear()
             return got
 
         for pdf in it:
-            for text, label in zip(pdf["text"], pdf["label"]):
+            for text, label, half in zip(pdf["text"], pdf["label"], pdf["half"]):
                 seen = set()
                 for words in document_words(r, text or "", cache):
                     for w in words:
                         seen.update(features(w))
-                n[1 if label else 0].update(seen)
-                if len(n[0]) + len(n[1]) > 4 * CACHE:
+                n[int(label > 0), int(half)].update(seen)
+                if sum(map(len, n.values())) > 3 * CACHE:
                     yield flush()
         yield flush()
 
-    return (train.mapInPandas(partial, "feature string, toxic long, clean long")
-            .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    counted = train.mapInPandas(partial, "feature string, toxic long, clean long, toxic_a long, clean_a long")
+    return counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_a", "clean_a")])
+
+
+def regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> tuple[list[float], float]:
+    """Weights and bias of a ridge logistic regression, by Newton steps. More
+    evidence must not lower a score: a column with a negative weight is left out."""
+    scale = np.maximum(x.std(axis=0), 1e-6)
+    z = np.hstack([x / scale, np.ones((len(x), 1))])
+    w, penalty = np.zeros(z.shape[1]), ridge * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-6
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + penalty, z.T @ (y - q) - penalty @ w)
+        w += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    worst = int(np.argmin(w[:-1])) if len(w) > 1 else 0
+    if len(w) > 1 and w[worst] < 0:
+        rest = [k for k in range(x.shape[1]) if k != worst]
+        some, bias = regression(x[:, rest], y, ridge, rounds)
+        weights = [0.0] * x.shape[1]
+        for k, v in zip(rest, some):
+            weights[k] = v
+        return weights, bias
+    return (w[:-1] / scale).tolist(), float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int = 5, held: int = 0,
@@ -316,40 +377,45 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int
     logp = character_model(docs, text_col)
     chosen = training_rows(labels, label_col, parts, held, train_rows)  # at most train_rows rows: broadcast is bounded
     train = (docs.select(F.col(id_col).alias("t_id"), F.col(text_col).cast("string").alias("text"))
-             .join(F.broadcast(chosen), "t_id").select("text", "label"))
-    size = {int(r.label): r["count"] for r in train.groupBy("label").count().collect()}
-    toxic, clean = size.get(1, 0), size.get(0, 0)
+             .join(F.broadcast(chosen), "t_id")
+             .select("text", "label", F.pmod(F.xxhash64("t_id"), F.lit(2)).cast("int").alias("half")))
+    size = {(int(r.label > 0), r.half): r["count"] for r in train.groupBy("label", "half").count().collect()}
+    toxic, clean = (sum(size.get((label, h), 0) for h in (0, 1)) for label in (1, 0))
     base = (toxic + 1.0) / (toxic + clean + 2.0)
-    model = Model(logp, {}, math.log(base / (1 - base)))
+    model = Model(logp, {}, base)
     if not toxic or not clean:
         return model
+    counts = Scratch(spark, "toxicity").keep(feature_counts(train, logp), "features")
     p = (F.col("toxic") + SHRINK * base) / (F.col("toxic") + F.col("clean") + SHRINK)
-    kept = (feature_counts(train, logp).filter(F.col("toxic") >= MIN_TOXIC)
-            .select("feature", F.log(p / (1 - p)).alias("odds")).filter(F.col("odds") > model.floor)
-            .orderBy(F.desc("odds"), "feature").limit(max_features).collect())
-    model.odds = {r.feature: r.odds for r in kept}
-    # The curve: one logistic regression on evidence, from a histogram of fixed size.
-    e = F.round(evidence_column(spark, model)("text"), 2).alias("e")
-    bins = train.select(e, "label").groupBy("e", "label").count().toPandas()
-    x, y, n = bins["e"].to_numpy(float), bins["label"].to_numpy(float), bins["count"].to_numpy(float)
-    w = np.zeros(2)
-    z = np.stack([x, np.ones_like(x)], axis=1)
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (n * (y - q)) - 0.01 * w
-        h = (z * (n * q * (1 - q))[:, None]).T @ z + 0.01 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        w += step
-        if np.abs(step).max() < 1e-9:
-            break
-    model.slope, model.shift = float(w[0]), float(w[1])
+    telling = (counts.filter(F.col("toxic") >= MIN_TOXIC).withColumn("odds", F.log(p / (1 - p)))
+               .filter(F.col("odds") > math.log(base / (1 - base)) + MIN_LIFT)
+               .orderBy(F.desc("odds"), F.desc("toxic"), "feature").limit(max_features).drop("odds").collect())
+    if not telling:
+        return model
+    # Longer features that begin like a telling prefix: they tell harmless words from telling ones.
+    known = {r.feature for r in telling}
+    heads = spark.createDataFrame([(f,) for f in known if f[0] != "="], "head string")  # at most max_features rows
+    word = F.ltrim(F.lit("="), F.col("feature"))
+    longer = (counts.filter(F.col("toxic") + F.col("clean") >= SUPPORT)
+              .select("*", F.explode(F.array(*[F.substring(word, 1, k) for k in PREFIXES])).alias("head"))
+              .join(F.broadcast(heads), "head").filter(F.col("feature") != F.col("head")).drop("head").distinct()
+              .orderBy(F.desc(F.col("toxic") + F.col("clean")), "feature").limit(max_features).collect())
+    rows = telling + [r for r in longer if r.feature not in known]
+    model.lifts = lifts_of(rows, base, "toxic_a", "clean_a")
+    other = train.filter("half = 1").select(evidence_column(spark, model)("text").alias("x"), "label").toPandas()  # <= train_rows
+    y = (other["label"].to_numpy() > 0).astype(float)
+    if 0 < y.sum() < len(y):
+        model.weights, model.bias = regression(np.stack(other["x"].to_numpy()), y)
+    model.lifts = lifts_of(rows, base, "toxic", "clean")
     return model
 
 
 def score(spark, model: Model, text: Column) -> Column:
     """Toxicity between 0 and 1 of a text column."""
     e = evidence_column(spark, model)(F.coalesce(text.cast("string"), F.lit("")))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(e * F.lit(model.slope) + F.lit(model.shift))))
+    dot = F.aggregate(F.zip_with(e, F.array(*[F.lit(float(w)) for w in model.weights]), lambda x, w: x * w), F.lit(float(model.bias)),
+                      lambda a, x: a + x)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-dot))
 
 
 def restored(spark, model: Model, text: Column) -> Column:
