@@ -11,9 +11,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.session import scratch_path
+
 
 def _cols(cs):
     return [F.col(c) if isinstance(c, str) else c for c in cs]
@@ -63,9 +67,11 @@ def prefix_scan(df: DataFrame, keys: list[str], order_col: str, specs: list[tupl
     of ``sum``, ``max``, ``last`` (last non-null value) and ``inclusive``
     False for "strictly before this row". Rows are cut into blocks of
     ``block`` consecutive ``order_col`` values. A window runs inside each
-    (key, block); the block totals of that same windowed data (one shuffle,
-    reused) feed a prefix over the small block table, which is joined back.
-    No task ever holds more than one block of a hot key.
+    (key, block); its rows are written once below the checkpoint folder, so
+    what feeds the scan (a JSON decode, say) runs once. The block totals of the
+    written rows give a prefix over the small block table, which is joined
+    back. No task ever holds more than one block of a hot key. Null keys form
+    a group of their own.
     """
     d = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block)).cast("long"))
     for i, (_, _, val, _) in enumerate(specs):
@@ -77,7 +83,11 @@ def prefix_scan(df: DataFrame, keys: list[str], order_col: str, specs: list[tupl
         v = F.col(f"_v{i}")
         f = {"sum": F.sum(v), "max": F.max(v), "last": F.last(v, ignorenulls=True)}[op]
         inner.append(f.over(frame).alias(f"_i{i}"))
+    spark = df.sparkSession
+    path = scratch_path(spark, f"prefix-scan-{uuid.uuid4().hex}")
     dw = d.select("*", *inner)
+    dw.write.parquet(path)
+    dw = spark.read.schema(dw.schema).parquet(path)
     block_aggs, prior_cols = [], []
     wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     for i, (_, op, _, _) in enumerate(specs):
@@ -93,8 +103,9 @@ def prefix_scan(df: DataFrame, keys: list[str], order_col: str, specs: list[tupl
             prior_cols.append(F.last(b, ignorenulls=True).over(wb).alias(f"_p{i}"))
         else:
             raise ValueError(op)
-    prior = dw.groupBy(*keys, "_blk").agg(*block_aggs).select(*keys, "_blk", *prior_cols)
-    j = dw.join(prior, [*keys, "_blk"])
+    on = [*keys, "_blk"]
+    prior = dw.groupBy(*on).agg(*block_aggs).select(*[F.col(k).alias(f"_on_{k}") for k in on], *prior_cols)
+    j = dw.join(prior, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on])
     out = []
     for i, (name, op, _, _) in enumerate(specs):
         a, p = F.col(f"_i{i}"), F.col(f"_p{i}")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.classify import alert_level, classify_error, classify_error_short
-from flowlens.operators.common import top_k_per_group
+from flowlens.operators.common import attach_one_row, top_k_per_group
 
 STATUSES = ("PENDING", "RETRIED", "RESOLVED", "IGNORED")
 MAX_RETRY_COUNT = 5          # reprocess retry cap (configuration default)
@@ -130,9 +130,9 @@ def dlt_dashboard(fm: DataFrame, as_of, top: int = 5) -> DataFrame:
     """Status totals, top topics, retry success %, recent-hour count and
     alert level — one row.
 
-    One pass: a per-topic aggregate (partial+final), then one global
-    aggregate over that small table; totals are sums of the per-topic counts
-    and the top topics are the first ``top`` of the topics ordered by total."""
+    A per-topic aggregate (partial+final) gives the totals by one global
+    aggregate and the top topics by a top-k: at most ``top`` topics are
+    gathered, however many there are."""
     now = _ts(as_of)
     st = F.col("status")
     recent = ((st == "PENDING") & F.col("created_at").between(_minus(as_of, hours=1), now)
@@ -142,11 +142,12 @@ def dlt_dashboard(fm: DataFrame, as_of, top: int = 5) -> DataFrame:
         F.count_if((st == "PENDING") & (F.col("retry_count") > 0)).alias("_p"),
         F.count_if(recent).alias("_recent"))
     total = sum((F.col(x.lower()) for x in STATUSES), F.lit(0))
-    ranked = F.array_sort(F.collect_list(F.struct((-total).alias("k"), F.col("topic"))))
     s = t.agg(*[F.coalesce(F.sum(x.lower()), F.lit(0)).cast("long").alias(x.lower()) for x in STATUSES],
               F.coalesce(F.sum("_p"), F.lit(0)).cast("long").alias("_p"),
-              F.coalesce(F.sum("_recent"), F.lit(0)).cast("long").alias("recent_hour_count"),
-              F.array_join(F.transform(F.slice(ranked, 1, top), lambda x: x["topic"]), ",").alias("top_topics"))
+              F.coalesce(F.sum("_recent"), F.lit(0)).cast("long").alias("recent_hour_count"))
+    first = t.select((-total).alias("k"), "topic").orderBy("k", "topic").limit(top)
+    ranked = F.array_sort(F.collect_list(F.struct("k", "topic")))
+    s = attach_one_row(s, first.agg(F.array_join(F.transform(ranked, lambda x: x["topic"]), ",").alias("top_topics")))
     d = F.col("retried") + F.col("_p")
     return s.select(*[x.lower() for x in STATUSES], "recent_hour_count",
                     F.when(d > 0, F.col("retried") / d * 100).otherwise(F.lit(0.0)).alias("retry_success_rate"),

@@ -322,7 +322,12 @@ def trace_summary(spans: DataFrame) -> DataFrame:
         F.coalesce(F.max(d), F.lit(0)).alias("total_duration_ms"),
         F.bool_or(F.col("status") == "ERROR").alias("has_error"))
     return g.select("trace_id", "span_count", F.coalesce("_root", "_first").alias("root_name"), "started_at",
-                    "total_duration_ms", "has_error", "_latest").orderBy(F.col("_latest").desc(), "trace_id").drop("_latest")
+                    "total_duration_ms", "has_error", F.col("_latest").alias("latest_at"))
+
+
+def recent_traces(spans: DataFrame, limit: int = 50) -> DataFrame:
+    """A35 as a list: the traces with the newest spans first (a top-k)."""
+    return trace_summary(spans).orderBy(F.col("latest_at").desc(), "trace_id").limit(limit)
 
 
 def trace_spans(spans: DataFrame, trace_id: str) -> DataFrame:

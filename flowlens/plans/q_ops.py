@@ -317,7 +317,14 @@ SELECT trace_id, count(*) AS span_count,
   min(started_at) AS started_at, coalesce(max(epoch_ms(ended_at) - epoch_ms(started_at)), 0) AS total_duration_ms,
   bool_or(status = 'ERROR') AS has_error FROM spans GROUP BY trace_id""", "spans"))
 def q_trace_summary(spark, sf):
-    return O.trace_summary(fx.spans(spark, sf))
+    return O.trace_summary(fx.spans(spark, sf)).drop("latest_at")
+
+
+@register("recent_traces", with_fixtures("""
+SELECT trace_id, count(*) AS span_count, max(started_at) AS latest_at FROM spans GROUP BY trace_id
+ORDER BY latest_at DESC, trace_id LIMIT 50""", "spans"))
+def q_recent_traces(spark, sf):
+    return O.recent_traces(fx.spans(spark, sf)).select("trace_id", "span_count", "latest_at")
 
 
 @register("trace_spans", with_fixtures("SELECT * FROM spans WHERE trace_id = lpad('b', 32, '0')", "spans"))
