@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, exact, merkle, mixing, quality, runtime, simhash, suffix, toxicity, urls
+from flowlens.llm import bpe, exact, lines, merkle, mixing, quality, runtime, simhash, suffix, toxicity, urls
 from flowlens.sources.tables import table
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,25 @@ def op1_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+@query("op3_line_dedup", sql="""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, i, array_to_string(list_slice(l, i, i + 2), chr(10)) AS win
+      FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)),
+r AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth FROM p),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM r, range(3) t(k) WHERE nth > 1),
+x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS j FROM d),
+k AS (SELECT x.doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY x.j) AS kept
+      FROM x LEFT JOIN gone g ON x.doc_id = g.doc_id AND x.j = g.j WHERE g.j IS NULL GROUP BY x.doc_id)
+SELECT o.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, (coalesce(len(l), 0) - coalesce(n_kept, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents o LEFT JOIN d ON o.doc_id = d.doc_id LEFT JOIN k ON o.doc_id = k.doc_id""")
+def op3_line_dedup(spark, sf_dir):
+    """Lines left of every document when later occurrences of three-line
+    windows are removed."""
+    out = lines.kept_lines(runtime.documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op4_bpe_round_trip")
 def op4_bpe_round_trip(spark, sf_dir):
     """Ids and decoded text of every document under the word-end BPE vocabulary."""

@@ -196,3 +196,37 @@ def test_passage_shared_by_many_documents(spark):
     got = _substring(frame(spark, rows), group=10)
     assert got == _substring_brute([(i, t) for i, t, _ in rows])
     assert sorted(n for _, _, n, _ in got) == [0] + [40] * 59
+
+
+# ------------------------------------------------------------------ lines
+def _lines_brute(rows, window=3):
+    top, first = 1 << 62, {}
+    docs = sorted({(top if i is None else i, t) for i, t in rows if t is not None}, key=str)
+    places = []
+    for i, t in docs:
+        ls = t.split("\n")
+        for p in range(len(ls) - window + 1):
+            places.append((i, p, tuple(ls[p: p + window])))
+    for i, p, w in sorted(places, key=lambda x: x[:2]):
+        first.setdefault(w, (i, p))
+    out = []
+    for i, t in rows:
+        ls = [] if t is None else t.split("\n")
+        gone = [False] * len(ls)
+        for p in range(len(ls) - window + 1):
+            if first[tuple(ls[p: p + window])] < (top if i is None else i, p):
+                gone[p: p + window] = [True] * window
+        kept = "\n".join(x for x, g in zip(ls, gone) if not g)
+        out.append((i, len(ls), sum(gone), kept))
+    return sorted(out, key=str)
+
+
+def test_lines_on_edge_rows(spark):
+    from flowlens.llm import lines
+
+    rows = [(i, t, s) for i, t, s in ROWS] + [
+        (20, "a\nb\nc\nd", "s"), (21, "x\na\nb\nc\nd\ny", "s"), (22, "q\nq\nq\nq\nq", "s"), (None, "z\na\nb\nc", "s"), (23, "a\nb", "s"),
+        (24, "b\nc\nd\n" * 2000, "s")]
+    got = lines.kept_lines(frame(spark, rows)).collect()
+    assert sorted([(r.doc_id, r.n_lines, r.n_removed, r.kept) for r in got], key=str) == _lines_brute([(i, t) for i, t, _ in rows])
+    assert lines.kept_lines(frame(spark).limit(0)).count() == 0
