@@ -12,6 +12,8 @@ cluster), never to a machine-local folder.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +74,7 @@ def capture_dead_letters(records: DataFrame, original_position: bool = True) ->
 
 
 # ------------------------------------------------------------------ typed (Avro) records
+# The fields of the three record types.
 AVRO_SCHEMAS = {
     "OrderEvent": T.StructType([
         T.StructField("eventId", T.StringType()), T.StructField("orderId", T.StringType()),
@@ -111,39 +114,38 @@ def demux_avro_events(records: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def _typed(records: DataFrame) -> DataFrame:
+    """offset, schema_name, value and one column per record type, parsed once
+    per row (behind a Generate, so that no later use parses again)."""
+    parsed = [F.when(F.col("schema_name") == n, F.from_json("value", t)).alias(n) for n, t in AVRO_SCHEMAS.items()]
+    return records.select("offset", "schema_name", "value", F.inline(F.array(F.struct(*parsed))))
+
+
 def demuxed_long(records: DataFrame) -> DataFrame:
-    """S3 as one long frame: offset, record type, entity id, minor-unit amount, event time."""
-    parts = []
-    for name, df in demux_avro_events(records).items():
-        if name == "unknown":
-            continue
-        amt = F.col(_AMOUNT[name]) if _AMOUNT[name] else F.lit(None).cast("long")
-        parts.append(df.filter(F.col("eventId").isNotNull()).select(
-            "offset", F.lit(name).alias("record_type"), F.col(_ENTITY[name]).alias("entity_id"),
-            amt.alias("amount_minor"), F.timestamp_millis("timestamp").cast("timestamp_ntz").alias("event_time")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u
+    """S3 as one long frame, in one scan: offset, record type, entity id,
+    minor-unit amount, event time."""
+    pick = lambda field: F.coalesce(*[F.col(f"{n}.{f}") for n, f in field.items() if f])
+    same = lambda f: {n: f for n in AVRO_SCHEMAS}
+    t = _typed(records.filter(F.col("schema_name").isin(*AVRO_SCHEMAS))).filter(pick(same("eventId")).isNotNull())
+    return t.select("offset", F.col("schema_name").alias("record_type"), pick(_ENTITY).alias("entity_id"),
+                    pick(_AMOUNT).alias("amount_minor"),
+                    F.timestamp_millis(pick(same("timestamp"))).cast("timestamp_ntz").alias("event_time"))
 
 
 def schema_conformance(records: DataFrame) -> DataFrame:
     """per record type — records, unparsable ones, and ones missing a
-    required field under the current schema; zero of both = compatible."""
-    parts = []
-    for name, schema in AVRO_SCHEMAS.items():
-        f = records.filter(F.col("schema_name") == name)
-        parsed = F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", schema))
-        d = f.select(parsed.alias("r"))
-        missing = F.lit(False)
-        for r in AVRO_REQUIRED[name]:
-            missing = missing | F.col(f"r.{r}").isNull()
-        parts.append(d.agg(F.lit(name).alias("record_type"), F.count(F.lit(1)).alias("records"),
-                           F.count_if(F.col("r").isNull()).alias("unparsable"),
-                           F.count_if(F.col("r").isNotNull() & missing).alias("missing_required")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    required field under the current schema; zero of both = compatible. One
+    scan and one aggregate; a type without records has a row too."""
+    t = _typed(records).withColumn("_json", F.try_parse_json("value").isNotNull())
+    aggs, rows = [], []
+    for n in AVRO_SCHEMAS:
+        mine = F.col("schema_name") == n
+        missing = reduce(lambda x, f: x | F.col(f"{n}.{f}").isNull(), AVRO_REQUIRED[n], F.lit(False))
+        aggs += [F.count_if(mine).alias(f"n_{n}"), F.count_if(mine & ~F.col("_json")).alias(f"u_{n}"),
+                 F.count_if(mine & F.col("_json") & missing).alias(f"m_{n}")]
+        rows.append(F.struct(F.lit(n).alias("record_type"), F.col(f"n_{n}").alias("records"),
+                             F.col(f"u_{n}").alias("unparsable"), F.col(f"m_{n}").alias("missing_required")))
+    u = t.agg(*aggs).select(F.inline(F.array(*rows)))
     return u.withColumn("compatible", (F.col("unparsable") + F.col("missing_required")) == 0)
 
 
