@@ -4,9 +4,6 @@
   whole group in one task: a first window ranks inside (group, input split),
   so a hot group is spread over as many tasks as it has input splits; only
   k rows per split survive into the final per-group ranking.
-* :func:`latest_by_key` — last row per key by an ordering column as one
-  partial+final aggregate (``max_by`` over a struct), which combines a hot key
-  map-side instead of sorting it in one task.
 """
 
 from __future__ import annotations
@@ -35,23 +32,6 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, rank_col: str
     return out.withColumnRenamed("__rk", rank_col) if rank_col else out.drop("__rk")
 
 
-def latest_by_key(df: DataFrame, key_cols, order_col: str, keep_nulls: bool = True) -> DataFrame:
-    """Last row per key by ``order_col`` — ``max_by(struct(*), order)``."""
-    ks = [c for c in key_cols]
-    rest = [c for c in df.columns if c not in ks]
-    agg = df.groupBy(*ks).agg(F.max_by(F.struct(*rest), F.col(order_col)).alias("__last"))
-    return agg.select(*ks, *[F.col("__last")[c].alias(c) for c in rest])
-
-
-def first_by_key(df: DataFrame, key_cols, order_col: str | Column) -> DataFrame:
-    """First row per key by ``order_col`` — ``min_by(struct(*), order)``."""
-    ks = list(key_cols)
-    rest = [c for c in df.columns if c not in ks]
-    o = F.col(order_col) if isinstance(order_col, str) else order_col
-    agg = df.groupBy(*ks).agg(F.min_by(F.struct(*rest), o).alias("__first"))
-    return agg.select(*ks, *[F.col("__first")[c].alias(c) for c in rest])
-
-
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of ``one_row`` — a global aggregate, hence exactly
     one row — to every row of ``df`` as one scalar subquery (the aggregate

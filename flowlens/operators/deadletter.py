@@ -7,8 +7,7 @@ resolved_at, retry_count). ``as_of`` replaces the wall clock everywhere.
 
 Every report is a partial+final hash aggregate (``count_if``/``sum``/``min``/
 ``max``) — one scan, no sort of raw rows, hot topics combined map-side.
-Mutations return a new version of the table (write it with
-:func:`flowlens.sources.connectors.write_table`), never update in place.
+Mutations return a new version of the table, never update in place.
 """
 
 from __future__ import annotations

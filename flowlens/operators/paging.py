@@ -23,8 +23,3 @@ def paged(df: DataFrame, page: int, size: int, sort_col: str, descending: bool =
     totals = df.agg(F.count(F.lit(1)).alias("total_elements")).withColumn(
         "total_pages", F.ceil(F.col("total_elements") / F.lit(size)).cast("long"))
     return attach_one_row(content, totals)
-
-
-def page_flags(page: int, total_pages_col: str = "total_pages"):
-    """``first``/``last`` flags of a page response."""
-    return [F.lit(page == 0).alias("first"), (F.lit(page) >= F.col(total_pages_col) - 1).alias("last")]

@@ -297,15 +297,6 @@ def outbox_by_status(outbox: DataFrame, status: str) -> DataFrame:
     return outbox.filter(F.col("status") == status)
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write a new table version (parquet, overwrite) — e.g. a mutated
-    ``failed_messages`` — partitioned for later pruning."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
 def kafka_source(spark: SparkSession, bootstrap: str, topics: str | None = None, pattern: str | None = None,
                  max_offsets_per_trigger: int | None = None, stream: bool = True) -> DataFrame:
     """A Kafka topic as records — committed data only
