@@ -66,7 +66,8 @@ def test_run_on_edge_rows(spark, tmp_path):
 
     d = frame(spark).select("doc_id", "text", "lang", "source", "n_chars")
     d.write.parquet(f"{tmp_path}/documents.parquet")
-    labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    few_toxic = [(i, 1, int(i == 8)) for i in (1, 4, 5, 6, 8, 9, 10)] + [(6, None, 0), (None, 1, 1), (99, 0, None)]
+    labels(spark, few_toxic).write.parquet(f"{tmp_path}/labels.parquet")
     out = C.run(spark, str(tmp_path))
     assert out.count() > 0 and out.filter(F.col("ids").isNull()).count() == 0
     d.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
