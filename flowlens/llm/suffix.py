@@ -48,8 +48,8 @@ PREFIX = 6
 GROUP = 50_000
 MOST_LONG = 1_000_000
 BUCKET = 400_000  # suffixes that one group of prefixes should hold
-FLUSH = 1_000_000  # picked suffixes that a task gathers before it sends them
-CACHE = 500_000
+FLUSH = 500_000  # picked suffixes that a task gathers before it sends them
+CACHE = 300_000
 LAST = (1 << 63) - 1  # stands for a null id
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -149,16 +149,14 @@ def _send(keys, ids, at, buckets) -> Iterator[pd.DataFrame]:
 
 
 def _shared_prefixes(group: int):
-    """Per group: positions of suffixes whose prefix another document has, and
-    prefixes with more than ``group`` suffixes."""
+    """Per group: document and position of every suffix whose prefix another
+    document has; then, at position -1, prefixes with more than ``group`` suffixes."""
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
         join = lambda col, kind, t: np.frombuffer(b"".join(pdf.loc[pdf["kind"] == kind, col]), dtype=t)
         key, i, pos = join("key", SINGLE, np.uint64), join("ids", SINGLE, np.int64), join("at", SINGLE, np.uint32)
         known, counts = join("key", SEVERAL, np.uint64), join("at", SEVERAL, np.uint32)
         order = np.lexsort((i, key))
         key, i, pos = key[order], i[order], pos[order]
-        out = [(int(np.frombuffer(a, dtype=np.int64)[0]), b, None)
-               for k, a, b in zip(pdf["kind"], pdf["ids"], pdf["at"]) if k == KNOWN]
         start = changes(key)
         size = np.diff(np.append(start, len(key)))
         seen = np.unique(known)
@@ -168,14 +166,11 @@ def _shared_prefixes(group: int):
         total_keys, back = np.unique(np.concatenate((key[start], known)), return_inverse=True)
         total = np.bincount(back, weights=np.concatenate((size, counts)), minlength=len(total_keys))
         long_ = total_keys[total > group]
-        i, pos = i[each], pos[each]
-        order = np.lexsort((pos, i))
-        i, pos = i[order], pos[order]
-        cut = changes(i)
-        out += [(int(i[a]), pos[a:b].tobytes(), None) for a, b in zip(cut, np.append(cut[1:], len(i)))]
-        out += [(None, None, int(k)) for k in long_.view(np.int64)]
-        got = pd.DataFrame(out, columns=["ord", "at", "long_prefix"])
-        return got.astype({"ord": "Int64", "long_prefix": "Int64"})
+        known_at = pdf.loc[pdf["kind"] == KNOWN, "at"]
+        i = np.concatenate((i[each], np.repeat(join("ids", KNOWN, np.int64), known_at.str.len().to_numpy(dtype=np.int64) // 4)))
+        pos = np.concatenate((pos[each], join("at", KNOWN, np.uint32))).astype(np.int32)
+        n = len(long_)  # a row per suffix, then a row per long prefix (with no position)
+        return pd.DataFrame({"ord": np.concatenate((i, long_.view(np.int64))), "at": np.concatenate((pos, np.full(n, -1, np.int32)))})
 
     return rows
 
@@ -218,7 +213,7 @@ def _group_rows(window: int, prefix: int, buckets: int, long_shared):
                     continue
                 codes = codes_of(coder, words)
                 h, pick = picked(codes, window, prefix)
-                wanted = np.unique(np.concatenate([np.frombuffer(c, dtype=np.uint32) for c in chosen])).astype(np.int64)
+                wanted = np.unique(np.asarray(chosen, dtype=np.int64))
                 start = changes(pick)
                 end = np.append(start[1:], len(pick))
                 hit = np.isin(pick[start], wanted)
@@ -244,7 +239,7 @@ def _group_rows(window: int, prefix: int, buckets: int, long_shared):
                         else:  # the same id again: it shares the fate of the smallest
                             put(int.from_bytes(hashlib.blake2b(data, digest_size=7).digest(), "little") % buckets, (i, crc, w, window), data)
                         n += 1
-            if n >= FLUSH // 2:
+            if n >= FLUSH:
                 yield _packed(flush(), marked, buckets)
                 marked, n = [], 0
         yield _packed(flush(), marked, buckets)
@@ -335,11 +330,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     group = max(group, picks // MOST_LONG)
     sent = (texts.select("ord", "text")
             .mapInPandas(_prefix_rows(window, prefix, buckets), "bucket long, kind int, key binary, ids binary, at binary"))
-    shared = scratch.keep(sent.groupBy("bucket").applyInPandas(_shared_prefixes(group), "ord long, at binary, long_prefix long"),
+    shared = scratch.keep(sent.groupBy("bucket").applyInPandas(_shared_prefixes(group), "ord long, at int"),
                           "shared")
-    long_ = shared.filter("long_prefix IS NOT NULL").select("long_prefix").toPandas()["long_prefix"]  # at most MOST_LONG
+    long_ = shared.filter("at < 0").select("ord").toPandas()["ord"]  # at most MOST_LONG
     long_ = spark.sparkContext.broadcast(np.sort(long_.to_numpy(dtype=np.int64).view(np.uint64)).tobytes())
-    chosen = shared.filter("ord IS NOT NULL").groupBy("ord").agg(F.collect_list("at").alias("at"))
+    chosen = shared.filter("at >= 0").groupBy("ord").agg(F.collect_list("at").alias("at"))
     zipped = texts.select("ord", "crc", _zipped()("text").alias("z"))
     left = zipped.join(chosen.hint("merge"), "ord").select("ord", "crc", "z", "at")
     packed = left.mapInPandas(_group_rows(window, prefix, buckets, long_), "bucket long, kind int, head binary, words binary")
