@@ -53,7 +53,7 @@ SHRINK = 8.0  # strength of the prior, in documents
 FAINT = 1.5  # lifts up to this do not add up: long texts have many by chance
 SUPPORT = 5  # training documents that a harmless longer feature must occur in
 EVIDENCE = 4  # numbers that describe a document
-CACHE = 300_000
+CACHE = 150_000
 PREFIXES = (4, 5, 6)
 
 # The letters that a sign may stand for.
