@@ -27,3 +27,23 @@ def test_exactly_once_fanout_idempotent(spark, tmp_path):
     w(batch, 0)  # a replayed batch rewrites, never duplicates
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
     assert spark.read.parquet(str(tmp_path / "audit")).count() == batch.count()
+
+
+def _fake_session(master):
+    from types import SimpleNamespace
+
+    seen = {}
+    sc = SimpleNamespace(master=master, getConf=lambda: {}, setCheckpointDir=lambda d: seen.update(dir=d))
+    conf = SimpleNamespace(get=lambda k, default=None: seen.get(k, default), set=lambda k, v: seen.update({k: v}))
+    return SimpleNamespace(sparkContext=sc, conf=conf), seen
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    import pytest
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(_fake_session(master)[0])
+    for master in ("local", "local[*]", "local[8]"):
+        session, seen = _fake_session(master)
+        assert ensure_checkpoint_dir(session) == seen["dir"]
