@@ -1,12 +1,17 @@
 """Toxicity of obfuscated text: noisy-channel restoration, then scoring.
 
 Restoration. A word that shows obfuscation (leetspeak signs among letters, a
-sign between letters, a letter three times in a row, letters set apart by
-blanks) is read as the output of a noisy channel. Its lattice has, per
-character, the letters that the sign may stand for, dropping the sign, ending
-the word there, or dropping a repeated letter, each at a cost. Viterbi decoding
-under a character trigram model picks the likeliest path. Other words have a
-lattice of one path and stay as they are.
+sign between letters, a repeated letter, letters set apart by blanks) is read
+as the output of a noisy channel. Its lattice has, per character, the letters
+that the sign may stand for, dropping the sign, ending the word there, or
+dropping a repeated letter, each at a cost. Viterbi decoding under a character
+trigram model picks the likeliest path. Other words have a lattice of one path
+and stay as they are. A word whose only sign is a doubled letter is scored both
+as it is and as decoded.
+
+Letters set apart by blanks are decoded in overlapping stretches, as one word
+and with word ends between letters; every part of 3 to 14 letters of what they
+spell may be a word too, as the blanks between words are lost.
 
 The character model is counted over all documents. The counts have a fixed
 size (64 letter classes, three deep), whatever the corpus.
@@ -66,6 +71,9 @@ LEET = {
 # dropped or ending the word, for separators, signs with a reading, and digits.
 SUBSTITUTE, DOUBLED, DRAWN_OUT = -0.7, -6.0, -0.5
 SEPARATOR, SIGN, DIGIT = (-0.5, 0.0), (-5.0, -3.0), (-8.0, -8.0)
+APART = -2.0  # a word end between letters that all stand apart
+PART = (3, 14)  # letters of a word among letters that stand apart
+STRETCH = 96  # letters decoded at once; half of them are decoded in the next stretch too
 EDGES = string.punctuation + "…“”„«»‘’¿¡"
 SIZE = 64  # letter classes: 0 none, 1-26 a-z, 27-59 U+00DF-U+00FF, 60 any other letter
 OTHER = 60
@@ -134,18 +142,24 @@ class Restorer:
     @staticmethod
     def noisy(word: str) -> bool:
         if word.isalpha():
-            return any(word[k] == word[k + 1] == word[k + 2] for k in range(len(word) - 2))
+            return any(a == b for a, b in zip(word, word[1:]))
         return any(c.isalpha() for c in word) and len(word) > 2
 
-    def decode(self, word: str) -> str:
-        """The likeliest plain reading; blanks part it where words end."""
+    def decode(self, word: str, doubled: float = DOUBLED, apart: float | None = None) -> str:
+        """The likeliest plain reading; blanks part it where words end. With
+        ``apart``, a word may end after any letter at that cost."""
         logp, states = self.logp, {(0, 0): (0.0, "")}
         runs = [(c, n, k) for c, g in groupby(word.lower()) for n in [len(list(g))] for k in range(n)]
         for ch, length, place in runs:
+            if apart is not None:
+                for (a, b), (score, out) in list(states.items()):
+                    s = score + apart + logp[a][b][0]
+                    if b and ((b, 0) not in states or states[b, 0][0] < s):
+                        states[b, 0] = (s, out + " ")
             k = class_of(ch)
             if k:
                 options = [(ch, k, 0.0)]
-                drop = None if place == 0 else DOUBLED if length == 2 else DRAWN_OUT
+                drop = None if place == 0 else doubled if length == 2 else DRAWN_OUT
             else:
                 drop, ends = DIGIT if ch.isdigit() else SIGN if ch in LEET else SEPARATOR
                 options = [(c, class_of(c), SUBSTITUTE) for c in LEET.get(ch, "")] + [(" ", 0, ends)]
@@ -173,18 +187,28 @@ class Restorer:
             if core is not low and low[0] in LEET and len(low) > len(core):
                 out += self.decode(low.rstrip(EDGES)).split()  # a sign in front may be the first letter
             return out
-        out = []
+        out = [core] if core.isalpha() else []  # a repeated letter may be right
         for form in {core, low.rstrip(EDGES)} if core else ():
             if self.noisy(form):
                 out += self.decode(form).split()
+                if any(a == b for a, b in zip(form, form[1:])):
+                    out += self.decode(form, DRAWN_OUT).split()
             elif form:
                 out.append(form)
-        return out
+        return list(dict.fromkeys(out))
 
     def spaced(self, letters: str) -> list[str]:
-        """Readings of letters that stood apart: any stretch of them may be a word."""
-        low = "".join(LEET[c][0] if c in LEET and not c.isalpha() else c for c in letters.lower())
-        return [low[i: j] for i in range(len(low)) for j in range(i + 4, min(len(low), i + 14) + 1)]
+        """Readings of letters that stood apart: the words of every decoding, and
+        any part of the letters, as they are and as decoded."""
+        low = letters.lower()
+        out = dict.fromkeys(parts("".join(LEET[c][0] if c in LEET and not c.isalpha() else c for c in low)))
+        for stretch, first, last in stretches(low):
+            for got in {self.decode(stretch), self.decode(stretch, DRAWN_OUT), self.decode(stretch, apart=APART)}:
+                words = got.split()
+                # A word at a cut may be a piece; the stretch that overlaps there has it whole.
+                out.update(dict.fromkeys(w for w in words[not first: len(words) - (not last)] if len(w) >= PART[0]))
+                out.update(dict.fromkeys(parts("".join(words))))
+        return list(out)
 
     def restore(self, text: str) -> str:
         """The text with obfuscated words restored."""
@@ -204,6 +228,22 @@ class Restorer:
         return " ".join(out)
 
 
+def parts(letters: str) -> Iterator[str]:
+    """Every part of PART letters."""
+    least, most = PART
+    return (letters[i: j] for i in range(len(letters)) for j in range(i + least, min(len(letters), i + most) + 1))
+
+
+def stretches(letters: str) -> Iterator[tuple[str, bool, bool]]:
+    """Overlapping stretches of at most STRETCH letters, and whether each is the
+    first and the last. Letters drawn out further than three times count as three:
+    the channel drops any number of them at one cost each."""
+    letters = "".join(c * min(len(list(g)), 3) if c.isalpha() else "".join(g) for c, g in groupby(letters))
+    step = STRETCH // 2
+    for k in range(0, max(len(letters) - step, 1), step):
+        yield letters[k: k + STRETCH], k == 0, k + STRETCH >= len(letters)
+
+
 def features(word: str) -> list[str]:
     """From the most specific to the least."""
     return ["=" + word, *[word[:k] for k in reversed(PREFIXES) if len(word) > k]]

@@ -85,6 +85,28 @@ def test_restored_text_and_spaced_letters(restorer):
     assert "idiot" in restorer.spaced("aidiot")
 
 
+@pytest.mark.parametrize("spaced,plain", [("b a d", "bad"), ("c 1 o w n", "clown"), ("s t * p i d", "stupid"), ("i d d d i o t", "idiot"),
+                                          ("i d d i o t", "idiot"), ("y o u c 1 o w n", "clown"), ("x y z " * 50 + "m 0 r 0 n" + " x y z" * 50, "moron"),
+                                          ("a " * 200 + "i d i o t", "idiot")])
+def test_spaced_words_are_decoded(restorer, spaced, plain):
+    run, = toxicity.spaced_runs(spaced.split())
+    assert plain in restorer.spaced(run)
+
+
+@pytest.mark.parametrize("noisy,plain", [("iddiot", "idiot"), ("stuppid", "stupid"), ("cllown", "clown"), ("worthleeess", "worthless")])
+def test_doubled_letters_are_decoded(restorer, noisy, plain):
+    assert {noisy, plain} <= set(restorer.readings(noisy))
+    assert restorer.readings("hello") == ["hello"]
+
+
+def test_stretches_overlap():
+    text = "".join(chr(97 + k * 7 % 26) for k in range(500))
+    got = list(toxicity.stretches(text))
+    assert all(any(text[k: k + toxicity.STRETCH // 2] in s for s, _, _ in got) for k in range(len(text)))
+    assert [f for _, f, _ in got] == [True] + [False] * (len(got) - 1) and [x for _, _, x in got] == [False] * (len(got) - 1) + [True]
+    assert list(toxicity.stretches("iddddiot")) == [("idddiot", True, True)]
+
+
 def test_obfuscated_documents_score_like_plain_ones(spark):
     docs = runtime.documents(runtime.prepare(spark), SF_LARGER)
     model = toxicity.fit(docs, table(spark, SF_LARGER, "labels"))
@@ -93,3 +115,11 @@ def test_obfuscated_documents_score_like_plain_ones(spark):
     got = [r.p for r in spark.createDataFrame(rows, "text string").coalesce(1)
            .select(toxicity.score(spark, model, F.col("text")).alias("p")).collect()]
     assert got[0] > 0.5 and got[1] > 0.5 and got[2] > 0.5 and got[3] < 0.5 and got[4] < 0.5
+
+
+def test_spaced_and_doubled_documents_score_as_toxic(spark):
+    docs = runtime.documents(runtime.prepare(spark), SF_LARGER)
+    model = toxicity.fit(docs, table(spark, SF_LARGER, "labels"))
+    rows = [("Than the c 1 o w n nt erble",), ("Than the s t * p i d nt erble",), ("Than the i d d d i o t nt erble",), ("Than the iddiot nt erble",)]
+    assert all(r.p > 0.5 for r in spark.createDataFrame(rows, "text string").coalesce(1)
+               .select(toxicity.score(spark, model, F.col("text")).alias("p")).collect())
