@@ -137,17 +137,34 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, max_repeat: float = 3.0, id_col:
                                       before.alias("before"), whole.alias("whole"), "tier").alias("mix"))
 
 
-def copies(planned: DataFrame, schedules=SCHEDULES) -> DataFrame:
-    """One row per copy that the mix takes: ``row``, ``mix``, ``copy`` (0, 1, ...),
-    ``words`` (of this copy) and ``position`` (training time 0..1)."""
+def deal(planned: DataFrame, schedules=SCHEDULES) -> DataFrame:
+    """``row``, ``mix`` and ``copies``: the copies that the mix takes of the row
+    (empty if none), each with ``copy`` (0, 1, ...), ``words`` (of this copy) and
+    ``position`` (training time 0..1)."""
     m = F.col("mix")
     n = F.ceil(F.try_divide(m.taken, m["size"])).cast("int")
-    each = planned.filter(m.taken > 0).select("row", "mix", F.explode(F.sequence(F.lit(0), n - 1)).alias("copy"))
-    offset = m.before + F.col("copy") * m.source_size
-    words = F.least(m["size"], m.whole - offset)
-    each = each.select("row", "mix", "copy", words.alias("words"), offset.alias("offset"))
-    share = (F.col("offset") + F.col("words") / 2) / m.whole
-    return each.select("row", "mix", "copy", "words", due_time(share, m.tier, schedules).alias("position"))
+
+    def one(copy: Column) -> Column:
+        offset = m.before + copy * m.source_size
+        words = F.least(m["size"], m.whole - offset)
+        share = (offset + words / 2) / m.whole
+        return F.struct(copy.alias("copy"), words.alias("words"), due_time(share, m.tier, schedules).alias("position"))
+
+    numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return planned.select("row", "mix", F.transform(numbers, one).alias("copies"))
+
+
+def copies(planned: DataFrame, schedules=SCHEDULES) -> DataFrame:
+    """One row per copy that the mix takes: ``row``, ``mix``, ``copy``, ``words``
+    and ``position`` of :func:`deal`."""
+    return deal(planned, schedules).select("row", "mix", F.inline("copies"))
+
+
+def in_training_order(planned: DataFrame, schedules=SCHEDULES) -> DataFrame:
+    """The rows of :func:`deal`, range-sorted by the position of the first copy;
+    rows that the mix leaves out come last."""
+    first = F.try_element_at("copies", F.lit(1))["position"]
+    return deal(planned, schedules).orderBy(first.asc_nulls_last(), "mix.before", F.col("mix.tier"))
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: float = 3.0, schedules=SCHEDULES,

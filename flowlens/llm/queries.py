@@ -120,11 +120,13 @@ SELECT doc_id, size, source_size, target,
          ((whole // source_size) * size + greatest(least(whole % source_size - before, size), 0))::BIGINT END AS taken
 FROM c""")
 def op7_mix_sources(spark, sf_dir):
-    """Words that the mix takes from every document, repeats counted."""
+    """Words that the mix's copies take from every document, in training order
+    of the first copy; documents without a copy come last."""
     out = mixing.plan_mix(runtime.documents(spark, sf_dir, "doc_id", "text", "source")
                           .select("doc_id", "source", mixing.word_count(F.col("text")).alias("n_words")),
                           size=F.col("n_words"))
-    return out.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    taken = F.aggregate("copies.words", F.lit(0).cast("long"), lambda total, words: total + words)
+    return mixing.in_training_order(out, mixing.SCHEDULES).select("row.doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"))
 
 
 @query("op8_substring_dedup", sql=r"""

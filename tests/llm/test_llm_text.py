@@ -111,6 +111,24 @@ def test_due_time_inverts_the_integral(spark):
         assert 1.6 * u - 0.6 * u * u == pytest.approx(r.y, abs=1e-9)
 
 
+def test_mix_query_follows_the_schedules(spark, monkeypatch):
+    import __spark_entry__ as E
+
+    run = lambda: [(r.doc_id, r.taken) for r in E.queries()["op7_mix_sources"](spark, SF_SMALL).collect()]
+    got = run()
+    docs = runtime.documents(spark, SF_SMALL, "doc_id", "text", "source")
+    first, words = {}, {}
+    for r in mixing.copies(mixing.plan_mix(docs)).select("row.doc_id", "words", "position").collect():
+        first[r.doc_id] = min(first.get(r.doc_id, 2.0), r.position)
+        words[r.doc_id] = words.get(r.doc_id, 0) + r.words
+    assert dict(got) == {r.doc_id: words.get(r.doc_id, 0) for r in docs.collect()}
+    places = [first.get(i, 2.0) for i, _ in got]
+    assert places == sorted(places) and places[0] < places[len(words) - 1]
+    monkeypatch.setattr(mixing, "SCHEDULES", mixing.SCHEDULES[::-1])
+    other = run()
+    assert other != got and sorted(other) == sorted(got)
+
+
 # ------------------------------------------------------------------ Merkle
 def test_merkle_query_rows(spark):
     import __spark_entry__ as E
