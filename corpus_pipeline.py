@@ -10,8 +10,11 @@ reads back to the next one. All stages but the last return the columns of
 3. SimHash near-dedup: of each component (3-word shingles, at most 3 differing
    bits) the document with the smallest id stays.
 4. mixing: documents are repeated or left out so that each source gives its
-   target, in training order; a source's last copy is cut to the words wanted.
-5. tokens: per copy its id, source, ids (packed little-endian) and their number.
+   target, in training order; a source's last copy stays whole, so a target is
+   exceeded by less than one document.
+5. tokens: per copy its place in training order, id, source, ids (packed
+   little-endian) and their number. ``place`` is (task, file, row) of the
+   mixing stage's sorted files: sorting by it restores the training order.
 
 Defined cases are those of the operators; an empty table gives an empty result.
 """
@@ -45,13 +48,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     runtime.prepare(spark)
-    return mixing.mix_documents(docs)
+    return mixing.mix_documents(docs, whole_copies=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     runtime.prepare(spark)
     tok = bpe.Tokenizer(spark, word_tokenizer_path())
-    out = docs.select("doc_id", "source", tok.encode(runtime.text_or_empty()).alias("ids"))
+    number = lambda pattern: F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).try_cast("long")
+    place = F.struct(number(r"^part-(\d+)").alias("task"), number(r"-c(\d+)\.").alias("file"), F.col("_metadata.row_index").alias("row"))
+    out = docs.select(place.alias("place"), "doc_id", "source", tok.encode(runtime.text_or_empty()).alias("ids"))
     out = out.withColumn("n_tokens", bpe.n_tokens(F.col("ids")))
     return out.withColumn("decoded_sha256", F.sha2(tok.decode("ids").cast("binary"), 256))
 

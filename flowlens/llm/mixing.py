@@ -168,12 +168,13 @@ def in_training_order(planned: DataFrame, schedules=SCHEDULES) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: float = 3.0, schedules=SCHEDULES,
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", whole_copies: bool = False) -> DataFrame:
     """The mixed corpus in training order, with the input's columns. A copy at
     the end of a source's demand is cut to the words still wanted (its
-    ``n_chars``, where there is such a column, follows)."""
+    ``n_chars``, where there is such a column, follows); with ``whole_copies``
+    it is taken whole, so a source exceeds its target by less than one document."""
     c = copies(plan_mix(docs, weights, max_repeat), schedules)
-    cut = F.col("words") < F.col("mix.size")
+    cut = F.lit(False) if whole_copies else F.col("words") < F.col("mix.size")
     row = F.col("row")
     first = F.array_join(F.slice(F.split(F.regexp_replace(row[text_col], "^" + GAPS, ""), GAPS), 1,
                                  F.col("words").cast("int")), " ")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 import corpus_pipeline as C
 from conftest import SF_CHECK
-from flowlens.llm import bpe, runtime, simhash
+from flowlens.llm import bpe, mixing, runtime, simhash
 from flowlens.llm.queries import ORACLE, QUERIES, word_tokenizer_path
 from flowlens.sources.tables import table
 from oracle import compare
@@ -72,3 +72,20 @@ def test_run_on_edge_rows(spark, tmp_path):
     assert out.count() > 0 and out.filter(F.col("ids").isNull()).count() == 0
     d.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_training_order_survives_into_the_token_rows(spark, tmp_path):
+    docs = runtime.documents(runtime.prepare(spark), SF_CHECK).limit(200)
+    planned = mixing.copies(mixing.plan_mix(docs))
+    want = [r.doc_id for r in planned.select("row.doc_id", "position", "mix.before", "copy").orderBy("position", "before", "copy").collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        C.mix_sources(spark, docs, SF_CHECK).write.option("maxRecordsPerFile", 20).parquet(f"{tmp_path}/mixed")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list(tmp_path.glob("mixed/part-*"))) > 2
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    rows = C.encode(spark, mixed, SF_CHECK).repartition(3).collect()
+    assert len({r.place for r in rows}) == len(rows)
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.place)] == want
+    assert mixed.join(docs, ["doc_id", "text"], "left_anti").count() == 0  # no copy is cut
