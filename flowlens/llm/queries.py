@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, exact, lines, merkle, mixing, quality, runtime, simhash, suffix, toxicity, urls
+from flowlens.llm import (bpe, exact, infilling, lines, merkle, mixing, quality, resampling, runtime, simhash, suffix, suffixarray,
+                          toxicity, urls)
 from flowlens.sources.tables import table
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,3 +163,71 @@ def op10_toxicity(spark, sf_dir):
     out = docs.select("doc_id", toxicity.is_held_out(F.col("doc_id"), 5, 0).alias("held_out"),
                       toxicity.score(spark, model, F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+# DuckDB has no CRC-32: a table of 256 steps, then one step per byte of every distinct word.
+_CRC_SQL = r"""
+step AS (SELECT list(list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+feats AS (
+  SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT 't', NULL, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+words AS (SELECT w, lower(hex(encode(w))) AS hx FROM (SELECT DISTINCT w FROM feats)),
+crcs AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, (length(hx) // 2)::BIGINT),
+                 lambda i: (position(substr(hx, (2 * i + 1)::INT, 1) IN '0123456789abcdef') - 1) * 16
+                      + position(substr(hx, (2 * i + 2)::INT, 1) IN '0123456789abcdef') - 1)),
+                 lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+         FROM words, step)"""
+
+
+@query("op11_importance_resampling", sql="WITH " + _CRC_SQL + """,
+f AS (SELECT side, doc_id, bucket FROM feats JOIN crcs USING (w)),
+n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM f GROUP BY bucket),
+a AS (SELECT count(*) FILTER (side = 'd') AS s_all, count(*) FILTER (side = 't') AS t_all FROM f),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM n, a),
+w AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+h AS (SELECT d.doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+             list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: (position(substr(sha256('2024:' || d.doc_id), i::INT, 1) IN '0123456789abcdef') - 1)::BIGINT)),
+                         lambda x, y: x * 16 + y) AS h
+      FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS eligible FROM z WHERE n_features >= 20)
+SELECT z.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * eligible // 100 THEN rank END AS rank
+FROM z LEFT JOIN r ON z.doc_id = r.doc_id""")
+def op11_importance_resampling(spark, sf_dir):
+    """Importance weight, score and rank of every document, drawn towards the benchmark texts."""
+    out = resampling.resample(runtime.documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_fill_in_middle", sql=r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tok,
+                  list_transform(string_split(sha256('42:' || doc_id), ''), lambda c: position(c IN '0123456789abcdef') - 1) AS x FROM documents),
+h AS (SELECT doc_id, text, tok, len(tok)::BIGINT AS n,
+             list_transform([0, 8, 16, 24], lambda k: list_reduce(list_prepend(0::BIGINT, list_transform(list_slice(x, k + 1, k + 8), lambda v: v::BIGINT)), lambda p, q: p * 16 + q)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+                  WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(list_slice(tok, 1, a), '') AS pre, array_to_string(list_slice(tok, a + 1, b), '') AS mid,
+             array_to_string(list_slice(tok, b + 1, n), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""")
+def op12_fill_in_middle(spark, sf_dir):
+    """Fill-in-the-middle form of every document, and the text rebuilt from it."""
+    out = infilling.fill_in_middle(runtime.documents(spark, sf_dir, "doc_id", "text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+                      sha(infilling.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+@query("op13_suffix_array_dedup")
+def op13_suffix_array_dedup(spark, sf_dir):
+    """Bytes left of every document when strings of 400 bytes that occur twice are removed wherever they stand."""
+    out = suffixarray.kept_bytes(runtime.documents(spark, sf_dir, "doc_id", "text"), depth=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
