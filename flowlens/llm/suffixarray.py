@@ -15,14 +15,13 @@ repeated windows.
    has no repeated window, and its suffixes drop out.
 3. Ordinary anchors (up to ``GROUP`` occurrences). The bytes under an anchor's
    windows go to the group of anchors that holds it, equal stretches of one task
-   as one with their multiplicity. The group sorts its suffixes eight bytes a
-   pass; groups that agree in the digit keep their order, others are sorted.
+   as one with their multiplicity. The group sorts its suffixes by digits of 128
+   bytes; members that agree in a digit stay, others are sorted by smaller ones.
 4. Hot anchors (a passage that a third of all documents share). Their windows
-   are taken in runs of ``RUN`` starts, whose common core (at least ``DEPTH - RUN + 1``
-   bytes) is the next digit, counted by a partially combined aggregate; runs
-   with a single core drop out. The last digit is the whole window. A task sends
-   one row for equal windows, and the aggregate over windows again combines
-   before the shuffle, so no task ever holds a hot group.
+   are taken in runs of ``RUN`` starts, whose common core (``DEPTH - RUN + 1``
+   bytes) is the next digit; runs with a core of their own drop out. The last
+   digit is the whole window. For both a task sends one row for equal keys, so
+   no task ever holds a hot group.
 5. Repeated windows return to their text as intervals; the covered bytes go.
 
 Anchors and cores only ever send windows apart or together; a clash of their hashes costs
@@ -103,38 +102,68 @@ def _starts(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(sorted_) else np.zeros(0, np.int64)
 
 
+WIDTHS = (128, 32, 8)
+
+
 def radix_groups(data: np.ndarray, at: np.ndarray, weight: np.ndarray, depth: int) -> np.ndarray:
     """Which of the suffixes starting at ``at`` share their first ``depth`` bytes with
-    others, multiplicities counted: passes of eight bytes, most significant first."""
+    others, multiplicities counted: a radix sort, most significant digits first.
+
+    A digit has 128 bytes. Groups whose members agree in it stay as they are;
+    only the others are sorted on it, by digits of 32 bytes, and where those differ by
+    digits of 8. What is alone in its group drops out at once."""
     out = np.zeros(len(at), dtype=bool)
-    if not len(at):
-        return out
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    digits = np.ndarray(len(data) + 1, dtype=">u8", buffer=padded.data, strides=(1,))
-    order, group = np.arange(len(at)), np.zeros(len(at), dtype=np.int64)
-    for done in range(0, depth, 8):
-        digit = digits[at[order] + done].astype(np.uint64)
-        if depth - done < 8:
-            digit >>= np.uint64(8 * (8 - depth + done))
+    if len(at):
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        digits = np.ndarray(len(data) + 1, dtype=">u8", buffer=padded.data, strides=(1,))
+        order, _ = _split(digits, at, weight, depth, np.arange(len(at)), np.zeros(len(at), dtype=np.int64), 0, depth, WIDTHS)
+        out[order] = True
+    return out
+
+
+def _digit(digits: np.ndarray, at: np.ndarray, done: int, depth: int) -> np.ndarray:
+    """Bytes done .. done + 7 of the suffixes, those beyond ``depth`` left out."""
+    out = digits[at + done].astype(np.uint64)
+    return out >> np.uint64(8 * (8 - depth + done)) if depth - done < 8 else out
+
+
+def _split(digits, at, weight, depth, order, group, begin, end, widths):
+    """Groups (numbered from 0, their members side by side) split by the bytes begin .. end."""
+    width = widths[0]
+    for done in range(begin, end, width):
+        if not len(order):
+            break
+        here, stop = at[order], min(done + width, end)
+        differs = np.zeros(len(order) - 1, dtype=bool)
+        for k in range(done, stop, 8):
+            digit = _digit(digits, here, k, depth)
+            differs |= digit[1:] != digit[:-1]
         new_group = group[1:] != group[:-1]
-        differs = digit[1:] != digit[:-1]
-        split = np.unique(group[1:][differs & ~new_group])  # groups in which digits differ
-        if len(split):
-            mixed = np.zeros(group[-1] + 1, dtype=bool)
-            mixed[split] = True
-            member = np.flatnonzero(mixed[group])
-            turn = member[np.lexsort((digit[member], group[member]))]
-            order[member], digit[member] = order[turn], digit[turn]
-            differs = digit[1:] != digit[:-1]
-        start = np.flatnonzero(np.concatenate(([True], new_group | differs)))
+        hit = np.unique(group[1:][differs & ~new_group])
+        if not len(hit) and done:
+            continue
+        mixed = np.zeros(group[-1] + 1, dtype=bool)
+        mixed[hit] = True
+        member = mixed[group]
+        if width > 8:
+            part = _split(digits, at, weight, depth, order[member], _renumbered(group[member]), done, stop, widths[1:])
+            rest = _renumbered(group[~member])
+            order = np.concatenate((order[~member], part[0]))
+            group = np.concatenate((rest, part[1] + (rest[-1] + 1 if len(rest) else 0)))
+            continue
+        member = np.flatnonzero(member)
+        turn = member[np.lexsort((digit[member], group[member]))]
+        order[member], digit[member] = order[turn], digit[turn]
+        start = np.flatnonzero(np.concatenate(([True], new_group | (digit[1:] != digit[:-1]))))
         size = np.diff(np.append(start, len(order)))
         many = np.add.reduceat(weight[order], start) > 1
         keep = np.repeat(many, size)
         order, group = order[keep], np.repeat(np.cumsum(many) - 1, size)[keep]
-        if not len(order):
-            return out
-    out[order] = True
-    return out
+    return order, group
+
+
+def _renumbered(group: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate(([0], group[1:] != group[:-1]))).astype(np.int64) if len(group) else group
 
 
 # --- 1. texts ---------------------------------------------------------------
@@ -298,13 +327,53 @@ def _intervals(hit: np.ndarray, owner: np.ndarray, text: np.ndarray, at: np.ndar
 
 # --- 4. hot anchors ---------------------------------------------------------
 
+class Combiner:
+    """One row (key, n, place) for equal keys of a task. A key that the task saw
+    twice has no place: it is known to repeat, so its places follow as rows without key."""
+
+    def __init__(self, place: tuple[str, ...]):
+        self.place, self.held, self.known = place, {}, []
+
+    def add(self, key: bytes, place: tuple, weight: int) -> None:
+        seen = self.held.get(key)
+        if seen is None:
+            self.held[key] = (min(weight, 2), place)
+            return
+        if seen[1] is not None:
+            self.known.append(seen[1])
+            self.held[key] = (2, None)
+        self.known.append(place)
+
+    def full(self) -> bool:
+        return len(self.held) + len(self.known) >= FLUSH
+
+    def rows(self) -> pd.DataFrame:
+        nowhere = (None,) * len(self.place)
+        out = [(k, n, *(p or nowhere)) for k, (n, p) in self.held.items()] + [(None, 2, *p) for p in self.known]
+        self.held.clear()
+        self.known.clear()
+        return pd.DataFrame(out, columns=["key", "n", *self.place]).astype({c: "Int64" for c in self.place})
+
+
+def _repeated(rows: DataFrame, place: tuple[str, ...]) -> DataFrame:
+    """Places of keys that occur more than once. A task sent one row of a key or
+    so, so a group has about as many rows as there are tasks."""
+    many = (rows.filter("key IS NOT NULL").groupBy("key")
+            .agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col(place[0]).isNotNull(), F.struct(*place))).alias("p"))
+            .filter("n > 1").select(F.inline("p")))
+    return many.unionByName(rows.filter("key IS NULL").select(*place))
+
+
+RUN_AT, WINDOW_AT = ("number", "a", "b"), ("number", "a")
+
+
 def _core_rows(depth: int, group: int, run: int):
-    """(number, a, b, core, n): runs of window starts under hot anchors, with the hash of what all of them hold."""
+    """Runs of window starts under hot anchors, by the hash of what all windows of a run hold."""
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        combined = Combiner(RUN_AT)
         for pdf in it:
-            out = []
             for text, weight, z, *parts in pdf[["number", "copies", "z", "key", *PLACES, "n"]].itertuples(index=False):
                 _, at, first, last, n = _chosen(*parts)
                 hot = n > group
@@ -315,60 +384,37 @@ def _core_rows(depth: int, group: int, run: int):
                     # Runs are counted from the anchor: where a and b fall depends on what stands around it.
                     for k in range((p - b) // run, (p - a) // run + 1):
                         d = p - k * run  # the run's last start, so its windows share the bytes from d on
-                        core = xxhash.xxh3_64_intdigest(data[d: d - run + 1 + depth])
-                        out.append((text, max(a, d - run + 1), min(b, d), core - (1 << 63), min(weight, 2)))
-            yield pd.DataFrame(out, columns=["number", "a", "b", "core", "n"])
+                        combined.add(xxhash.xxh3_128_digest(data[d: d - run + 1 + depth]), (text, max(a, d - run + 1), min(b, d)), weight)
+                if combined.full():
+                    yield combined.rows()
+        yield combined.rows()
 
     return rows
 
 
 def _window_rows(depth: int):
-    """(window, n, number, at): one row for equal windows of a task; those it saw twice have no
-    place, theirs follow as marks (window null)."""
+    """The windows of runs whose core repeats."""
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[bytes, list] = {}
-        marks: list[tuple[int, int]] = []
-
-        def flush() -> pd.DataFrame:
-            out = [(w, *v) for w, v in held.items()] + [(None, 2, t, s) for t, s in marks]
-            held.clear()
-            marks.clear()
-            return pd.DataFrame(out, columns=["window", "n", "number", "at"]).astype({"number": "Int64", "at": "Int64"})
-
+        combined = Combiner(WINDOW_AT)
         for pdf in it:
             for text, weight, z, begin, end in zip(pdf["number"], pdf["copies"], pdf["z"], pdf["a"], pdf["b"]):
                 data = _unzipped(z).tobytes()
                 for a, b in zip(begin, end):
                     for s in range(a, b + 1):
-                        w = hashlib.blake2b(data[s: s + depth], digest_size=16).digest()
-                        known = held.get(w)
-                        if known is None:
-                            held[w] = [min(weight, 2), text, s]
-                            continue
-                        if known[1] is not None:
-                            marks.append((known[1], known[2]))
-                            held[w] = [2, None, None]
-                        marks.append((text, s))
-                if len(held) + len(marks) >= FLUSH:
-                    yield flush()
-        yield flush()
+                        combined.add(hashlib.blake2b(data[s: s + depth], digest_size=16).digest(), (text, s), weight)
+                if combined.full():
+                    yield combined.rows()
+        yield combined.rows()
 
     return rows
 
 
 def _hot_marks(joined: DataFrame, texts: DataFrame, depth: int, group: int, run: int, scratch: Scratch) -> DataFrame:
-    runs = scratch.keep(joined.mapInPandas(_core_rows(depth, group, run), "number long, a long, b long, core long, n int"), "runs")
-    cores = runs.groupBy("core").agg(F.sum("n").alias("c_n")).filter("c_n > 1").select(F.col("core").alias("c_core"))
-    left = runs.join(cores.hint("merge"), F.col("core") == F.col("c_core")).groupBy("number").agg(
-        F.collect_list(F.struct("a", "b")).alias("r"))  # a text's own runs
-    left = texts.join(left.hint("merge"), "number").select("number", "copies", "z", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
-    rows = scratch.keep(left.mapInPandas(_window_rows(depth), "window binary, n int, number long, at long"), "windows")
-    # Equal windows of one task are one row, so a hot window has at most a row or so a task here.
-    many = (rows.filter("window IS NOT NULL").groupBy("window")
-            .agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "at"))).alias("p"))
-            .filter("n > 1").select(F.inline("p")))
-    places = many.unionByName(rows.filter("window IS NULL").select("number", "at"))
-    return places.select("number", F.col("at").alias("a"), F.col("at").alias("b"))
+    cores = scratch.keep(joined.mapInPandas(_core_rows(depth, group, run), "key binary, n int, number long, a long, b long"), "cores")
+    runs = _repeated(cores, RUN_AT).groupBy("number").agg(F.collect_list(F.struct("a", "b")).alias("r"))  # a text's own runs
+    left = texts.join(runs.hint("merge"), "number").select("number", "copies", "z", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
+    windows = scratch.keep(left.mapInPandas(_window_rows(depth), "key binary, n int, number long, a long"), "windows")
+    return _repeated(windows, WINDOW_AT).withColumn("b", F.col("a"))
 
 
 # --- the operator -----------------------------------------------------------
