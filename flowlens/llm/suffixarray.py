@@ -190,7 +190,7 @@ def _unzipped(z: bytes) -> np.ndarray:
 # --- 2. anchors that occur more than once -----------------------------------
 
 PLACES = ("at", "first", "last")
-SHARED = "number long, key binary, at binary, first binary, last binary, n binary"
+SHARED = "number long, key binary, at binary, first binary, last binary, n binary, hot long"
 
 
 def _anchor_rows(depth: int, gram: int, buckets: int):
@@ -227,8 +227,13 @@ def _pack(held: list, buckets: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["bucket", "key", "text", "at", "first", "last", "weight"])
 
 
-def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per text: the anchors that occur elsewhere too, with their numbers of occurrences."""
+def _shared_anchors(group: int):
+    """Per text: the anchors that occur elsewhere too, with their numbers of
+    occurrences, and how many of them are hot."""
+    return lambda pdf: _shared(pdf, group)
+
+
+def _shared(pdf: pd.DataFrame, group: int) -> pd.DataFrame:
     column = lambda name, t: np.frombuffer(b"".join(pdf[name]), dtype=t)
     key, text = column("key", np.uint64), column("text", np.int64)
     places, weight = [column(c, np.uint32) for c in PLACES], column("weight", np.uint8).astype(np.int64)
@@ -241,9 +246,9 @@ def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     by_text = np.argsort(text[s], kind="stable")
     s, n = s[by_text], n[by_text]
     cut = _starts(text[s])
-    out = [(int(text[s[a]]), key[s[a:b]].tobytes(), *(x[s[a:b]].tobytes() for x in places), n[a:b].astype(np.int64).tobytes())
+    out = [(int(text[s[a]]), key[s[a:b]].tobytes(), *(x[s[a:b]].tobytes() for x in places), n[a:b].astype(np.int64).tobytes(), int((n[a:b] > group).sum()))
            for a, b in zip(cut, np.append(cut[1:], len(s)))]
-    return pd.DataFrame(out, columns=["number", "key", *PLACES, "n"])
+    return pd.DataFrame(out, columns=["number", "key", *PLACES, "n", "hot"])
 
 
 def _chosen(key, at, first, last, n):
@@ -259,11 +264,12 @@ HEAD = np.dtype([("text", "<i8"), ("first", "<u4"), ("bytes", "<u4"), ("weight",
 
 def _stretch_rows(depth: int, buckets: int, group: int):
     """Bytes under the windows of ordinary anchors, packed per bucket; equal
-    stretches of a task go once. The others, whose windows are thereby known to
-    repeat, follow as marks (bucket null)."""
+    stretches of a task go once. The others' windows are thereby known to repeat:
+    they travel as marks beside them."""
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[bytes, list] = {}
-        marks, n_bytes = [], 0
+        known: dict[int, list] = {}
+        n_bytes = 0
 
         def flush() -> pd.DataFrame:
             packed: dict[int, tuple[list, list]] = {}
@@ -271,12 +277,11 @@ def _stretch_rows(depth: int, buckets: int, group: int):
                 heads, parts = packed.setdefault(bucket, ([], []))
                 heads.append((text, first, len(data), weight))
                 parts.append(data)
-            out = [(b, np.array(h, dtype=HEAD).tobytes(), b"".join(p), None, None, None) for b, (h, p) in packed.items()]
-            out += [(None, None, None, *m) for m in marks]
+            out = [(b, np.array(h, dtype=HEAD).tobytes(), b"".join(p), np.array(known.get(b, []), dtype=np.int64).tobytes())
+                   for b, (h, p) in packed.items()]  # a mark's first stretch is in the same bucket
             held.clear()
-            marks.clear()
-            return pd.DataFrame(out, columns=["bucket", "heads", "data", "number", "a", "b"]).astype(
-                {c: "Int64" for c in ("bucket", "number", "a", "b")})
+            known.clear()
+            return pd.DataFrame(out, columns=["bucket", "heads", "data", "known"])
 
         for pdf in it:
             for text, weight, z, *parts in pdf[["number", "copies", "z", "key", *PLACES, "n"]].itertuples(index=False):
@@ -287,13 +292,13 @@ def _stretch_rows(depth: int, buckets: int, group: int):
                 data = _unzipped(z).tobytes()
                 for k, a, b in zip((key[cold] % np.uint64(buckets)).tolist(), first[cold].tolist(), last[cold].tolist()):
                     stretch = data[a: b + depth]
-                    known = held.get(stretch)
-                    if known is None:
+                    seen = held.get(stretch)
+                    if seen is None:
                         held[stretch] = [k, text, a, min(weight, 2)]
                         n_bytes += len(stretch)
                     else:
-                        known[3] = 2
-                        marks.append((text, a, b))
+                        seen[3] = 2
+                        known.setdefault(k, []).append((text, a, b))
                 if n_bytes >= FLUSH_BYTES:
                     yield flush()
                     n_bytes = 0
@@ -303,16 +308,18 @@ def _stretch_rows(depth: int, buckets: int, group: int):
 
 
 def _sorted_group(depth: int):
-    """Radix sort of a group's suffixes; repeated windows as (text, a, b)."""
+    """Radix sort of a group's suffixes; repeated windows as (number, a, b)."""
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
         head = np.frombuffer(b"".join(pdf["heads"]), dtype=HEAD)
         data = np.frombuffer(b"".join(pdf["data"]), dtype=np.uint8)
+        known = np.frombuffer(b"".join(pdf["known"]), dtype=np.int64).reshape(-1, 3)
         size = head["bytes"].astype(np.int64)
         n = size - depth + 1  # suffixes of each stretch
         owner = np.repeat(np.arange(len(head)), n)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         hit = radix_groups(data, (np.cumsum(size) - size)[owner] + step, head["weight"][owner], depth)
-        return _intervals(hit, owner, head["text"], head["first"].astype(np.int64)[owner] + step)
+        found = _intervals(hit, owner, head["text"], head["first"].astype(np.int64)[owner] + step)
+        return pd.concat([found, pd.DataFrame(known, columns=["number", "a", "b"])])
 
     return rows
 
@@ -328,13 +335,13 @@ def _intervals(hit: np.ndarray, owner: np.ndarray, text: np.ndarray, at: np.ndar
 # --- 4. hot anchors ---------------------------------------------------------
 
 class Combiner:
-    """One row (key, n, place) for equal keys of a task. A key that the task saw
-    twice has no place: it is known to repeat, so its places follow as rows without key."""
+    """Keys of a task with a place each, (text, a, b), equal keys once. What the task saw
+    twice is known to repeat: its key goes without a place, its places go as they are."""
 
-    def __init__(self, place: tuple[str, ...]):
-        self.place, self.held, self.known = place, {}, []
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.known = buckets, {}, []
 
-    def add(self, key: bytes, place: tuple, weight: int) -> None:
+    def add(self, key: bytes, place: tuple[int, int, int], weight: int) -> None:
         seen = self.held.get(key)
         if seen is None:
             self.held[key] = (min(weight, 2), place)
@@ -348,31 +355,66 @@ class Combiner:
         return len(self.held) + len(self.known) >= FLUSH
 
     def rows(self) -> pd.DataFrame:
-        nowhere = (None,) * len(self.place)
-        out = [(k, n, *(p or nowhere)) for k, (n, p) in self.held.items()] + [(None, 2, *p) for p in self.known]
+        """Packed: one row per bucket of keys, one row per text for known places."""
+        items = np.array([(k, n, *(p or (-1, 0, 0))) for k, (n, p) in self.held.items()], dtype=ITEM)
+        part = np.frombuffer(items["key"].tobytes(), dtype=np.uint64)[::2] % np.uint64(self.buckets)
+        items = items[np.argsort(part, kind="stable")]
+        part = np.sort(part)
+        cut = _starts(part)
+        out = [(int(part[a]), None, items[a:b].tobytes()) for a, b in zip(cut, np.append(cut[1:], len(items)))]
+        out += [(None, number, places) for number, places in _by_text(np.array(self.known, dtype=np.int64).reshape(-1, 3))]
         self.held.clear()
         self.known.clear()
-        return pd.DataFrame(out, columns=["key", "n", *self.place]).astype({c: "Int64" for c in self.place})
+        return pd.DataFrame(out, columns=["bucket", "number", "packed"]).astype({"bucket": "Int64", "number": "Int64"})
+
+
+ITEM = np.dtype([("key", "V16"), ("n", "<i8"), ("text", "<i8"), ("a", "<i8"), ("b", "<i8")])
+PACKED = "bucket long, number long, packed binary"
+
 
+def _by_text(places: np.ndarray) -> list[tuple[int, bytes]]:
+    """(text, its a and b packed) of rows (text, a, b); runs that touch become one."""
+    order = np.lexsort((places[:, 1], places[:, 0]))
+    p = places[order]
+    if not len(p):
+        return []
+    first = np.concatenate(([True], (p[1:, 0] != p[:-1, 0]) | (p[1:, 1] > p[:-1, 2] + 1)))
+    runs = np.stack((p[first, 1], p[np.append(first[1:], True), 2]), axis=1)
+    text = p[first, 0]
+    cut = _starts(text)
+    return [(int(text[a]), runs[a:b].tobytes()) for a, b in zip(cut, np.append(cut[1:], len(text)))]
 
-def _repeated(rows: DataFrame, place: tuple[str, ...]) -> DataFrame:
-    """Places of keys that occur more than once. A task sent one row of a key or
-    so, so a group has about as many rows as there are tasks."""
-    many = (rows.filter("key IS NOT NULL").groupBy("key")
-            .agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col(place[0]).isNotNull(), F.struct(*place))).alias("p"))
-            .filter("n > 1").select(F.inline("p")))
-    return many.unionByName(rows.filter("key IS NULL").select(*place))
 
+def _repeated_keys(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Places of a bucket's keys that occur more than once. A task sent a key
+    once or so, hence a key has about as many items as there are tasks."""
+    items = np.frombuffer(b"".join(pdf["packed"]), dtype=ITEM)
+    halves = np.frombuffer(items["key"].tobytes(), dtype=np.uint64).reshape(-1, 2)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    halves, items = halves[order], items[order]
+    start = np.flatnonzero(np.concatenate(([True], (halves[1:] != halves[:-1]).any(axis=1))))
+    size = np.diff(np.append(start, len(items)))
+    hit = np.repeat(np.add.reduceat(items["n"], start) > 1, size) & (items["text"] >= 0)
+    found = np.stack([items[c][hit] for c in ("text", "a", "b")], axis=1)
+    return pd.DataFrame(_by_text(found), columns=["number", "packed"]).astype({"number": "int64"})
 
-RUN_AT, WINDOW_AT = ("number", "a", "b"), ("number", "a")
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(number, packed): a text's places whose keys occur more than once."""
+    many = rows.filter("bucket IS NOT NULL").groupBy("bucket").applyInPandas(_repeated_keys, "number long, packed binary")
+    return many.unionByName(rows.filter("bucket IS NULL").select("number", "packed"))
 
-def _core_rows(depth: int, group: int, run: int):
+
+def _unpacked(packed) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), dtype=np.int64).reshape(-1, 2)
+
+
+def _core_rows(depth: int, group: int, run: int, buckets: int):
     """Runs of window starts under hot anchors, by the hash of what all windows of a run hold."""
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        combined = Combiner(RUN_AT)
+        combined = Combiner(buckets)
         for pdf in it:
             for text, weight, z, *parts in pdf[["number", "copies", "z", "key", *PLACES, "n"]].itertuples(index=False):
                 _, at, first, last, n = _chosen(*parts)
@@ -392,16 +434,16 @@ def _core_rows(depth: int, group: int, run: int):
     return rows
 
 
-def _window_rows(depth: int):
+def _window_rows(depth: int, buckets: int):
     """The windows of runs whose core repeats."""
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        combined = Combiner(WINDOW_AT)
+        combined = Combiner(buckets)
         for pdf in it:
-            for text, weight, z, begin, end in zip(pdf["number"], pdf["copies"], pdf["z"], pdf["a"], pdf["b"]):
+            for text, weight, z, packed in zip(pdf["number"], pdf["copies"], pdf["z"], pdf["packed"]):
                 data = _unzipped(z).tobytes()
-                for a, b in zip(begin, end):
+                for a, b in _unpacked(packed).tolist():
                     for s in range(a, b + 1):
-                        combined.add(hashlib.blake2b(data[s: s + depth], digest_size=16).digest(), (text, s), weight)
+                        combined.add(hashlib.blake2b(data[s: s + depth], digest_size=16).digest(), (text, s, s), weight)
                 if combined.full():
                     yield combined.rows()
         yield combined.rows()
@@ -409,12 +451,22 @@ def _window_rows(depth: int):
     return rows
 
 
-def _hot_marks(joined: DataFrame, texts: DataFrame, depth: int, group: int, run: int, scratch: Scratch) -> DataFrame:
-    cores = scratch.keep(joined.mapInPandas(_core_rows(depth, group, run), "key binary, n int, number long, a long, b long"), "cores")
-    runs = _repeated(cores, RUN_AT).groupBy("number").agg(F.collect_list(F.struct("a", "b")).alias("r"))  # a text's own runs
-    left = texts.join(runs.hint("merge"), "number").select("number", "copies", "z", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
-    windows = scratch.keep(left.mapInPandas(_window_rows(depth), "key binary, n int, number long, a long"), "windows")
-    return _repeated(windows, WINDOW_AT).withColumn("b", F.col("a"))
+def _mark_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        runs = [_unpacked([p]) for p in pdf["packed"]]
+        both = np.concatenate([*runs, np.zeros((0, 2), np.int64)])
+        yield pd.DataFrame({"number": np.repeat(pdf["number"].to_numpy(), [len(r) for r in runs]), "a": both[:, 0], "b": both[:, 1]})
+
+
+def _hot_marks(joined: DataFrame, texts: DataFrame, depth: int, group: int, run: int, hot: int, shuffles: int, scratch: Scratch) -> DataFrame:
+    buckets = lambda per_anchor: max(shuffles, hot * per_anchor // BUCKET_BYTES + 1)
+    span = depth - GRAM // 2  # window starts of an anchor, more than their mean
+    cores = scratch.keep(joined.filter("hot > 0").mapInPandas(
+        _core_rows(depth, group, run, buckets((span // run + 1) * ITEM.itemsize)), PACKED), "cores")
+    runs = _repeated(cores).groupBy("number").agg(F.collect_list("packed").alias("packed"))  # a text's own runs
+    left = texts.join(runs.hint("merge"), "number").select("number", "copies", "z", "packed")
+    windows = scratch.keep(left.mapInPandas(_window_rows(depth, buckets(span * ITEM.itemsize)), PACKED), "windows")
+    return _repeated(windows).mapInPandas(_mark_rows, "number long, a long, b long")
 
 
 # --- the operator -----------------------------------------------------------
@@ -439,17 +491,15 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, depth: int = DEPTH, gra
     many = buckets or max(shuffles, n_anchors // FLUSH + 1)
     sent = texts.select("number", "copies", "z").filter(F.col("n_bytes") >= depth).mapInPandas(
         _anchor_rows(depth, gram, many), "bucket long, key binary, text binary, at binary, first binary, last binary, weight binary")
-    shared = scratch.keep(sent.groupBy("bucket").applyInPandas(_shared_anchors, SHARED), "shared")
-    n_shared = (shared.agg(F.sum(F.octet_length("key"))).first()[0] or 0) // 8
-    chosen = shared.groupBy("number").agg(*[F.collect_list(c).alias(c) for c in ("key", *PLACES, "n")])  # a text's own anchors
-    joined = scratch.keep(texts.join(chosen.hint("merge"), "number").select("number", "copies", "z", "key", *PLACES, "n"), "chosen")
+    shared = scratch.keep(sent.groupBy("bucket").applyInPandas(_shared_anchors(group), SHARED), "shared")
+    totals = shared.agg(F.sum(F.octet_length("key")), F.sum("hot")).first()
+    n_shared, hot = (totals[0] or 0) // 8, totals[1] or 0
+    chosen = shared.groupBy("number").agg(*[F.collect_list(c).alias(c) for c in ("key", *PLACES, "n")], F.sum("hot").alias("hot"))  # a text's own anchors
+    joined = scratch.keep(texts.join(chosen.hint("merge"), "number").select("number", "copies", "z", "key", *PLACES, "n", "hot"), "chosen")
     many = buckets or max(shuffles, n_shared * (depth + (depth - gram) // 2) // BUCKET_BYTES + 1)
-    stretches = scratch.keep(joined.mapInPandas(_stretch_rows(depth, many, group),
-                                                "bucket long, heads binary, data binary, number long, a long, b long"), "stretches")
-    sorted_ = stretches.filter("bucket IS NOT NULL").select("bucket", "heads", "data").groupBy("bucket").applyInPandas(_sorted_group(depth), "number long, a long, b long")
-    known = stretches.filter("bucket IS NULL").select("number", "a", "b")
-    hot = _hot_marks(joined, texts, depth, group, run, scratch)
-    return sorted_.unionByName(known).unionByName(hot)
+    stretches = joined.mapInPandas(_stretch_rows(depth, many, group), "bucket long, heads binary, data binary, known binary")
+    sorted_ = stretches.groupBy("bucket").applyInPandas(_sorted_group(depth), "number long, a long, b long")
+    return sorted_.unionByName(_hot_marks(joined, texts, depth, group, run, hot, shuffles, scratch))
 
 
 def _cut(data: np.ndarray, a, b, depth: int) -> tuple[int, int, bytes]:
