@@ -5,23 +5,23 @@ A reservation succeeds iff ``quantity − reserved >= n``; a release lowers
 Because rejections depend on everything before them, the fold is sequential
 per product — no window sum can express it.
 
-Plan: commands ⟕ stock on product (J9), hash-repartition by product, sort
-inside each partition by (product, seq), then one ``mapInPandas`` pass that
-walks the sorted Arrow batches carrying the running ``reserved`` of the product
-at hand (one integer). Nothing collects a product's commands. The limit: a
-product's commands are one sequential stream, since each outcome depends on
-all before it; parallelism is the number of products.
+Plan: commands ⟕ stock on product (J9); commands without a stock row are
+answered at once. The others are folded by
+:func:`flowlens.operators.blockfold.blocked_fold`: blocks of a product become
+tables of what they do to every reserved count, the tables are applied in
+order, and the blocks are replayed from their starts. No task holds more than a
+block of a hot product.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.operators.blockfold import blocked_fold
+
 OUT_SCHEMA = ("seq LONG, product_id STRING, order_id STRING, command STRING, quantity INT, outcome STRING, "
               "available_before INT, reserved_after INT")
 
@@ -70,24 +70,17 @@ class StockFold:
                              "available_before": before, "reserved_after": after})
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by product: one product's state at a time."""
-    fold = StockFold(None)
-    for b in batches:
-        for product, part in b.groupby("product_id", sort=False, dropna=False):
-            if product != fold.product:
-                fold = StockFold(product)
-            yield fold.apply(part)
-
-
-def inventory_reservations(commands: DataFrame, stock: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def inventory_reservations(commands: DataFrame, stock: DataFrame, num_partitions: int | None = None,
+                           block: int = 1 << 20) -> DataFrame:
     """Outcome of every command — RESERVED, INSUFFICIENT, RELEASED or
-    NOT_FOUND (a missing product, releases included)."""
+    NOT_FOUND (a missing product, releases included). ``block`` consecutive
+    values of ``seq`` are folded in one task."""
     j = reserve_against_stock(commands, stock).fillna({"reserved_quantity": 0})
-    spark = commands.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = j.repartition(n, "product_id").sortWithinPartitions("product_id", "seq")
-    return ordered.mapInPandas(_fold, OUT_SCHEMA)
+    none = F.lit(None).cast("int")
+    missing = j.filter(~F.col("found")).select("seq", "product_id", "order_id", "command", F.col("quantity").cast("int").alias("quantity"),
+                                               F.lit("NOT_FOUND").alias("outcome"), none.alias("available_before"),
+                                               none.alias("reserved_after"))
+    return blocked_fold(j.filter("found"), OUT_SCHEMA, block, num_partitions).unionByName(missing)
 
 
 def inventory_after(stock: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -282,6 +282,26 @@ def rolling_failure_rate(activity: DataFrame, window: int = 10, min_calls: int =
     return r.withColumn("state", F.when(F.col("failure_rate") >= threshold, "OPEN").otherwise("CLOSED"))
 
 
+# Sliding window (calls), calls before a rate is given, thresholds in per cent, slow from (ms).
+CIRCUITS = {"default": (10, 5, 50.0, 50.0, 2000), "producer": (10, 5, 50.0, 80.0, 3000), "consumer": (20, 10, 70.0, 90.0, 5000)}
+
+
+def circuit_states(activity: DataFrame, duration_ms: Column, circuits: dict = CIRCUITS, block: int = 1 << 20) -> DataFrame:
+    """Failure rate and slow-call rate of the last calls per topic under
+    every configuration; OPEN when either is at or over its threshold."""
+    out = None
+    for name, (window, least, failed_at, slow_at, slow_ms) in circuits.items():
+        rates = rolling_failure_rate(activity, window, least, failed_at, block).drop("state")
+        slow = activity.withColumn("outcome", F.when(duration_ms >= slow_ms, "FAILED").otherwise("PROCESSED"))
+        slow = rolling_failure_rate(slow, window, least, slow_at, block).select(
+            F.col("topic").alias("_topic"), F.col("offset").alias("_offset"), F.col("failure_rate").alias("slow_call_rate"))
+        j = rates.join(slow, (F.col("topic") == F.col("_topic")) & (F.col("offset") == F.col("_offset"))).drop("_topic", "_offset")
+        hit = (F.col("failure_rate") >= failed_at) | (F.col("slow_call_rate") >= slow_at)
+        j = j.select(F.lit(name).alias("circuit"), "*", F.when(hit, "OPEN").otherwise("CLOSED").alias("state"))
+        out = j if out is None else out.unionByName(j)
+    return out
+
+
 # ------------------------------------------------------------------ traces
 def parse_traceparent(tp) -> Column:
     """``00-<32>-<16>-<2>`` → struct(trace_id, span_id, sampled); NULL

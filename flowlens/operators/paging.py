@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators.common import attach_one_row
+from flowlens.operators.ranking import Ranked
 
 
 def paged(df: DataFrame, page: int, size: int, sort_col: str, descending: bool = False,
@@ -23,3 +24,21 @@ def paged(df: DataFrame, page: int, size: int, sort_col: str, descending: bool =
     totals = df.agg(F.count(F.lit(1)).alias("total_elements")).withColumn(
         "total_pages", F.ceil(F.col("total_elements") / F.lit(size)).cast("long"))
     return attach_one_row(content, totals)
+
+
+class SortedPages:
+    """Pages of a frame that is sorted once (T2–T4, deep pages).
+
+    ``offset().limit()`` keeps ``page * size`` rows in every task and in one final
+    task. Here the rows are range sorted and written once, and a page reads only the
+    partitions that hold its ranks, so page one million costs what page one costs."""
+
+    def __init__(self, df: DataFrame, sort_col: str, descending: bool = False, key: str | None = None):
+        o = F.col(sort_col).desc() if descending else F.col(sort_col).asc()
+        self.ranked = Ranked(df, [o] + ([F.col(key).asc()] if key else []))
+
+    def page(self, page: int, size: int) -> DataFrame:
+        """Rows of page ``page`` (0-based), with their rank and the totals."""
+        total = self.ranked.total
+        return self.ranked.page(page, size).withColumn("total_elements", F.lit(total).cast("long")) \
+            .withColumn("total_pages", F.lit(-(-total // size)).cast("long"))

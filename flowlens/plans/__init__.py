@@ -14,4 +14,5 @@ from flowlens.plans import (  # noqa: F401  (registration side effects)
     q_inventory,
     q_sources,
     q_streaming,
+    q_keyed,
 )

@@ -448,6 +448,24 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(0).alias("reserved_quantity"))
 
 
+def stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock rows of all parts; quantity and reservations differ by part."""
+    p = table(spark, sf_dir, "part", "p_partkey")
+    k = F.col("p_partkey")
+    return p.select(F.concat(F.lit("PART-"), _s(k)).alias("product_id"), (k % 20 + 5).cast("int").alias("quantity"),
+                    (k % 3).cast("int").alias("reserved_quantity"))
+
+
+def stock_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A command per order: one in eight for part 1, one in thirteen of the
+    others for a part that does not exist, the rest by customer key."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    k = F.col("o_orderkey")
+    product = F.when(k % 8 == 0, F.lit("1")).when(k % 13 == 0, F.concat(F.lit("none-"), _s("o_custkey"))).otherwise(_s("o_custkey"))
+    return o.select(k.alias("seq"), F.concat(F.lit("PART-"), product).alias("product_id"), F.concat(F.lit("ORD-"), _s(k)).alias("order_id"),
+                    (k % 5 + 1).cast("int").alias("quantity"), F.when(k % 7 < 3, "RELEASE").otherwise("RESERVE").alias("command"))
+
+
 # ---------------------------------------------------------------- F-DLTRAW
 DLT_HEADER_PREFIX = "kafka_dlt-"
 

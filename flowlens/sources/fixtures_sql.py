@@ -258,6 +258,13 @@ SQL["inventory_commands"] = """SELECT event_id AS seq, 'PROD-' || (user_id % 25)
 FROM events"""
 SQL["inventory"] = """SELECT 'PROD-' || p_partkey AS product_id, 300 AS quantity, 0 AS reserved_quantity FROM part WHERE p_partkey < 24"""
 
+SQL["stock"] = """SELECT 'PART-' || p_partkey AS product_id, CAST(p_partkey % 20 + 5 AS INTEGER) AS quantity,
+  CAST(p_partkey % 3 AS INTEGER) AS reserved_quantity FROM part"""
+SQL["stock_commands"] = """SELECT o_orderkey AS seq,
+  'PART-' || CASE WHEN o_orderkey % 8 = 0 THEN '1' WHEN o_orderkey % 13 = 0 THEN 'none-' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS product_id,
+  'ORD-' || o_orderkey AS order_id, CAST(o_orderkey % 5 + 1 AS INTEGER) AS quantity,
+  CASE WHEN o_orderkey % 7 < 3 THEN 'RELEASE' ELSE 'RESERVE' END AS command FROM orders"""
+
 _H = "struct_pack(key := 'kafka_dlt-{n}', value := {v})"
 SQL["dead_letter_records"] = f"""
 SELECT CASE WHEN event_id % 4 = 0 THEN 'saga-event-topic' ELSE 'order-events' END || '.DLT' AS topic,
