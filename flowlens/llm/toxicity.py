@@ -7,7 +7,8 @@ that the sign may stand for, dropping the sign, ending the word there, or
 dropping a repeated letter, each at a cost. Viterbi decoding under a character
 trigram model picks the likeliest path. Other words have a lattice of one path
 and stay as they are. A word whose only sign is a doubled letter is scored both
-as it is and as decoded.
+as it is and as decoded; where no form that decoding can give has a lift, the
+word scores nothing either way and is not decoded.
 
 Letters set apart by blanks are decoded in overlapping stretches, as one word
 and with word ends between letters; every part of 3 to 14 letters of what they
@@ -25,9 +26,9 @@ lifts, absolute and per word, and a logistic regression turns that into a
 score. The regression is fitted on one half of the training rows with lifts
 from the other half, so it does not trust words merely for having been seen.
 The classifier is fitted on at most ``TRAIN_ROWS`` labelled rows, those with
-the smallest hash of the id, and keeps at most ``MAX_FEATURES`` telling
-features (and as many longer ones that tell a harmless word from a telling
-prefix); these bounds are parameters. Every document is scored, whole.
+the smallest hash of the id (a parameter), and keeps all their telling features and
+those longer ones that tell a harmless word from a telling prefix, so the
+number of features is bounded by these rows. Every document is scored, whole.
 
 Defined cases: null text counts as empty; an empty text scores what the curve
 gives for no evidence. Several labels of one id count as toxic if any is. With
@@ -38,7 +39,9 @@ labels. A null id is held out or not by the CRC of the empty string.
 from __future__ import annotations
 
 import math
+import re
 import string
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -51,7 +54,6 @@ from pyspark.sql import functions as F
 from flowlens.llm.runtime import Scratch
 
 TRAIN_ROWS = 20_000
-MAX_FEATURES = 20_000
 MIN_TOXIC = 2  # toxic training documents that a telling feature must occur in
 MIN_LIFT = 0.5  # log-odds above the base rate of a telling feature
 SHRINK = 8.0  # strength of the prior, in documents
@@ -60,6 +62,7 @@ SUPPORT = 5  # training documents that a harmless longer feature must occur in
 EVIDENCE = 4  # numbers that describe a document
 CACHE = 150_000
 PREFIXES = (4, 5, 6)
+HEAD = PREFIXES[0]
 
 # The letters that a sign may stand for.
 LEET = {
@@ -74,6 +77,7 @@ SEPARATOR, SIGN, DIGIT = (-0.5, 0.0), (-5.0, -3.0), (-8.0, -8.0)
 APART = -2.0  # a word end between letters that all stand apart
 PART = (3, 14)  # letters of a word among letters that stand apart
 STRETCH = 96  # letters decoded at once; half of them are decoded in the next stretch too
+TWICE, RUN = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
 EDGES = string.punctuation + "…“”„«»‘’¿¡"
 SIZE = 64  # letter classes: 0 none, 1-26 a-z, 27-59 U+00DF-U+00FF, 60 any other letter
 OTHER = 60
@@ -142,7 +146,7 @@ class Restorer:
     @staticmethod
     def noisy(word: str) -> bool:
         if word.isalpha():
-            return any(a == b for a, b in zip(word, word[1:]))
+            return TWICE.search(word) is not None
         return any(c.isalpha() for c in word) and len(word) > 2
 
     def decode(self, word: str, doubled: float = DOUBLED, apart: float | None = None) -> str:
@@ -197,18 +201,17 @@ class Restorer:
                 out.append(form)
         return list(dict.fromkeys(out))
 
-    def spaced(self, letters: str) -> list[str]:
-        """Readings of letters that stood apart: the words of every decoding, and
-        any part of the letters, as they are and as decoded."""
+    def spaced(self, letters: str) -> Iterator[str]:
+        """Readings of letters that stood apart, one by one: the words of every decoding, and
+        any part of the letters, as they are and as decoded. Some come twice."""
         low = letters.lower()
-        out = dict.fromkeys(parts("".join(LEET[c][0] if c in LEET and not c.isalpha() else c for c in low)))
+        yield from parts("".join(LEET[c][0] if c in LEET and not c.isalpha() else c for c in low))
         for stretch, first, last in stretches(low):
             for got in {self.decode(stretch), self.decode(stretch, DRAWN_OUT), self.decode(stretch, apart=APART)}:
                 words = got.split()
                 # A word at a cut may be a piece; the stretch that overlaps there has it whole.
-                out.update(dict.fromkeys(w for w in words[not first: len(words) - (not last)] if len(w) >= PART[0]))
-                out.update(dict.fromkeys(parts("".join(words))))
-        return list(out)
+                yield from (w for w in words[not first: len(words) - (not last)] if len(w) >= PART[0])
+                yield from parts("".join(words))
 
     def restore(self, text: str) -> str:
         """The text with obfuscated words restored."""
@@ -244,6 +247,18 @@ def stretches(letters: str) -> Iterator[tuple[str, bool, bool]]:
         yield letters[k: k + STRETCH], k == 0, k + STRETCH >= len(letters)
 
 
+def dropped(word: str, most: int = 64) -> list[str] | None:
+    """Every form that decoding a word of letters can give: each repeated letter
+    kept or dropped. None if there are more than ``most``."""
+    runs = [(c, len(list(g))) for c, g in groupby(word)]
+    if math.prod(n for _, n in runs) > most:
+        return None
+    out = [""]
+    for c, n in runs:
+        out = [w + c * k for w in out for k in range(1, n + 1)]
+    return out
+
+
 def features(word: str) -> list[str]:
     """From the most specific to the least."""
     return ["=" + word, *[word[:k] for k in reversed(PREFIXES) if len(word) > k]]
@@ -282,13 +297,22 @@ class Model:
     """Character model, feature lifts and the regression's weights."""
 
     def __init__(self, logp: np.ndarray, lifts: dict[str, float], base: float):
-        self.logp, self.lifts, self.base = logp, lifts, base
+        self.logp, self.base = logp, base
+        self.know(lifts)
         self.weights, self.bias = [0.0] * EVIDENCE, math.log(base / (1 - base))
 
+    def know(self, lifts: dict[str, float]) -> None:
+        self.lifts = lifts
+        self.heads = {f.removeprefix("=")[:HEAD] for f in lifts}  # how a word with a known feature begins
+        self.begins = {RUN.sub(r"\1", h) for h in self.heads}
+        self.key = uuid.uuid4().hex  # tells a worker's memoised lifts of one model from another's
+
     def lift(self, words: list[str]) -> float:
         """The largest lift of a token's readings; 0 without any."""
-        get, best = self.lifts.get, 0.0
+        get, heads, best = self.lifts.get, self.heads, 0.0
         for w in words:
+            if w[:HEAD] not in heads:
+                continue
             for f in features(w):  # the most specific known feature decides
                 v = get(f)
                 if v is not None:
@@ -296,6 +320,22 @@ class Model:
                     break
         return best
 
+    def token_lift(self, r: Restorer, token: str) -> float:
+        """The largest lift of a token's readings. A word whose only sign is a
+        repeated letter is decoded only if a form that decoding can give has a lift."""
+        low = token.lower()
+        core = low if low.isalpha() else low.strip(EDGES)
+        if core.isalpha() and (core is low or not any(c in LEET for c in low[: low.find(core[0])])):
+            if not TWICE.search(core):
+                return self.lift((core,)) if core[:HEAD] in self.heads else 0.0
+            begin = RUN.sub(r"\1", core)[:HEAD]  # all forms are alike with their repeated letters taken once
+            if not any(begin[:k] in self.begins for k in range(1, len(begin) + 1)):
+                return 0.0
+            forms = dropped(core)
+            if forms is not None and not self.lift(forms):
+                return 0.0
+        return self.lift(r.readings(token))
+
 
 def lifts_of(rows: list, base: float, toxic: str, clean: str) -> dict[str, float]:
     """Lift of every feature, each shrunk towards the next shorter known one."""
@@ -309,6 +349,17 @@ def lifts_of(rows: list, base: float, toxic: str, clean: str) -> dict[str, float
     return out
 
 
+MEMO: dict[str, tuple[Restorer, dict[str, float]]] = {}
+
+
+def worker_memo(model: Model) -> tuple[Restorer, dict[str, float]]:
+    """This worker process's restorer and lifts of tokens, for one model at a time."""
+    if model.key not in MEMO:
+        MEMO.clear()
+        MEMO[model.key] = Restorer(model.logp), {}
+    return MEMO[model.key]
+
+
 def evidence_column(spark, model: Model):
     """EVIDENCE numbers per text: the largest lift, and the sum of the distinct
     words' lifts above FAINT as a logarithm, per square root of the words and per word."""
@@ -317,7 +368,7 @@ def evidence_column(spark, model: Model):
     @F.pandas_udf("array<double>")
     def column(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        r, cache = Restorer(m.logp), {}
+        r, cache = worker_memo(m)
 
         def one(text: str) -> list[float]:
             tokens = text.split()
@@ -328,13 +379,13 @@ def evidence_column(spark, model: Model):
                 if got is None:
                     if len(cache) >= CACHE:
                         cache.clear()
-                    got = cache[t] = m.lift(r.readings(t))
+                    got = cache[t] = m.token_lift(r, t)
                 if got > best:
                     best = got
                 if got > FAINT:
                     total += got - FAINT
             for run in spaced_runs(tokens):
-                got = max([m.lift([w]) for w in r.spaced(run)], default=0.0)
+                got = max((m.lift([w]) for w in r.spaced(run)), default=0.0)
                 total, best = total + max(got - FAINT, 0.0), max(best, got)
             n = max(len(distinct), 1)
             return [best, math.log1p(total), total / math.sqrt(n), min(10.0 * total / n, 10.0)]
@@ -411,8 +462,7 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 6
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int = 5, held: int = 0,
-        train_rows: int = TRAIN_ROWS, max_features: int = MAX_FEATURES, id_col: str = "doc_id",
-        text_col: str = "text") -> Model:
+        train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     spark = docs.sparkSession
     logp = character_model(docs, text_col)
     chosen = training_rows(labels, label_col, parts, held, train_rows)  # at most train_rows rows: broadcast is bounded
@@ -429,24 +479,23 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int
     p = (F.col("toxic") + SHRINK * base) / (F.col("toxic") + F.col("clean") + SHRINK)
     telling = (counts.filter(F.col("toxic") >= MIN_TOXIC).withColumn("odds", F.log(p / (1 - p)))
                .filter(F.col("odds") > math.log(base / (1 - base)) + MIN_LIFT)
-               .orderBy(F.desc("odds"), F.desc("toxic"), "feature").limit(max_features).drop("odds").collect())
+               .drop("odds").collect())  # words of the training rows only
     if not telling:
         return model
     # Longer features that begin like a telling prefix: they tell harmless words from telling ones.
     known = {r.feature for r in telling}
-    heads = spark.createDataFrame([(f,) for f in known if f[0] != "="], "head string")  # at most max_features rows
+    heads = spark.createDataFrame([(f,) for f in known if f[0] != "="], "head string")  # words of the training rows only
     word = F.ltrim(F.lit("="), F.col("feature"))
     longer = (counts.filter(F.col("toxic") + F.col("clean") >= SUPPORT)
               .select("*", F.explode(F.array(*[F.substring(word, 1, k) for k in PREFIXES])).alias("head"))
-              .join(F.broadcast(heads), "head").filter(F.col("feature") != F.col("head")).drop("head").distinct()
-              .orderBy(F.desc(F.col("toxic") + F.col("clean")), "feature").limit(max_features).collect())
+              .join(F.broadcast(heads), "head").filter(F.col("feature") != F.col("head")).drop("head").distinct().collect())
     rows = telling + [r for r in longer if r.feature not in known]
-    model.lifts = lifts_of(rows, base, "toxic_a", "clean_a")
+    model.know(lifts_of(rows, base, "toxic_a", "clean_a"))
     other = train.filter("half = 1").select(evidence_column(spark, model)("text").alias("x"), "label").toPandas()  # <= train_rows
     y = (other["label"].to_numpy() > 0).astype(float)
     if 0 < y.sum() < len(y):
         model.weights, model.bias = regression(np.stack(other["x"].to_numpy()), y)
-    model.lifts = lifts_of(rows, base, "toxic", "clean")
+    model.know(lifts_of(rows, base, "toxic", "clean"))
     return model
 
 
