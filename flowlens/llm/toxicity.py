@@ -60,7 +60,8 @@ SHRINK = 8.0  # strength of the prior, in documents
 FAINT = 1.5  # lifts up to this do not add up: long texts have many by chance
 SUPPORT = 5  # training documents that a harmless longer feature must occur in
 EVIDENCE = 4  # numbers that describe a document
-CACHE = 150_000
+CACHE = 150_000  # readings of tokens that a training task holds
+HELD = 50_000  # lifts of tokens that a worker holds; a common token is soon back after a purge
 PREFIXES = (4, 5, 6)
 HEAD = PREFIXES[0]
 
@@ -377,7 +378,7 @@ def evidence_column(spark, model: Model):
             for t in distinct:
                 got = cache.get(t)
                 if got is None:
-                    if len(cache) >= CACHE:
+                    if len(cache) >= HELD:
                         cache.clear()
                     got = cache[t] = m.token_lift(r, t)
                 if got > best:
