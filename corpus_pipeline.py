@@ -31,28 +31,39 @@ from flowlens.llm.queries import labels, word_tokenizer_path
 ORACLE_SQL = None
 
 
-def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+ARROW_ROWS = 128  # rows of one Arrow batch: a worker holds several stages' models at once
+ROW_GROUP = 16 << 20  # bytes that a Parquet writer gathers; whole texts are written after every stage
+
+
+def prepare(spark: SparkSession) -> SparkSession:
     runtime.prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("parquet.block.size", str(ROW_GROUP))
+    return spark
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return toxicity.drop_toxic(docs, labels(spark, sf_dir), threshold=0.5)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    runtime.prepare(spark)
+    prepare(spark)
     return exact.drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    runtime.prepare(spark)
+    prepare(spark)
     return simhash.drop_near_duplicates(docs, shingle=3, tau=3)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    runtime.prepare(spark)
+    prepare(spark)
     return mixing.mix_documents(docs, whole_copies=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    runtime.prepare(spark)
+    prepare(spark)
     tok = bpe.Tokenizer(spark, word_tokenizer_path())
     number = lambda pattern: F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).try_cast("long")
     place = F.struct(number(r"^part-(\d+)").alias("task"), number(r"-c(\d+)\.").alias("file"), F.col("_metadata.row_index").alias("row"))
@@ -71,7 +82,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runtime.prepare(spark)
+    prepare(spark)
     scratch = runtime.Scratch(spark, "pipeline")
     docs = runtime.documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
