@@ -173,26 +173,19 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: float = 3.0, sch
     the end of a source's demand is cut to the words still wanted (its
     ``n_chars``, where there is such a column, follows); with ``whole_copies``
     it is taken whole, so a source exceeds its target by less than one document."""
-    scratch = Scratch(docs.sparkSession, "mixed")
-    number, place = "number", "place"
-    while {number, place} & set(docs.columns):
-        number, place = number + "_", place + "_"
-    # Numbered once, so that plan and order are made of numbers, sources and sizes; texts join at the end.
-    rows = scratch.keep(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
-    slim = rows.select(F.col(number), F.col("doc_id"), F.col("source"), word_count(F.col(text_col).cast("string")).alias("n_words"))
-    planned = copies(plan_mix(slim, weights, max_repeat, size=F.col("n_words")), schedules)
-    order = planned.select(F.struct(F.col("row")[number].alias("of"), "position", "copy", "mix.before", "words", F.col("mix.size").alias("size")).alias(place))
-    c = rows.join(order.hint("merge"), F.col(number) == F.col(f"{place}.of"))
-    text, mix = F.col(f"`{text_col}`"), F.col(place)
-    cut = F.lit(False) if whole_copies else mix.words < mix["size"]
-    first = F.array_join(F.slice(F.split(F.regexp_replace(text, "^" + GAPS, ""), GAPS), 1, mix.words.cast("int")), " ")
-    taken = F.when(cut, first).otherwise(text)
+    c = copies(plan_mix(docs, weights, max_repeat), schedules)
+    cut = F.lit(False) if whole_copies else F.col("words") < F.col("mix.size")
+    row = F.col("row")
+    first = F.array_join(F.slice(F.split(F.regexp_replace(row[text_col], "^" + GAPS, ""), GAPS), 1,
+                                 F.col("words").cast("int")), " ")
+    c = c.select("row", "position", "copy", "mix.before", F.when(cut, first).otherwise(row[text_col]).alias("text"),
+                 cut.alias("cut"))
     cols = []
     for name in docs.columns:
-        v = F.col(f"`{name}`")
+        v = row[f"`{name}`"] if "." in name else row[name]
         if name == text_col:
-            v = taken
+            v = F.col("text")
         elif name == "n_chars":
-            v = F.when(cut, F.length(taken).cast(docs.schema[name].dataType)).otherwise(v)
+            v = F.when(F.col("cut"), F.length("text").cast(docs.schema[name].dataType)).otherwise(v)
         cols.append(v.alias(name))
-    return c.orderBy(mix.position, mix.before, mix["copy"]).select(*cols)
+    return c.orderBy("position", "before", "copy").select(*cols)
