@@ -20,7 +20,7 @@ their first ``WINDOW`` words matter.
 4. Covered words. Marked windows return to their document as intervals, and the
    words they cover are dropped.
 
-Words stand for 24 bits of their XXH64 in the sort, so a node compares 312 bits.
+Words stand for the 64 bits of their XXH64 in the sort.
 The threshold of long prefixes rises so that at most ``MOST_LONG`` prefixes are
 long (an 8 MB list): all other groups stay below total / MOST_LONG suffixes.
 Texts travel compressed.
@@ -47,7 +47,8 @@ WINDOW = 13
 PREFIX = 6
 GROUP = 50_000
 MOST_LONG = 1_000_000
-BUCKET = 400_000  # suffixes that one group of prefixes should hold
+WORD = 8  # bytes of a word's code
+BUCKET = 200_000  # suffixes that one group of prefixes should hold
 FLUSH = 500_000  # picked suffixes that a task gathers before it sends them
 CACHE = 300_000
 LAST = (1 << 63) - 1  # stands for a null id
@@ -182,11 +183,11 @@ HEAD = np.dtype([("ord", "<i8"), ("crc", "<i8"), ("first", "<u4"), ("words", "<u
 
 
 def _group_rows(window: int, prefix: int, buckets: int, long_shared):
-    """Records of the surviving suffixes, packed by group: HEAD, then 3 bytes a word."""
+    """Records of the surviving suffixes, packed by group: HEAD, then the words' codes, compressed."""
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        unzip, coder = zstandard.ZstdDecompressor(), Coder()
+        unzip, zip_, coder = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), Coder()
         long_ = np.frombuffer(long_shared.value, dtype=np.uint64)
         held: dict[int, tuple[list, list]] = {}
         lows: dict[bytes, tuple[int, int, int]] = {}
@@ -201,7 +202,8 @@ def _group_rows(window: int, prefix: int, buckets: int, long_shared):
             for data, (i, crc, first) in lows.items():
                 put(int.from_bytes(hashlib.blake2b(data, digest_size=7).digest(), "little") % buckets, (i, crc, first, window), data)
             lows.clear()
-            out = [(b, RECORD, np.array(h, dtype=HEAD).tobytes() , b"".join(d)) for b, (h, d) in held.items()]
+            # Records of a group share their words, so their codes shrink well.
+            out = [(b, RECORD, np.array(h, dtype=HEAD).tobytes(), zip_.compress(b"".join(d))) for b, (h, d) in held.items()]
             held.clear()
             return out
 
@@ -219,16 +221,16 @@ def _group_rows(window: int, prefix: int, buckets: int, long_shared):
                 hit = np.isin(pick[start], wanted)
                 start, end = start[hit], end[hit]
                 key = h[pick[start]]
-                three = codes.view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
+                coded = codes.tobytes()
                 is_long = np.isin(key, long_) if len(long_) else np.zeros(len(key), dtype=bool)
                 part = (key % np.uint64(buckets)).astype(np.int64).tolist()
                 for a, b, p, more in zip(start.tolist(), end.tolist(), part, is_long.tolist()):
                     if not more:
-                        put(p, (i, crc, a, b - a + window - 1), three[3 * a: 3 * (b + window - 1)])
+                        put(p, (i, crc, a, b - a + window - 1), coded[WORD * a: WORD * (b + window - 1)])
                         n += 1
                         continue
                     for w in range(a, b):  # the whole window is the prefix: one row for all of a task
-                        data = three[3 * w: 3 * (w + window)]
+                        data = coded[WORD * w: WORD * (w + window)]
                         low = lows.get(data)
                         if low is None or i < low[0]:
                             lows[data] = (i, crc, w)
@@ -258,22 +260,24 @@ def _packed(rows: list[tuple], marked: list[tuple[int, int, int]], buckets: int)
 
 def _subtree(window: int):
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor()
         rec = pdf["kind"] == RECORD
         head = np.frombuffer(b"".join(pdf.loc[rec, "head"]), dtype=HEAD)
         done = np.frombuffer(b"".join(pdf.loc[~rec, "head"]), dtype=HEAD)
-        raw = np.frombuffer(b"".join(pdf.loc[rec, "words"]), dtype=np.uint8)
+        raw = np.frombuffer(b"".join(map(unzip.decompress, pdf.loc[rec, "words"])), dtype=np.uint64)
         n = head["words"].astype(np.int64) - window + 1  # suffixes of each record
         begin = np.cumsum(head["words"].astype(np.int64)) - head["words"]
         owner = np.repeat(np.arange(len(head)), n)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         at = begin[owner] + step
-        width = 3 * window
-        suffix = np.lib.stride_tricks.sliding_window_view(raw, width)[3 * at] if len(at) else np.zeros((0, width), np.uint8)
+        suffix = np.lib.stride_tricks.sliding_window_view(raw, window)[at] if len(at) else np.zeros((0, window), np.uint64)
         ids = head["ord"][owner]
         # Leaves in order of their words; a common prefix of a whole window joins neighbours in one deep node.
         order = np.argsort(_sortable(suffix), kind="stable")
         s = suffix[order]
-        depth = np.argmin(np.concatenate((s[1:] == s[:-1], np.zeros((max(len(s) - 1, 0), 1), bool)), axis=1), axis=1) // 3
+        depth = np.argmin(np.concatenate((s[1:] == s[:-1], np.zeros((max(len(s) - 1, 0), 1), bool)), axis=1), axis=1)
         start = np.flatnonzero(np.concatenate(([True], depth < window))) if len(s) else np.zeros(0, dtype=np.int64)
         low = np.minimum.reduceat(ids[order], start) if len(s) else ids
         size = np.diff(np.append(start, len(s)))
@@ -293,7 +297,7 @@ def _subtree(window: int):
 
 def _sortable(suffix: np.ndarray) -> np.ndarray:
     """Rows as byte strings whose order is that of their bytes."""
-    return np.ascontiguousarray(suffix).view(f"V{suffix.shape[1]}").ravel()
+    return np.ascontiguousarray(suffix).view(f"V{WORD * suffix.shape[1]}").ravel()
 
 
 # --- the operator -----------------------------------------------------------

@@ -198,6 +198,24 @@ def test_passage_shared_by_many_documents(spark):
     assert sorted(n for _, _, n, _ in got) == [0] + [40] * 59
 
 
+def test_words_whose_hashes_agree_in_part_stay_apart(spark):
+    """Templates with a running number: pairs of numbers whose hashes agree in 24 bits."""
+    seen, pairs = {}, []
+    for k in range(60_000):
+        low = xxhash.xxh64_intdigest(f"n{k}".encode()) & 0xFFFFFF
+        if low in seen:
+            pairs.append((seen[low], k))
+        seen[low] = k
+    rows = []
+    for j, pair in enumerate(pairs[:10]):
+        words = [f"t{j}x{i}" for i in range(30)]
+        for n in pair:
+            rows.append((len(rows), " ".join([*words[:15], f"n{n}", *words[15:]]), "s"))
+    got = _substring(frame(spark, rows))
+    assert got == _substring_brute([(i, t) for i, t, _ in rows])
+    assert sorted(n for _, _, n, _ in got) == [0] * 10 + [30] * 10
+
+
 # ------------------------------------------------------------------ lines
 def _lines_brute(rows, window=3):
     top, first = 1 << 62, {}
