@@ -370,12 +370,16 @@ def evidence_column(spark, model: Model):
     def column(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         r, cache = worker_memo(m)
+        heads, twice = m.heads, TWICE.search
 
         def one(text: str) -> list[float]:
             tokens = text.split()
             distinct = set(tokens)
             best = total = 0.0
             for t in distinct:
+                low = t.lower()
+                if low[:HEAD] not in heads and low.isalpha() and not twice(low):
+                    continue  # a plain word of which no feature is known
                 got = cache.get(t)
                 if got is None:
                     if len(cache) >= HELD:
