@@ -60,7 +60,7 @@ SHRINK = 8.0  # strength of the prior, in documents
 FAINT = 1.5  # lifts up to this do not add up: long texts have many by chance
 SUPPORT = 5  # training documents that a harmless longer feature must occur in
 EVIDENCE = 4  # numbers that describe a document
-CACHE = 150_000  # readings of tokens that a training task holds
+CACHE = 40_000  # readings of tokens that a training task holds
 HELD = 50_000  # lifts of tokens that a worker holds; a common token is soon back after a purge
 PREFIXES = (4, 5, 6)
 HEAD = PREFIXES[0]
@@ -304,10 +304,29 @@ class Model:
 
     def know(self, lifts: dict[str, float]) -> None:
         self.lifts = lifts
-        self.heads = {f.removeprefix("=")[:HEAD] for f in lifts}  # how a word with a known feature begins
-        self.begins = {RUN.sub(r"\1", h) for h in self.heads}
+        self.whole = {f[1:]: v for f, v in lifts.items() if f[0] == "="}
+        raising = [f for f, v in lifts.items() if v > 0]  # no other feature changes a document's evidence
+        self.heads = {f.removeprefix("=")[:HEAD] for f in raising}  # how a word with such a feature begins
+        self.once = {RUN.sub(r"\1", f) for f in raising}
         self.key = uuid.uuid4().hex  # tells a worker's memoised lifts of one model from another's
 
+    def plain_lift(self, word: str) -> float:
+        """The lift of a plain word, 0 where it has none or a negative one."""
+        if word[:HEAD] not in self.heads:
+            return 0.0
+        v = self.whole.get(word)
+        for k in reversed(PREFIXES):
+            if v is not None:
+                break
+            v = self.lifts.get(word[:k]) if len(word) > k else None
+        return max(v or 0.0, 0.0)
+
+    def may_lift(self, word: str) -> bool:
+        """Whether a form that decoding a word of letters can give may have a lift: all forms, and so
+        the beginnings of all forms, are alike with their repeated letters taken once."""
+        once = RUN.sub(r"\1", word)
+        return any(once[:k] in self.once for k in range(1, PREFIXES[-1] + 1)) or "=" + once in self.once
+
     def lift(self, words: list[str]) -> float:
         """The largest lift of a token's readings; 0 without any."""
         get, heads, best = self.lifts.get, self.heads, 0.0
@@ -328,9 +347,8 @@ class Model:
         core = low if low.isalpha() else low.strip(EDGES)
         if core.isalpha() and (core is low or not any(c in LEET for c in low[: low.find(core[0])])):
             if not TWICE.search(core):
-                return self.lift((core,)) if core[:HEAD] in self.heads else 0.0
-            begin = RUN.sub(r"\1", core)[:HEAD]  # all forms are alike with their repeated letters taken once
-            if not any(begin[:k] in self.begins for k in range(1, len(begin) + 1)):
+                return self.plain_lift(core)
+            if not self.may_lift(core):
                 return 0.0
             forms = dropped(core)
             if forms is not None and not self.lift(forms):
@@ -370,7 +388,7 @@ def evidence_column(spark, model: Model):
     def column(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         r, cache = worker_memo(m)
-        heads, twice = m.heads, TWICE.search
+        heads, twice, plain_lift, may_lift = m.heads, TWICE.search, m.plain_lift, m.may_lift
 
         def one(text: str) -> list[float]:
             tokens = text.split()
@@ -378,8 +396,21 @@ def evidence_column(spark, model: Model):
             best = total = 0.0
             for t in distinct:
                 low = t.lower()
-                if low[:HEAD] not in heads and low.isalpha() and not twice(low):
-                    continue  # a plain word of which no feature is known
+                core = low if low.isalpha() else low.strip(EDGES)
+                if not core:
+                    continue
+                if core.isalpha() and low[0] == core[0]:  # letters, with no sign in front
+                    if not twice(core):
+                        if core[:HEAD] not in heads:
+                            continue
+                        got = plain_lift(core)  # as quick as a look into the memo
+                        if got > best:
+                            best = got
+                        if got > FAINT:
+                            total += got - FAINT
+                        continue
+                    if not may_lift(core):
+                        continue
                 got = cache.get(t)
                 if got is None:
                     if len(cache) >= HELD:
