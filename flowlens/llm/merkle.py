@@ -1,16 +1,19 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves are paragraphs; a line, sentence or clause ends one, and a run without
-such ends is cut after words chosen by their own content, so that an edit
-moves no cut elsewhere. Sections are runs of leaves ended by a leaf whose
-digest says so. A section's digest covers its whole text, the root covers the
-sections: equal roots mean equal texts. Where roots differ, equal sections
-are skipped and the first differing leaf locates the edit.
+Leaves are paragraphs, which end at a blank line. A paragraph of more than
+``LONG`` code points is cut into its lines, a long line into sentences and
+clauses, and a long clause after words chosen by their own content, so that an
+edit moves no cut elsewhere. Sections are runs of leaves ended by a leaf whose
+digest says so. Every digest has ``DIGEST`` bytes: a leaf's covers its text, a
+section's its leaves' digests, the root's the sections' digests, each with its
+level, so every parent can be recomputed from its children and equal roots
+mean equal texts. Where roots differ, equal sections are skipped and the first
+differing leaf locates the edit.
 
 The fingerprint is the tree as a string: the root (32 hex digits), then per
-section ``;``, its digest (16 digits), ``:`` and its leaves' digests (8 digits
-each). Likeness of two fingerprints is the Dice share of common leaves, 1 only
-for equal roots.
+section ``;``, the first 16 digits of its digest, ``:`` and the first 8 digits
+of its leaves' digests; digests are shortened in this string only. Likeness of
+two fingerprints is the Dice share of common leaves, 1 only for equal roots.
 
 Defined cases: null text counts as empty; an empty text has a root and no
 section. Documents follow each other by descending id, null ids last, equal
@@ -31,63 +34,75 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BLANK = re.compile(r"\n[ \t]*\n\s*")
+LINE = re.compile(r"[^\n]*\n+|[^\n]+")
 PIECE = re.compile(r"[^\n.!?,;:]*[\n.!?,;:]+[ \t]*|[^\n.!?,;:]+")
 WORD = re.compile(r"\S+\s*|\s+")
 LONG = 48  # code points; a longer piece is cut after chosen words
 WORD_CUT = 4  # one word in so many ends a leaf inside a long piece
 SECTION_CUT = 16  # one leaf in so many ends a section
 
-ROOT, SECTION, LEAF = 32, 16, 8  # hex digits
+DIGEST = 16  # bytes of every digest
+ROOT, SECTION, LEAF = 2 * DIGEST, 16, 8  # hex digits in the string
+
+
+def paragraphs(text: str) -> Iterator[str]:
+    """The text cut after blank lines."""
+    start = 0
+    for m in BLANK.finditer(text):
+        yield text[start: m.end()]
+        start = m.end()
+    if start < len(text):
+        yield text[start:]
 
 
 def leaves(text: str) -> list[str]:
     """The text cut into leaves; their concatenation is the text."""
     out = []
-    for piece in PIECE.findall(text):
-        if len(piece) <= LONG:
-            out.append(piece)
-            continue
-        held: list[str] = []
-        for word in WORD.findall(piece):
-            held.append(word)
-            if zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_CUT == 0:
-                out.append("".join(held))
-                held = []
-        if held:
-            out.append("".join(held))
+    for paragraph in paragraphs(text):
+        for line in (paragraph,) if len(paragraph) <= LONG else LINE.findall(paragraph):
+            for piece in (line,) if len(line) <= LONG else PIECE.findall(line):
+                if len(piece) <= LONG:
+                    out.append(piece)
+                    continue
+                held: list[str] = []
+                for word in WORD.findall(piece):
+                    held.append(word)
+                    if zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_CUT == 0:
+                        out.append("".join(held))
+                        held = []
+                if held:
+                    out.append("".join(held))
     return out
 
 
+def node(children: list[bytes], level: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(children), digest_size=DIGEST, person=level).digest()
+
+
 class Tree:
-    """Root, sections and leaves of one text."""
+    """Digests of the root, the sections and their leaves, and the leaves' lengths."""
 
     __slots__ = ("lengths", "root", "sections")
 
     def __init__(self, text: str):
-        self.sections: list[tuple[str, list[str]]] = []
+        self.sections: list[tuple[bytes, list[bytes]]] = []
         self.lengths: list[int] = []
-        root, digest = hashlib.blake2b(digest_size=ROOT // 2), hashlib.blake2b
-        held, raw = [], []
+        held: list[bytes] = []
         for leaf in leaves(text):
-            data = leaf.encode("utf-8", "surrogatepass")
-            d = digest(data, digest_size=LEAF // 2).hexdigest()
+            d = hashlib.blake2b(leaf.encode("utf-8", "surrogatepass"), digest_size=DIGEST, person=b"leaf").digest()
             held.append(d)
-            raw.append(data)
             self.lengths.append(len(leaf))
-            if int(d[-2:], 16) % SECTION_CUT == 0:
-                self._close(root, held, raw)
-                held, raw = [], []
+            if d[-1] % SECTION_CUT == 0:
+                self.sections.append((node(held, b"section"), held))
+                held = []
         if held:
-            self._close(root, held, raw)
-        self.root = root.hexdigest()
-
-    def _close(self, root, held, raw) -> None:
-        d = hashlib.blake2b(b"".join(raw), digest_size=SECTION // 2).hexdigest()
-        root.update(d.encode())
-        self.sections.append((d, held))
+            self.sections.append((node(held, b"section"), held))
+        self.root = node([d for d, _ in self.sections], b"root").hex()
 
     def __str__(self) -> str:
-        return self.root + "".join([f";{d}:{''.join(held)}" for d, held in self.sections])
+        short = [f";{d.hex()[:SECTION]}:{b''.join([x[:LEAF // 2] for x in held]).hex()}" for d, held in self.sections]
+        return self.root + "".join(short)
 
 
 def parse(fingerprint: str) -> tuple[str, list[tuple[str, list[str]]]]:

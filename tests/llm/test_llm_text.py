@@ -152,6 +152,55 @@ def test_merkle_query_rows(spark):
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.9
 
 
+def test_merkle_parents_from_their_children(spark):
+    """Every digest of the query's fingerprints, recomputed from the leaves up by plain hashing."""
+    import __spark_entry__ as E
+
+    def digest(data, level):
+        return hashlib.blake2b(data, digest_size=16, person=level).digest()
+
+    def expected(text):
+        sections, held = [], []
+        cut = merkle.leaves(text)
+        assert "".join(cut) == text
+        for k, leaf in enumerate(cut):
+            held.append(digest(leaf.encode(), b"leaf"))
+            if held[-1][15] % 16 == 0 or k == len(cut) - 1:
+                sections.append(held)
+                held = []
+        parents = [digest(b"".join(h), b"section") for h in sections]
+        root = digest(b"".join(parents), b"root").hex()
+        return root + "".join(";" + p.hex()[:16] + ":" + "".join(x.hex()[:8] for x in h) for p, h in zip(parents, sections))
+
+    def alike(a, b):  # Dice share of common leaves
+        (ra, *sa), (rb, *sb) = a.split(";"), b.split(";")
+        la, lb = ([h[k: k + 8] for h in (x.split(":")[1] for x in s) for k in range(0, len(h), 8)] for s in (sa, sb))
+        common = sum(min(la.count(x), lb.count(x)) for x in set(la))
+        return 1.0 if ra == rb else min(2 * common / max(len(la) + len(lb), 1), 1 - 1e-9)
+
+    got = {r.doc_id: r for r in E.queries()["op9_merkle_fingerprints"](spark, SF_SMALL).collect()}
+    docs = sorted([(r.doc_id, r.text or "") for r in runtime.documents(spark, SF_SMALL, "doc_id", "text").collect()], reverse=True)
+    assert docs and len(got) == len(docs)
+    for k, (i, text) in enumerate(docs):
+        following = docs[(k + 1) % len(docs)][1]
+        half = len(text) // 2
+        want = [expected(t) for t in (text, text[: len(text) - half] + following[:half], following)]
+        r = got[i]
+        assert [r.fingerprint, r.edited_fingerprint] == want[:2]
+        assert r.near_edited == pytest.approx(alike(want[0], want[1])) and r.near_next == pytest.approx(alike(want[0], want[2]))
+
+
+def test_merkle_leaves_are_paragraphs():
+    assert merkle.leaves("") == []
+    assert merkle.leaves("One. Two, three.\n\nFour; five.\n \n\n  Six!") == ["One. Two, three.\n\n", "Four; five.\n \n\n  ", "Six!"]
+    long = "A line of its own\n" * 4 + "\n" + "word " * 40
+    assert merkle.leaves(long)[:4] == ["A line of its own\n"] * 3 + ["A line of its own\n\n"]
+    for text in (long, "\n\n\nx", "\n" * 100, " \n\t\n ", "a" * 500, "x\r\n\r\ny"):
+        assert "".join(merkle.leaves(text)) == text
+    a, b = merkle.Tree("ab\n\ncd"), merkle.Tree("ab\n\nce")
+    assert a.root != b.root and merkle.first_difference(a, b) == 4
+
+
 @pytest.mark.parametrize("buckets", [1, 3, 40])
 def test_merkle_edge_rows(spark, buckets):
     got = merkle.fingerprints(frame(spark), buckets=buckets).collect()
