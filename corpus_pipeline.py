@@ -39,6 +39,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     runtime.prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("parquet.block.size", str(ROW_GROUP))
+    # Shuffle files go when their query ends: stages hand over written tables, so nothing reads them again.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
