@@ -25,6 +25,7 @@ name pass through untouched.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -167,18 +168,36 @@ def in_training_order(planned: DataFrame, schedules=SCHEDULES) -> DataFrame:
     return deal(planned, schedules).orderBy(first.asc_nulls_last(), "mix.before", F.col("mix.tier"))
 
 
+def _plain_scan(docs: DataFrame) -> bool:
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def _numbered(docs: DataFrame, number: str) -> DataFrame:
+    """``docs`` with a column that tells its rows apart and is the same on every
+    read: file and row number of a table read from Parquet files as it is, else
+    numbers written with the rows once."""
+    if _plain_scan(docs):
+        try:
+            return docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(number))
+        except AnalysisException:  # no Parquet files
+            pass
+    return Scratch(docs.sparkSession, "mixed").keep(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+
+
 def mix_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: float = 3.0, schedules=SCHEDULES,
                   text_col: str = "text", whole_copies: bool = False) -> DataFrame:
     """The mixed corpus in training order, with the input's columns. A copy at
     the end of a source's demand is cut to the words still wanted (its
     ``n_chars``, where there is such a column, follows); with ``whole_copies``
     it is taken whole, so a source exceeds its target by less than one document."""
-    scratch = Scratch(docs.sparkSession, "mixed")
     number, place = "number", "place"
     while {number, place} & set(docs.columns):
         number, place = number + "_", place + "_"
-    # Numbered once, so that plan and order are made of numbers, sources and sizes; texts join at the end.
-    rows = scratch.keep(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    # Rows have numbers, so that plan and order are made of numbers, sources and sizes; texts join at the end.
+    rows = _numbered(docs, number)
     slim = rows.select(F.col(number), F.col("doc_id"), F.col("source"), word_count(F.col(text_col).cast("string")).alias("n_words"))
     planned = copies(plan_mix(slim, weights, max_repeat, size=F.col("n_words")), schedules)
     order = planned.select(F.struct(F.col("row")[number].alias("of"), "position", "copy", "mix.before", "words", F.col("mix.size").alias("size")).alias(place))
