@@ -41,6 +41,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("parquet.block.size", str(ROW_GROUP))
     # Shuffle files go when their query ends: stages hand over written tables, so nothing reads them again.
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")  # scratch tables hold whole texts
     return spark
 
 
