@@ -32,6 +32,11 @@ def q_product_order_stats(spark, sf):
     return _stats(spark, sf)
 
 
+@register("folded_order_stats", with_fixtures("SELECT * FROM stats", "order_events", extra={"stats": _STATS_SQL}))
+def q_folded_order_stats(spark, sf):
+    return stats.folded_order_stats(fx.order_events(spark, sf))
+
+
 @register("all_product_stats", with_fixtures("SELECT * FROM stats", "order_events", extra={"stats": _STATS_SQL}))
 def q_all_product_stats(spark, sf):
     return _stats(spark, sf)
