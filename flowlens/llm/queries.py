@@ -106,28 +106,38 @@ def op6_simhash_near_dedup(spark, sf_dir):
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5(coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-k AS (SELECT *, [5.0, 2.0, 1.0][1 + ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3]::DOUBLE AS weight FROM s),
+k AS (SELECT *, [5.0, 2.0, 1.0][1 + tier]::DOUBLE AS weight
+      FROM (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 AS tier FROM s)),
 l AS (SELECT *, (sum(source_size) OVER ()
                  - coalesce(sum(3 * source_size) OVER (ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
              / sum(weight) OVER (ORDER BY source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
       FROM k),
 v AS (SELECT max(level) AS level FROM l),
-t AS (SELECT k.source, source_size, least(3.0 * source_size, weight * v.level)::DOUBLE AS target FROM k, v),
-c AS (SELECT d.*, source_size, target, floor(target)::BIGINT AS whole,
+t AS (SELECT k.source, source_size, tier, least(3.0 * source_size, weight * v.level)::DOUBLE AS target FROM k, v),
+c AS (SELECT d.*, source_size, target, tier, floor(target)::BIGINT AS whole,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0 ELSE
-         ((whole // source_size) * size + greatest(least(whole % source_size - before, size), 0))::BIGINT END AS taken
-FROM c""")
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE
+           ((whole // source_size) * size + greatest(least(whole % source_size - before, size), 0))::BIGINT END AS taken,
+             [1.6, 1.0, 0.4][1 + tier]::DOUBLE AS u, [1.0, 1.0, 1.0][1 + tier]::DOUBLE AS v, [0.4, 1.0, 1.6][1 + tier]::DOUBLE AS w
+      FROM c),
+q AS (SELECT *, (before + least(size, whole - before) / 2) / whole AS share, (u + v) / 2 * 0.5::DOUBLE AS half FROM n),
+r AS (SELECT *, greatest(share - half, 0) AS rest FROM q)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken = 0 THEN NULL
+            WHEN share > half THEN 0.5::DOUBLE + least(2 * rest / (v + sqrt(greatest(v * v + 4 * (w - v) * rest, 0))), 0.5::DOUBLE)
+            ELSE least(2 * share / (u + sqrt(greatest(u * u + 4 * (v - u) * share, 0))), 0.5::DOUBLE) END AS position
+FROM r""")
 def op7_mix_sources(spark, sf_dir):
-    """Words that the mix's copies take from every document, in training order
-    of the first copy; documents without a copy come last."""
+    """Words that the mix's copies take from every document and the training
+    position (0..1) of the first copy, in that order; documents without a copy
+    have no position and come last."""
     out = mixing.plan_mix(runtime.documents(spark, sf_dir, "doc_id", "text", "source")
                           .select("doc_id", "source", mixing.word_count(F.col("text")).alias("n_words")),
                           size=F.col("n_words"))
     taken = F.aggregate("copies.words", F.lit(0).cast("long"), lambda total, words: total + words)
-    return mixing.in_training_order(out, mixing.SCHEDULES).select("row.doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"))
+    return mixing.in_training_order(out, mixing.SCHEDULES).select("row.doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"),
+                                                                  F.try_element_at("copies", F.lit(1))["position"].alias("position"))
 
 
 @query("op8_substring_dedup", sql=r"""
