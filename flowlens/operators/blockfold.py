@@ -49,33 +49,50 @@ class BlockTable:
         return self.counts[self.index]
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame, bool]]:
-    """Stretches of equal keys in sorted batches: (key, rows, whether the key is new)."""
-    last = None
-    for b in batches:
-        for key, part in b.groupby(keys, sort=False):
-            yield key, part, key != last
-            last = key
+class _Runs:
+    """Stretches of equal (product, block) in batches sorted by both. A batch's columns are
+    taken as lists at once: most blocks hold a few commands only, and a frame for each
+    of them would cost far more than its commands."""
+
+    def __init__(self, batches: Iterator[pd.DataFrame]):
+        self.batches, self.last = batches, None
+
+    def __iter__(self) -> Iterator[tuple[pd.DataFrame, list[tuple[tuple, int, int, bool]]]]:
+        """Batches with their stretches: (key, first row, end, whether the key is new)."""
+        for b in self.batches:
+            if len(b) == 0:
+                continue
+            products, blocks = b["product_id"].to_numpy(dtype=object), b["blk"].to_numpy()
+            cuts = np.flatnonzero((products[1:] != products[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            heads = [0, *cuts.tolist()]
+            out = []
+            for head, end in zip(heads, [*heads[1:], len(b)]):
+                key = (products[head], int(blocks[head]))
+                out.append((key, head, end, key != self.last))
+                self.last = key
+            yield b, out
 
 
 def _tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    key, table, head = None, None, None
+    key, table, base = None, None, None
     out = []
 
     def done():
         if table is not None:
-            out.append((*key, head, table.table().astype(np.int32).tobytes()))
-
-    for new_key, part, is_new in _runs(batches, ["product_id", "blk"]):
-        if is_new:
-            done()
-            key, head = new_key, int(part["reserved_quantity"].iloc[0])
-            total = int(part["stock_quantity"].iloc[0])
-            table = BlockTable(max(total, head, 0), total)
-        table.apply(part["command"].tolist(), part["quantity"].tolist())
-        if len(out) >= 1000:
-            yield _table_frame(out)
-            out.clear()
+            out.append((*key, base, table.table().astype(np.int32).tobytes()))
+
+    for b, runs in _Runs(batches):
+        commands, amounts = b["command"].tolist(), b["quantity"].tolist()
+        totals, bases = b["stock_quantity"].tolist(), b["reserved_quantity"].tolist()
+        for new_key, head, end, is_new in runs:
+            if is_new:
+                done()
+                key, base, total = new_key, int(bases[head]), int(totals[head])
+                table = BlockTable(max(total, base, 0), total)
+            table.apply(commands[head:end], amounts[head:end])
+            if len(out) >= 1000:
+                yield _table_frame(out)
+                out.clear()
     done()
     yield _table_frame(out)
 
@@ -102,10 +119,18 @@ def _replay(out_columns: list[str]):
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold = None
-        for key, part, is_new in _runs(batches, ["product_id", "blk"]):
-            if is_new:
-                fold = StockFold(key[0], int(part["start"].iloc[0]))
-            yield fold.apply(part)[out_columns]
+        for b, runs in _Runs(batches):
+            commands, amounts = b["command"].tolist(), b["quantity"].tolist()
+            totals, starts = b["stock_quantity"].tolist(), b["start"].tolist()
+            outcome, before, after = [], [], []
+            for key, head, end, is_new in runs:
+                if is_new:
+                    fold = StockFold(key[0], int(starts[head]))
+                for whole, part in zip((outcome, before, after), fold.outcomes(int(totals[head]), commands[head:end], amounts[head:end])):
+                    whole += part
+            made = b[["seq", "product_id", "order_id", "command"]].assign(
+                quantity=b["quantity"].to_numpy().astype(np.int32), outcome=outcome, available_before=before, reserved_after=after)
+            yield made[out_columns]
 
     return rows
 

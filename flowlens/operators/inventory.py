@@ -46,24 +46,32 @@ class StockFold:
     def __init__(self, product, reserved: int | None = None):
         self.product, self.reserved = product, reserved
 
+    def outcomes(self, total: int, commands: list[str], amounts: list[int]) -> tuple[list[str], list[int], list[int]]:
+        """Outcome, available count before and reserved count after each command, in order."""
+        r, outcome, before, after = self.reserved, [], [], []
+        for command, n in zip(commands, amounts):
+            before.append(total - r)
+            if command != "RESERVE":
+                r = max(0, r - n)
+                outcome.append("RELEASED")
+            elif total - r >= n:
+                r += n
+                outcome.append("RESERVED")
+            else:
+                outcome.append("INSUFFICIENT")
+            after.append(r)
+        self.reserved = r
+        return outcome, before, after
+
     def apply(self, b: pd.DataFrame) -> pd.DataFrame:
         """Outcomes of the product's commands, in the order of the rows."""
         found, stock = b["found"].to_numpy(), b["stock_quantity"].to_numpy()
         outcome = np.full(len(b), "NOT_FOUND", dtype=object)
         before, after = np.full(len(b), None, dtype=object), np.full(len(b), None, dtype=object)
         if len(b) and found[0]:  # a product has a stock row or has none
-            total = int(stock[0])
-            r = int(b["reserved_quantity"].iloc[0]) if self.reserved is None else self.reserved
-            for k, (command, n) in enumerate(zip(b["command"].tolist(), b["quantity"].tolist())):
-                before[k] = total - r
-                if command != "RESERVE":
-                    r, outcome[k] = max(0, r - n), "RELEASED"
-                elif total - r >= n:
-                    r, outcome[k] = r + n, "RESERVED"
-                else:
-                    outcome[k] = "INSUFFICIENT"
-                after[k] = r
-            self.reserved = r
+            if self.reserved is None:
+                self.reserved = int(b["reserved_quantity"].iloc[0])
+            outcome[:], before[:], after[:] = self.outcomes(int(stock[0]), b["command"].tolist(), b["quantity"].tolist())
         return pd.DataFrame({"seq": b["seq"].to_numpy(), "product_id": b["product_id"].to_numpy(),
                              "order_id": b["order_id"].to_numpy(), "command": b["command"].to_numpy(),
                              "quantity": b["quantity"].to_numpy().astype(np.int32), "outcome": outcome,

@@ -15,7 +15,7 @@ from conftest import SF_SMALL
 from flowlens.operators import commands as K
 from flowlens.operators import inventory as I
 from flowlens.operators import ops as O
-from flowlens.operators.blockfold import BlockTable
+from flowlens.operators.blockfold import BlockTable, _replay, _tables
 from flowlens.operators.paging import SortedPages
 from flowlens.plans.q_keyed import _records
 from flowlens.sources import decode
@@ -76,6 +76,20 @@ def test_a_hot_product_is_spread_over_tasks(spark):
     assert len(parts) > 3 and max(r["count"] for r in parts) < 1200
 
 
+def test_blocks_of_few_commands_share_a_frame():
+    """A batch is replayed as one frame, however many products it holds, across batches too."""
+    n = 3000
+    b = pd.DataFrame({"seq": range(2 * n), "product_id": [f"P{k // 2:05d}" for k in range(2 * n)], "blk": 0, "order_id": "O",
+                      "command": "RESERVE", "quantity": 2, "stock_quantity": 3, "reserved_quantity": 0, "start": 0})
+    columns = [c.split()[0] for c in I.OUT_SCHEMA.split(", ")]
+    for cut in (2 * n, 5):  # the second cut parts a product's two commands
+        out = list(_replay(columns)(iter([b[:cut], b[cut:]])))
+        assert len(out) == (1 if cut == 2 * n else 2)
+        assert pd.concat(out)["outcome"].tolist() == ["RESERVED", "INSUFFICIENT"] * n
+    effects = pd.concat(_tables(iter([b[:5], b[5:]])))
+    assert len(effects) == n and effects["effect"].map(lambda e: np.frombuffer(e, np.int32).tolist()).tolist() == [[2, 3, 2, 3]] * n
+
+
 # ------------------------------------------------------------------ streams over folders of files
 @pytest.fixture(scope="module")
 def newest_first(tmp_path_factory):
