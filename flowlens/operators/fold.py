@@ -46,7 +46,7 @@ class Fold:
     finish: Callable[[Any, State], tuple]
 
 
-def _batches(rows, schema: pa.Schema):
+def batches_of(rows, schema: pa.Schema):
     """Arrow batches of the tuples that ``rows`` yields."""
     held = []
     for r in rows:
@@ -62,7 +62,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def _tuples(batch: pa.RecordBatch):
+def tuples(batch: pa.RecordBatch):
     return zip(*(c.to_pylist() for c in batch.columns))
 
 
@@ -77,20 +77,20 @@ def keyed_fold(df: DataFrame, key: str, fold: Fold, most_keys: int = MOST_KEYS)
         def rows():
             held: dict = {}
             for batch in batches:
-                for k, *values in _tuples(batch):
+                for k, *values in tuples(batch):
                     held[k] = fold.step(held[k] if k in held else fold.init(), tuple(values))
                     if len(held) >= most_keys:
                         yield from ((h, *s) for h, s in held.items())
                         held = {}
             yield from ((h, *s) for h, s in held.items())
 
-        return _batches(rows(), state_arrow)
+        return batches_of(rows(), state_arrow)
 
     def merge_runs(batches):
         def rows():
             now, state = None, None
             for batch in batches:
-                for k, *values in _tuples(batch):
+                for k, *values in tuples(batch):
                     if state is not None and k == now:
                         state = fold.merge(state, tuple(values))
                         continue
@@ -100,7 +100,7 @@ def keyed_fold(df: DataFrame, key: str, fold: Fold, most_keys: int = MOST_KEYS)
             if state is not None:
                 yield (now, *fold.finish(now, state))
 
-        return _batches(rows(), result_arrow)
+        return batches_of(rows(), result_arrow)
 
     split = df.select(key, *fold.inputs).mapInArrow(fold_split, states)
     return split.repartition(F.col(f"`{key}`")).sortWithinPartitions(F.col(f"`{key}`")).mapInArrow(merge_runs, results)

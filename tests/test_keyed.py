@@ -152,6 +152,33 @@ def test_redelivered_events_give_no_second_command(spark):
     assert out["saga-6"] == ["CREATE_ORDER", "PROCESS_PAYMENT", "RESERVE_INVENTORY", "CANCEL_PAYMENT", "CANCEL_ORDER"]
 
 
+def test_sagas_are_folded_in_one_sorted_pass(spark):
+    """No operator that calls Python once per saga; earlier states come as rows of the same pass."""
+    starts, events = fx.saga_starts(spark, SF_SMALL), decode.decode_saga_envelope(fx.saga_events(spark, SF_SMALL))
+    out = keyed.orchestrate(keyed.saga_input(starts, events), None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    whole = _rows(out.filter("kind = 'COMMAND'"), "saga_id", "seq", "command", "payment_id", "reason")
+    early = keyed.orchestrate(keyed.saga_input(starts, events.filter("offset % 10 <= 2")), None)
+    states = early.filter("kind = 'STATE'").withColumnRenamed("reason", "failure_reason")
+    none = starts.limit(0)
+    late = keyed.orchestrate(keyed.saga_input(none, events), states)  # the early events come again
+    parts = early.unionByName(late).filter("kind = 'COMMAND'")
+    assert _rows(parts, "saga_id", "seq", "command", "payment_id", "reason") == whole
+
+
+def test_a_redelivered_creation_does_not_take_an_order_back(spark):
+    schema = "order_id STRING, offset LONG, event_type STRING, customer_id STRING, total_amount DECIMAL(19,2), quantity INT, event_ts TIMESTAMP_NTZ"
+    rows = spark.createDataFrame([("O", 5, "ORDER_CREATED", "A", None, 1, None), ("O", 21, "INVENTORY_RESERVED", None, None, None, None),
+                                  ("O", 21, "INVENTORY_RESERVED", None, None, None, None), ("N", 3, "PAYMENT_FAILED", None, None, None, None),
+                                  ("N", 4, "ORDER_CREATED", "C", None, 2, None)], schema)
+    owners = spark.createDataFrame([("O", "B", None, 7, 20)], keyed.ORDER_STATE)
+    got = keyed.owned_events(rows, owners)
+    assert _rows(got.select("order_id", "offset", "owner.customer_id", "owner.quantity")) == [("N", 4, "C", 2), ("O", 21, "B", 7)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan
+
+
 def test_payload_has_the_fields_of_its_command(spark):
     import json
     for r in K.command_outbox(E.queries()["saga_commands"](spark, SF_SMALL)).filter("aggregate_id = 'saga-6'").collect():
