@@ -25,6 +25,7 @@ MEDIUM_PREFIXES = ["MEDIUM:", "P2:", "NORMAL:"]
 LOW_PREFIXES = ["LOW:", "P3:", "BATCH:"]
 TENANT_HEADER = "X-Tenant-Id"
 TOPIC_PREFIX, SEPARATOR = "tenant", "-"
+SALTS = 64  # keys over which the messages of one topic are dealt
 
 
 def _c(c) -> Column:
@@ -140,7 +141,8 @@ def extract_tenant(messages: DataFrame, tenants: DataFrame | None = None, strict
     yields ``tenant`` (``strict_parity``). By default the longest *registered*
     tenant id that prefixes the rest of the topic wins: the distinct topics'
     prefixes meet the registry in one equi-join, and the longest hit per topic
-    joins back.
+    joins back. Most messages may share a topic, so a topic's messages are dealt over
+    ``SALTS`` keys and its hit is repeated for each.
     """
     m = messages
     rest = _topic_rest(F.col("topic"))
@@ -156,7 +158,9 @@ def extract_tenant(messages: DataFrame, tenants: DataFrame | None = None, strict
         reg = tenants.select(F.col("tenant_id").alias("_cand")).distinct()
         longest = (cands.join(reg, "_cand").groupBy(F.col("topic").alias("_topic"))
                    .agg(F.max_by("_cand", F.length("_cand")).alias("_hit")))
-        m = m.join(longest, F.col("topic") == F.col("_topic"), "left")
+        hits = longest.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_hit_salt"))
+        m = m.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(
+            hits, (F.col("topic") == F.col("_topic")) & (F.col("_salt") == F.col("_hit_salt")), "left")
         topic_tenant = F.coalesce(F.col("_hit"), first_seg)
     out = m.withColumn("tenant_id", F.coalesce(F.col("tenant_header"), from_key, topic_tenant))
     return out.select(*messages.columns, "tenant_id")

@@ -53,3 +53,25 @@ def test_scans_are_pruned(spark, key, table, unwanted):
 def test_global_top_k_is_not_a_global_sort(spark):
     plan = plan_of(Q["top_products"](spark, SF_SMALL))
     assert "TakeOrderedAndProject" in plan
+
+
+def test_messages_of_one_topic_are_dealt_over_tasks(spark):
+    """The lookup of a topic's tenant does not gather a hot topic's messages in one task."""
+    from pyspark.sql import functions as F
+
+    from flowlens.operators import routing as R
+    topic = F.when(F.col("id") % 4 == 0, F.concat(F.lit("tenant-t-"), F.col("id") % 7)).otherwise("order-events")
+    m = spark.range(4000).select(topic.alias("topic"), F.lit("K").alias("key"), F.lit(None).cast("string").alias("tenant_header"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = R.extract_tenant(m, spark.createDataFrame([("t",), ("t-3",), ("u",)], "tenant_id STRING"))
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        found = {r[0]: r[1] for r in out.groupBy("tenant_id").count().collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 4000 and max(sizes) < 1000
+    assert found == {"t": 1000, None: 3000}
