@@ -49,8 +49,8 @@ def prefix_scan(df: DataFrame, keys: list[str], order_col: str, specs: list[tupl
     ``block`` consecutive ``order_col`` values. A window runs inside each
     (key, block); its rows are written once below the checkpoint folder, so
     what feeds the scan (a JSON decode, say) runs once. The block totals of the
-    written rows give a prefix over the small block table, which is joined
-    back. No task ever holds more than one block of a hot key. Null keys form
+    written rows give a prefix over the small block table; its rows that have
+    something before them are written and joined back. No task ever holds more than one block of a hot key. Null keys form
     a group of their own.
     """
     d = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block)).cast("long"))
@@ -85,7 +85,12 @@ def prefix_scan(df: DataFrame, keys: list[str], order_col: str, specs: list[tupl
             raise ValueError(op)
     on = [*keys, "_blk"]
     prior = dw.groupBy(*on).agg(*block_aggs).select(*[F.col(k).alias(f"_on_{k}") for k in on], *prior_cols)
-    j = dw.join(prior, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on])
+    # Blocks with nothing before them need no row. Written, the others have a known size: where keys
+    # rarely cross a block they are few, and the rows are not shuffled once more to meet them.
+    prior = prior.filter(" OR ".join(f"_p{i} IS NOT NULL" for i in range(len(specs))))
+    prior.write.parquet(f"{path}-prior")
+    prior = spark.read.schema(prior.schema).parquet(f"{path}-prior")
+    j = dw.join(prior, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on], "left")
     out = []
     for i, (name, op, _, _) in enumerate(specs):
         a, p = F.col(f"_i{i}"), F.col(f"_p{i}")

@@ -28,6 +28,8 @@ COMPENSATION_CHAIN = {
     "CANCEL_ORDER": [],
     "RELEASE_INVENTORY": [],
 }
+# What the fold reads of an event.
+PREFIX_COLUMNS = ("saga_id", "offset", "event_type", "payment_id", "reason", "event_ts")
 
 
 def _is(*t) -> Column:
@@ -46,6 +48,7 @@ def events_with_known_saga(events: DataFrame, starts: DataFrame) -> DataFrame:
 def _prefix(events: DataFrame, block: int = 1 << 20) -> DataFrame:
     """Each event with the saga state *before* it and its own effect
     (running aggregates by a blocked prefix scan — exact for any saga size)."""
+    events = events.select(*PREFIX_COLUMNS)  # the scan writes and shuffles its rows
     adv = _is("ORDER_CREATED", "PAYMENT_COMPLETED").cast("long")
     pay = F.when(_is("PAYMENT_COMPLETED"), F.col("payment_id"))
     why = F.when(_is("PAYMENT_FAILED", "INVENTORY_FAILED"), F.col("reason"))

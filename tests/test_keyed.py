@@ -15,12 +15,14 @@ from conftest import SF_SMALL
 from flowlens.operators import commands as K
 from flowlens.operators import inventory as I
 from flowlens.operators import ops as O
+from flowlens.operators import saga as G
 from flowlens.operators.blockfold import BlockTable, _replay, _tables
 from flowlens.operators.paging import SortedPages
 from flowlens.plans.q_keyed import _records
 from flowlens.sources import decode
 from flowlens.sources import fixtures as fx
 from flowlens.sources.tables import TABLES, table_path
+from flowlens.streaming import jobs as J
 from flowlens.streaming import keyed, ordered
 from flowlens.streaming.manifest import AtomicOutputs
 from flowlens.streaming.polling import PolledExtract
@@ -179,6 +181,17 @@ def test_a_redelivered_creation_does_not_take_an_order_back(spark):
     assert "FlatMapGroups" not in plan
 
 
+def test_the_saga_view_keeps_what_its_fold_reads(spark, monkeypatch):
+    """Events of the view carry no payload: they are written, shuffled and folded again per bucket."""
+    seen = []
+    plain = J.BucketedView.__init__
+    monkeypatch.setattr(J.BucketedView, "__init__", lambda self, spark, base, key, schema, *a, **b: (
+        seen.append(schema.fieldNames()), plain(self, spark, base, key, schema, *a, **b))[1])
+    out = J.stream_saga(spark, SF_SMALL)
+    assert sorted(seen[0]) == sorted(G.PREFIX_COLUMNS)
+    assert _rows(out) == _rows(G.saga_state(fx.saga_starts(spark, SF_SMALL), decode.decode_saga_envelope(fx.saga_events(spark, SF_SMALL))))
+
+
 def test_payload_has_the_fields_of_its_command(spark):
     import json
     for r in K.command_outbox(E.queries()["saga_commands"](spark, SF_SMALL)).filter("aggregate_id = 'saga-6'").collect():
