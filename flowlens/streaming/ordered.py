@@ -2,7 +2,8 @@
 compaction with deletes (ST4) and groups by size or time (ST7).
 
 State lies in RocksDB (:func:`flowlens.streaming.keyed.start_keyed`): what is
-deleted or expired leaves it. Timers run on processing time. A table that ends is
+deleted or expired leaves it; the ids of first deliveries are rows, read until
+they expire. Timers run on processing time. A table that ends is
 closed by control rows, one per key, which release what still waits; a
 continuous job never needs them.
 """
@@ -22,6 +23,7 @@ from flowlens.operators import inventory as I
 from flowlens.session import scratch_path
 from flowlens.sources import fixtures as fx
 from flowlens.sources.tables import streaming_tables
+from flowlens.streaming.jobs import start_stream
 from flowlens.streaming.keyed import start_keyed
 
 CLOSE = "CLOSE"
@@ -159,42 +161,38 @@ def run_ordered_stock(spark: SparkSession, commands: Callable[[], DataFrame], st
 
 
 # ------------------------------------------------------------------ ST3 first deliveries
-class FirstDelivery(StatefulProcessor):
-    """The first delivery of a message id: by (offset, delivery) inside a
-    micro-batch, by arrival between them. An id is forgotten ``retention_ms`` after it
-    was processed; its state is then removed."""
-
-    def __init__(self, retention_ms: int, columns: list[str]):
-        self.retention_ms, self.columns = retention_ms, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "at LONG", ttlDurationMs=self.retention_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            return
-        first = None
-        for part in rows:
-            best = part.sort_values(["offset", "delivery"], kind="stable").head(1)
-            if first is None or tuple(best[["offset", "delivery"]].iloc[0]) < tuple(first[["offset", "delivery"]].iloc[0]):
-                first = best
-        if first is not None:
-            self.seen.update((timers.getCurrentProcessingTimeInMs(),))
-            yield first[self.columns]
-
-    def close(self) -> None:
-        pass
+def first_deliveries(batch: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """The first delivery, by (offset, delivery), of every id of the batch that is not among ``seen``."""
+    arrival, rows = ["offset", "delivery"], batch.withColumnRenamed("message_id", "_id")
+    if seen is None:
+        return U.distinct_by_message_id(rows, F.col("_id"), arrival).drop("_id")
+    return U.dedup_anti_join(rows, seen, F.col("_id"), arrival).drop("_id")
 
 
 def run_first_deliveries(spark: SparkSession, sf_dir: str, retention_days: float = 7, max_files: int = 1) -> DataFrame:
-    """ST3: the first delivery of every message id, its state with a time to live."""
+    """ST3: the first delivery of every message id: by (offset, delivery) inside a
+    micro-batch, by arrival between them. The ids are the state: a micro-batch
+    reads those of smaller batch ids, and none that was processed more than
+    ``retention_days`` before it. Its own are written under its id with overwrite."""
     base = scratch_path(spark, f"stream-first-{uuid.uuid4().hex[:12]}")
     with streaming_tables(max_files):
         ok, _ = U.valid_payload_split(fx.deliveries(spark, sf_dir))
         rows = ok.withColumn("message_id", U.message_id_header())
-    out = rows.groupBy("message_id").transformWithStateInPandas(
-        FirstDelivery(int(retention_days * 86_400_000), rows.columns), rows.schema, "Append", "ProcessingTime")
-    _run(spark, out, base)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = None
+        if batch_id > 0:
+            oldest = F.current_timestamp() - F.make_dt_interval(secs=F.lit(retention_days * 86_400).cast("decimal(18,6)"))
+            seen = (spark.read.schema("message_id STRING, at TIMESTAMP, _batch LONG").parquet(f"{base}/seen")
+                    .filter((F.col("_batch") < batch_id) & (F.col("at") > oldest)))
+        out = f"{base}/out/_batch={batch_id}"
+        first_deliveries(batch, seen).write.mode("overwrite").parquet(out)
+        written = spark.read.schema(rows.schema).parquet(out)
+        written.select("message_id", F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{base}/seen/_batch={batch_id}")
+
+    q = start_stream(spark, rows.writeStream.outputMode("append").foreachBatch(write)
+                     .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True))
+    q.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{base}/out").drop("_batch")
 
 

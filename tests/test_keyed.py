@@ -226,6 +226,26 @@ def test_first_delivery_in_a_shuffled_batch(spark, tmp_path):
     assert _rows(got, "message_id", "offset", "delivery") == _rows(first)
 
 
+def test_first_deliveries_call_no_python_per_id(spark):
+    rows = [("a", 4, 0), ("a", 2, 1), ("b", 3, 0), ("b", 3, 1), ("c", 1, 0)]
+    batch = spark.createDataFrame(rows, "message_id STRING, offset LONG, delivery INT")
+    out = ordered.first_deliveries(batch, spark.createDataFrame([("c",)], "message_id STRING"))
+    assert _rows(out, "message_id", "offset", "delivery") == [("a", 2, 1), ("b", 3, 0)]
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "")
+    assert len(_rows(ordered.first_deliveries(batch, None))) == 3
+
+
+@pytest.mark.parametrize("days, copies", [(7, 1), (0, 2)])
+def test_an_id_is_known_until_it_expires(spark, tmp_path, days, copies):
+    """The same events in two files: with a retention of nothing both give first deliveries."""
+    for t in TABLES:
+        os.symlink(table_path(SF_SMALL, t), f"{tmp_path}/{t}.parquet") if t != "events" else os.makedirs(f"{tmp_path}/{t}.parquet")
+    for k in range(2):
+        pq.write_table(pq.read_table(table_path(SF_SMALL, "events")), f"{tmp_path}/events.parquet/part-{k}.parquet")
+    once = ordered.run_first_deliveries(spark, SF_SMALL).count()
+    assert ordered.run_first_deliveries(spark, str(tmp_path), retention_days=days).count() == copies * once
+
+
 # ------------------------------------------------------------------ atomic outputs
 def test_outputs_appear_together_or_not_at_all(spark, tmp_path):
     out = AtomicOutputs(spark, str(tmp_path / "atomic"))
