@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -65,95 +67,125 @@ def _run(spark: SparkSession, frame: DataFrame, base: str) -> None:
 
 
 # ------------------------------------------------------------------ ST9 ordered stock
-WAITING = "seq LONG, order_id STRING, command STRING, quantity INT, due LONG"
+STOCK_BUCKETS = 1024  # products are dealt over so many keys of state, which stays so for a checkpoint's life
+WAITING = "due LONG, rows BINARY"
+_COMMAND = ["product_id", "seq", "order_id", "command", "quantity", "stock_quantity", "reserved_quantity"]
+_COMMAND_ARROW = pa.schema([("product_id", pa.string()), ("seq", pa.int64()), ("order_id", pa.string()), ("command", pa.string()),
+                            ("quantity", pa.int32()), ("stock_quantity", pa.int32()), ("reserved_quantity", pa.int32())])
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _COMMAND_ARROW, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(pa.Table.from_pandas(rows[_COMMAND], _COMMAND_ARROW, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(rows: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(rows)).read_all().to_pandas()
 
 
 class OrderedStock(StatefulProcessor):
-    """One product's commands, applied in order of ``seq``.
+    """The commands of a bucket's products, applied per product in order of ``seq``.
 
-    A command waits ``hold_ms`` after its arrival; then it and all waiting commands
-    with a smaller ``seq`` are applied. So rows that arrive at most that much
-    out of order give the outcomes of the ordered log, however they are dealt
+    A command waits ``hold_ms`` after its arrival; then it and all of its product's
+    waiting commands with a smaller ``seq`` are applied. So rows that arrive at most that
+    much out of order give the outcomes of the ordered log, however they are dealt
     over partitions, files and micro-batches. A command that comes later still is
-    applied when it comes; none is lost."""
+    applied when it comes; none is lost.
+
+    Commands that arrived together wait as one block with their due time: calls to the
+    state are paid per block, and per product whose commands are applied."""
 
     def __init__(self, hold_ms: int):
         self.hold_ms = hold_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.stock = handle.getValueState("stock", "total INT, reserved INT")
+        self.stock = handle.getMapState("stock", "product_id STRING", "reserved INT")
         self.waiting = handle.getListState("waiting", WAITING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         now = timers.getCurrentProcessingTimeInMs()
-        due, closed, missing, fresh = now + self.hold_ms, False, [], []
+        due, closed, fresh = now + self.hold_ms, False, []
         for part in rows:
-            for r in part.itertuples(index=False):
-                if r.command == CLOSE:
-                    closed = True
-                elif not r.found:
-                    missing.append((r.seq, key[0], r.order_id, r.command, int(r.quantity), "NOT_FOUND", None, None))
-                else:
-                    fresh.append((int(r.seq), r.order_id, r.command, int(r.quantity), due))
-                    if not self.stock.exists():
-                        self.stock.update((int(r.stock_quantity), int(r.reserved_quantity)))
+            close = part["command"] == CLOSE
+            closed = closed or bool(close.any())
+            part = part[~close]
+            found = part["found"].astype(bool)
+            missing = part[~found]
+            if len(missing):
+                yield missing.assign(quantity=missing["quantity"].astype("int32"), outcome="NOT_FOUND", available_before=None,
+                                     reserved_after=None)[_OUT]
+            if found.any():
+                fresh.append((due, _packed(part[found])))
         if fresh:
             self.waiting.appendList(fresh)
             self.handle.registerTimer(due)
-        yield _frame(missing, I.OUT_SCHEMA)
         if closed or self.hold_ms <= 0:
-            yield self._release(key, None if closed else now)
+            yield self._release(None if closed else now)
 
     def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        yield self._release(key, timers.getCurrentProcessingTimeInMs())
-
-    def _release(self, key, now: int | None) -> pd.DataFrame:
-        """Apply what is due at ``now`` and what comes before it (None: all)."""
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        ripe = max((r[0] for r in rows if now is None or r[4] <= now), default=None)
-        go = [r for r in rows if ripe is not None and r[0] <= ripe]
-        if not go:
+        yield self._release(timers.getCurrentProcessingTimeInMs())
+
+    def _release(self, now: int | None) -> pd.DataFrame:
+        """Apply what is due at ``now`` and what of the same products comes before it (None: all)."""
+        blocks = list(self.waiting.get()) if self.waiting.exists() else []
+        if not any(now is None or b[0] <= now for b in blocks):
             return _frame([], I.OUT_SCHEMA)
-        total, reserved = self.stock.get()
-        fold = I.StockFold(key[0], reserved)
-        part = pd.DataFrame([(seq, key[0], order, command, n, True, total, reserved) for seq, order, command, n, _ in go],
-                            columns=["seq", "product_id", "order_id", "command", "quantity", "found", "stock_quantity", "reserved_quantity"])
-        out = fold.apply(part)
-        self.stock.update((total, int(fold.reserved)))
-        rest = rows[len(go):]
-        if rest:
-            self.waiting.put(rest)
+        b = pd.concat([_unpacked(r).assign(due=d) for d, r in blocks], ignore_index=True)
+        ripe = (b["seq"] if now is None else b["seq"].where(b["due"] <= now)).groupby(b["product_id"]).transform("max")
+        go = b["seq"] <= ripe  # a product with nothing due has no number here, so it waits
+        rest = b[~go]
+        if len(rest):
+            self.waiting.put([(int(d), _packed(part)) for d, part in rest.groupby("due")])
         else:
             self.waiting.clear()
-        return out
+        return self._applied(b[go].sort_values(["product_id", "seq"], kind="stable"))
+
+    def _applied(self, b: pd.DataFrame) -> pd.DataFrame:
+        products = b["product_id"].tolist()
+        commands, amounts, totals, bases = (b[c].tolist() for c in ("command", "quantity", "stock_quantity", "reserved_quantity"))
+        known, head, outcome, before, after = self.stock.exists(), 0, [], [], []
+        for product, mine in groupby(products):
+            end = head + sum(1 for _ in mine)
+            state = self.stock.getValue((product,)) if known else None
+            fold = I.StockFold(product, int(bases[head]) if state is None else int(state[0]))
+            for whole, part in zip((outcome, before, after), fold.outcomes(int(totals[head]), commands[head:end], amounts[head:end])):
+                whole += part
+            self.stock.updateValue((product,), (int(fold.reserved),))
+            head = end
+        return b.assign(outcome=outcome, available_before=before, reserved_after=after)[_OUT]
 
     def close(self) -> None:
         pass
 
 
-_STOCK_IN = "seq LONG, product_id STRING, order_id STRING, quantity INT, command STRING, stock_quantity INT, reserved_quantity INT, found BOOLEAN"
+_OUT = [c.split()[0] for c in I.OUT_SCHEMA.split(", ")]
+_STOCK_IN = "seq LONG, product_id STRING, order_id STRING, quantity INT, command STRING, stock_quantity INT, reserved_quantity INT, " \
+            "found BOOLEAN, bucket INT"
 
 
 def run_ordered_stock(spark: SparkSession, commands: Callable[[], DataFrame], stock: DataFrame, hold: float = 3600.0,
                       max_files: int = 1) -> DataFrame:
     """ST9: outcomes of a stream of commands in any order of arrival. The
     frame that ``commands`` builds becomes a stream; when it is read, every
-    product is closed."""
+    bucket of products is closed."""
     base = scratch_path(spark, f"stream-stock-{uuid.uuid4().hex[:12]}")
     control = Control(spark, f"{base}/control", _STOCK_IN)
     names = [c.split()[0] for c in _STOCK_IN.split(", ")]
+    bucket = F.pmod(F.xxhash64("product_id"), F.lit(STOCK_BUCKETS)).cast("int")
 
     def frame() -> DataFrame:
         with streaming_tables(max_files):
-            j = I.reserve_against_stock(commands(), stock).fillna({"reserved_quantity": 0}).select(*names)
-        return j.unionByName(control.stream()).groupBy("product_id").transformWithStateInPandas(
+            j = I.reserve_against_stock(commands(), stock).fillna({"reserved_quantity": 0}).withColumn("bucket", bucket).select(*names)
+        return j.unionByName(control.stream()).groupBy("bucket").transformWithStateInPandas(
             OrderedStock(int(hold * 1000)), I.OUT_SCHEMA, "Append", "ProcessingTime")
 
     _run(spark, frame(), base)
     empty = {c: F.lit(None) for c in names}
-    closing = commands().select("product_id").distinct().select(
-        *[(F.col("product_id") if c == "product_id" else F.lit(CLOSE) if c == "command" else empty[c]).cast(t).alias(c)
+    closing = commands().select(bucket.alias("bucket")).distinct().select(
+        *[(F.col("bucket") if c == "bucket" else F.lit(CLOSE) if c == "command" else empty[c]).cast(t).alias(c)
           for c, t in (x.split() for x in _STOCK_IN.split(", "))])
     control.send(closing)
     _run(spark, frame(), base)

@@ -206,6 +206,60 @@ def test_stock_stream_over_shuffled_files_equals_the_batch(spark, tmp_path):
     assert _rows(got, *cols) == _rows(E.queries()["inventory_reservations"](spark, SF_SMALL), *cols)
 
 
+def test_waiting_commands_are_released_by_product():
+    """A bucket's commands wait as blocks; what is due goes with its product's smaller ``seq``, the rest stays."""
+    class State:
+        def __init__(self):
+            self.rows, self.map, self.calls = [], {}, 0
+
+        def exists(self):
+            return bool(self.rows or self.map)
+
+        def get(self):
+            return iter(self.rows)
+
+        def appendList(self, rows):
+            self.calls += 1
+            self.rows += rows
+
+        def put(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+        def getValue(self, key):
+            return self.map.get(key)
+
+        def updateValue(self, key, value):
+            self.map[key] = value
+
+    class Handle:
+        def registerTimer(self, at):
+            self.at = at
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.ms
+
+    p = ordered.OrderedStock(1000)
+    p.handle, p.stock, p.waiting = Handle(), State(), State()
+    cols = ["seq", "product_id", "order_id", "quantity", "command", "stock_quantity", "reserved_quantity", "found", "bucket"]
+    rows = lambda *r: iter([pd.DataFrame([(s, q, "O", 2, "RESERVE", 3, 0, True, 1) for s, q in r], columns=cols)])
+    many = [(k, f"Q{k}") for k in range(100, 200)]
+    assert sum(map(len, p.handleInputRows((1,), rows((5, "A"), (9, "B"), *many), At(0)))) == 0
+    assert p.waiting.calls == 1  # not one call per product
+    assert sum(map(len, p.handleInputRows((1,), rows((3, "A"), (7, "A"), (8, "C")), At(500)))) == 0
+    out = pd.concat(p.handleExpiredTimer((1,), At(1000), None))
+    got = out.loc[~out["product_id"].str.startswith("Q"), ["seq", "product_id", "outcome", "reserved_after"]]
+    assert list(got.itertuples(index=False, name=None)) == [(3, "A", "RESERVED", 2), (5, "A", "INSUFFICIENT", 2), (9, "B", "RESERVED", 2)]
+    out = pd.concat(p.handleExpiredTimer((1,), At(1500), None))
+    assert out["seq"].tolist() == [7, 8] and out["outcome"].tolist() == ["INSUFFICIENT", "RESERVED"] and not p.waiting.rows
+
+
 def test_groups_by_size_over_five_files(spark, tmp_path):
     sf = _folder_tables(tmp_path, tables=("events",))
     got = ordered.run_size_or_time(spark, lambda: _records(spark, sf), 7)
